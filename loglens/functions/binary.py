@@ -21,14 +21,16 @@ def _unsigned(data: Column, pos: Column | int, width: int) -> Column:
     return F.conv(F.hex(F.substring(data, _col(pos), F.lit(width))), 16, 10).cast("bigint")
 
 
+def _signed(raw: Column, bits: int) -> Column:
+    return F.shiftright(F.shiftleft(raw, 64 - bits), 64 - bits).cast("int")
+
+
 def read_i16(data: Column, pos: Column | int) -> Column:
-    raw = _unsigned(data, pos, 2)
-    return (raw - F.when(raw >= 1 << 15, 1 << 16).otherwise(0)).cast("int")
+    return _signed(_unsigned(data, pos, 2), 16)
 
 
 def read_i32(data: Column, pos: Column | int) -> Column:
-    raw = _unsigned(data, pos, 4)
-    return (raw - F.when(raw >= 1 << 31, 1 << 32).otherwise(0)).cast("int")
+    return _signed(_unsigned(data, pos, 4), 32)
 
 
 def read_i64(data: Column, pos: Column | int) -> Column:
@@ -48,16 +50,16 @@ def version_is(data: Column, version: int) -> Column:
 # Writers give hex text, so that fields join with concat and array_join; unhex() makes the bytes.
 
 
-def hex_i16(x: Column | int) -> Column:
-    return F.right(F.lpad(F.hex(_col(x).cast("bigint")), 16, "0"), F.lit(4))
+def hex_i64(x: Column | int) -> Column:
+    return F.lpad(F.hex(_col(x).cast("bigint")), 16, "0")
 
 
-def hex_i32(x: Column | int) -> Column:
-    return F.right(F.lpad(F.hex(_col(x).cast("bigint")), 16, "0"), F.lit(8))
+def hex_i16(x: Column | int) -> Column:
+    return F.substring(hex_i64(x), 13, 4)
 
 
-def hex_i64(x: Column | int) -> Column:
-    return F.lpad(F.hex(_col(x).cast("bigint")), 16, "0")
+def hex_i32(x: Column | int) -> Column:
+    return F.substring(hex_i64(x), 9, 8)
 
 
 def hex_text(x: Column) -> Column:

@@ -140,27 +140,25 @@ def epoch_ms(ts: Column) -> Column:
 def binary_commits(events: DataFrame, damaged: bool = False) -> DataFrame:
     """``log_pos, key, value``. ``damaged`` rewrites some classes of records into bad ones."""
     rows = commit_log(events).withColumn("ms", epoch_ms(F.col("commit_ts")))
-    names = F.concat(b.hex_text(F.col("grp")), b.hex_text(F.col("topic")), b.hex_i32(F.col("part_id")))
-    head = F.concat(b.hex_i64(F.col("committed")), b.hex_text(F.lit("")), b.hex_i64(F.col("ms")))
-    tail = b.hex_i64(F.col("ms") + DAY_MS)
-
-    def key(version: int) -> Column:
-        return F.unhex(F.concat(b.hex_i16(version), names))
-
-    def value(version: int) -> Column:
-        return F.unhex(F.concat(b.hex_i16(version), head, tail) if version else F.concat(b.hex_i16(0), head))
-
-    k, v = key(1), value(1)
+    kind = F.col("log_pos") % 25 if damaged else F.lit(0)
+    key_version = F.when(kind == 3, 0).when(kind == 7, 7).otherwise(1)
+    value_version = F.when(kind == 11, 0).when(kind == 13, 9).otherwise(1)
+    expiry = F.when(kind == 11, "").otherwise(b.hex_i64(F.col("ms") + DAY_MS))
+    key = F.concat(
+        b.hex_i16(key_version), b.hex_text(F.col("grp")), b.hex_text(F.col("topic")), b.hex_i32(F.col("part_id"))
+    )
+    value = F.concat(
+        b.hex_i16(value_version), b.hex_i64(F.col("committed")), b.hex_text(F.lit("")), b.hex_i64(F.col("ms")), expiry
+    )
+    whole = rows.select("log_pos", key.alias("k"), value.alias("v"))
     if damaged:
-        kind = F.col("log_pos") % 25
-        k = (
-            F.when(kind == 3, key(0))
-            .when(kind == 7, key(7))
-            .when(kind == 19, F.substring(k, F.lit(1), F.octet_length(k) - 3))
-            .otherwise(k)
+        key_end = F.length("k") - F.when(kind == 19, 6).otherwise(0)
+        value_end = F.when(kind == 17, 24).otherwise(F.length("v"))
+        whole = whole.select(
+            "log_pos", F.substring("k", 1, key_end).alias("k"), F.substring("v", 1, value_end).alias("v")
         )
-        v = F.when(kind == 11, value(0)).when(kind == 13, value(9)).when(kind == 17, F.substring(v, 1, 12)).otherwise(v)
-    return rows.select("log_pos", k.alias("key"), F.when(F.col("committed").isNotNull(), v).alias("value"))
+    # A null commit makes the whole value null: a tombstone.
+    return whole.select("log_pos", F.unhex("k").alias("key"), F.unhex("v").alias("value"))
 
 
 def binary_groups(events: DataFrame, damaged: bool = False) -> DataFrame:
@@ -194,26 +192,18 @@ def binary_groups(events: DataFrame, damaged: bool = False) -> DataFrame:
     )
     g = F.substring("grp", 4, 10).cast("bigint")
     protocol = F.when(F.col("consumer_id").isNotNull(), "range")
-
-    def value(version: int) -> Column:
-        return F.unhex(
-            F.concat(
-                b.hex_i16(version), b.hex_text(F.lit("consumer")), b.hex_i32(g + 1), b.hex_text(protocol),
-                b.hex_text(F.col("consumer_id")), members,
-            )
-        )
-
-    v = value(1)
-    if damaged:
-        v = (
-            F.when(g == 0, value(0))
-            .when(g == 1, value(5))
-            .when(g == 2, F.substring(v, 1, 20))
-            .when(g != 3, v)
-        )
-    return groups(events).join(member, "grp", "left").select(
-        (-1 - g).alias("log_pos"), F.unhex(F.concat(b.hex_i16(2), b.hex_text(F.col("grp")))).alias("key"), v.alias("value")
+    version = F.when(g == 0, 0).when(g == 1, 5).otherwise(1) if damaged else 1
+    value = F.concat(
+        b.hex_i16(version), b.hex_text(F.lit("consumer")), b.hex_i32(g + 1), b.hex_text(protocol),
+        b.hex_text(F.col("consumer_id")), members,
+    )
+    rows = groups(events).join(member, "grp", "left").select(
+        (-1 - g).alias("log_pos"), F.concat(b.hex_i16(2), b.hex_text(F.col("grp"))).alias("k"), value.alias("v"), g.alias("g")
     )
+    if damaged:
+        short = F.when(F.col("g") == 2, F.substring("v", 1, 40)).when(F.col("g") != 3, F.col("v"))
+        rows = rows.withColumn("v", short)
+    return rows.select("log_pos", F.unhex("k").alias("key"), F.unhex("v").alias("value"))
 
 
 def binary_log(events: DataFrame, damaged: bool = False) -> DataFrame:

@@ -135,10 +135,11 @@ def expired_commits(events):
     return decode.expired_commits(inputs.commit_log(events))
 
 
-@events_query
-def rejects(events):
-    log = inputs.binary_log(events, damaged=True)
-    good, bad_commits = decode.split_rejects(decode.decode_commits(log))
+@query
+def rejects(spark, sf_dir):
+    log = inputs.binary_log(inputs.table(spark, sf_dir, "events"), damaged=True)
+    decoded = decode.decode_commits(log).select("log_pos", *index.KEYS, "committed", "reason")
+    good, bad_commits = decode.split_rejects(decode.stored(decoded, work_path(spark, "rejects")))
     _, bad_groups = decode.split_rejects(group_metadata.decode_groups(log))
     orphans = index.orphan_tombstones(good).select("log_pos", F.lit(decode.ORPHAN).alias("reason"))
     return bad_commits.unionByName(bad_groups).unionByName(orphans)

@@ -1,23 +1,48 @@
 """Tables that a stream keeps up to date.
 
-Each micro-batch writes its changes to a folder of its own, so a batch that is run again after a failure replaces
-what it wrote before. Readers merge the folders. Every ``compact_every`` batches the merged table is written as a new
-base, and readers start there.
+Each micro-batch writes to a folder of its own, so a batch that is run again after a failure replaces what it wrote
+before. A one-row note, written last, says that the batch is whole; readers go by the notes and never see half a
+batch. Folders that no note points to any more can be removed at any time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELTA, BASE = "delta", "base"
+NOTE = "base bigint, batch_id bigint"
+
+
+def _note(spark: SparkSession, path: str, batch_id: int, base: int) -> None:
+    row = spark.range(1).select(F.lit(base).cast("bigint").alias("base"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/notes/batch_id={batch_id}")
+
+
+def _last_note(spark: SparkSession, path: str, upto: int | None = None) -> tuple[int, int] | None:
+    """(batch_id, base) of the last whole batch: one row."""
+    try:
+        notes = spark.read.schema(NOTE).parquet(f"{path}/notes")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if upto is not None:
+        notes = notes.filter(F.col("batch_id") <= upto)
+    last = notes.agg(F.max(F.struct("batch_id", "base")).alias("n")).first()["n"]
+    return None if last is None else (last["batch_id"], last["base"])
 
 
 class ChangeTable:
-    """``merge`` reduces rows of several batches, told apart by ``batch_id``, to the present table. It must be free
-    to run over its own results, as a latest-per-key or a maximum is."""
+    """Holds the changes of each batch.
+
+    ``merge`` reduces the rows of several batches, told apart by ``batch_id``, to the present table. It must be free
+    to run over its own results, as a latest-per-key or a maximum is. Every ``compact_every`` batches the merged table
+    is written as a new base, and readers start there; 0 keeps the rows of all batches as they are.
+    """
 
     def __init__(
         self,
@@ -28,44 +53,51 @@ class ChangeTable:
         self.path, self.merge, self.compact_every = path, merge, compact_every
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
+        spark = changes.sparkSession
+        # Notes of earlier batches only: this batch may have been written before.
+        before = _last_note(spark, self.path, batch_id - 1) if batch_id else None
+        base = before[1] if before else -1
         self._put(changes, DELTA, batch_id)
-        if self.compact_every and batch_id and batch_id % self.compact_every == 0:
-            # Built from older bases only, so that it can be written again.
-            self._put(self._read(changes.sparkSession, batch_id, batch_id - 1), BASE, batch_id)
+        if self.compact_every and before and batch_id - max(base, 0) >= self.compact_every:
+            self._put(self.merge(self._rows(spark, base, batch_id)), BASE, batch_id)
+            base = batch_id
+        _note(spark, self.path, batch_id, base)
+
+    def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """The table after batch ``upto``, or after the last whole batch."""
+        last = _last_note(spark, self.path, upto)
+        if last is None:
+            raise ValueError(f"nothing has been written to {self.path} yet")
+        return self.merge(self._rows(spark, last[1], last[0]))
 
     def _put(self, rows: DataFrame, kind: str, batch_id: int) -> None:
         kept = [c for c in rows.columns if c not in ("kind", "batch_id")]
-        rows.select(*kept).write.mode("overwrite").parquet(f"{self.path}/kind={kind}/batch_id={batch_id}")
-
-    def read(self, spark: SparkSession, upto: int = 1 << 62) -> DataFrame:
-        """The table after batch ``upto``, or after the last one."""
-        return self._read(spark, upto, upto)
-
-    def _read(self, spark: SparkSession, upto: int, base_upto: int) -> DataFrame:
-        stored = spark.read.parquet(self.path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
-        stored = stored.filter(F.col("batch_id") <= upto)
-        is_base = F.col("kind") == BASE
-        # One number, from folder names only: no data column is read.
-        base = stored.filter(is_base & (F.col("batch_id") <= base_upto)).agg(F.max("batch_id")).first()[0]
-        if base is None:
-            stored = stored.filter(~is_base)
+        rows.select(*kept).write.mode("overwrite").parquet(f"{self.path}/rows/kind={kind}/batch_id={batch_id}")
+
+    def _rows(self, spark: SparkSession, base: int, last: int) -> DataFrame:
+        root = f"{self.path}/rows"
+        reader = spark.read.option("basePath", root)
+        if base < 0:
+            rows = reader.parquet(f"{root}/kind={DELTA}").filter(F.col("batch_id") <= last)
         else:
-            stored = stored.filter(
-                (is_base & (F.col("batch_id") == base)) | (~is_base & (F.col("batch_id") > base))
-            )
-        return self.merge(stored.drop("kind"))
+            # Named folders, so that those before the base are not even listed.
+            deltas = [f"{root}/kind={DELTA}/batch_id={b}" for b in range(base + 1, last + 1)]
+            rows = reader.parquet(f"{root}/kind={BASE}/batch_id={base}", *deltas)
+        return rows.withColumn("batch_id", F.col("batch_id").cast("bigint")).drop("kind")
 
 
 class SnapshotTable:
-    """A table that each refresh replaces as a whole. Readers see the newest refresh that was written."""
+    """A table that each refresh replaces as a whole. Readers see the last refresh that is whole."""
 
     def __init__(self, path: str):
         self.path = path
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/{batch_id}")
+        _note(rows.sparkSession, self.path, batch_id, batch_id)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        stored = spark.read.parquet(self.path)
-        newest = stored.agg(F.max("batch_id")).first()[0]
-        return stored.filter(F.col("batch_id") == newest).drop("batch_id")
+        last = _last_note(spark, self.path)
+        if last is None:
+            raise ValueError(f"nothing has been written to {self.path} yet")
+        return spark.read.parquet(f"{self.path}/rows/{last[0]}")
