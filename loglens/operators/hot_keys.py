@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 1 << 22
+SLICE_ROWS = 1 << 20
 SLICE = "_slice"
 HOT = "_hot"
 
@@ -26,7 +26,7 @@ def with_slices(df: DataFrame, keys: list[str], seq: str, limit: int = SLICE_ROW
     ``seq`` is a whole number, such as a log position. If it is unique, a slice holds at most ``limit`` rows.
     """
     hot = hot_keys(df, keys, limit).withColumn("_flag", F.lit(True))
-    # Broadcast is safe: fewer than rows / limit keys, so 10^13 rows give at most 2.4 million of them.
+    # Broadcast is safe: fewer than rows / limit keys, so 10^12 rows give less than a million of them.
     marked = df.join(F.broadcast(hot), keys, "left")
     return marked.select(
         *[F.col(c) for c in df.columns],

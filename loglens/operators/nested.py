@@ -14,7 +14,11 @@ SALTS = 32
 
 
 def with_chunk(pairs: DataFrame, keys: list[str], items: list[str], max_items: int = MAX_ITEMS) -> DataFrame:
-    """Adds ``chunk``: 0 for keys of up to ``max_items`` rows, else a hash of the item that fills chunks evenly."""
+    """Adds ``chunk``: 0 for keys of up to ``max_items`` rows, else a hash of the item that fills chunks evenly. Rows
+    with a null in a key are left out."""
+    # Said for both uses of the pairs: only then are they the same plan, of which the shuffle runs once.
+    for key in keys:
+        pairs = pairs.filter(F.col(key).isNotNull())
     large = (
         pairs.groupBy(*keys)
         .agg(F.count("*").alias("_n"))

@@ -11,7 +11,8 @@ from loglens.operators.nested import MAX_ITEMS, nest
 def key_values(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Distinct (key, value). Rows without a key or value are left out. Works on tables and streams; a stream
     gives each pair once, when it first appears."""
-    return rows.select(key, value).dropna().dropDuplicates([key, value])
+    whole = F.col(key).isNotNull() & F.col(value).isNotNull()
+    return rows.filter(whole).select(key, value).dropDuplicates([key, value])
 
 
 def value_sets(pairs: DataFrame, key: str, value: str, name: str = "values", max_items: int = MAX_ITEMS) -> DataFrame:

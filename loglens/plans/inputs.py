@@ -42,6 +42,12 @@ def topic_log(events: DataFrame) -> DataFrame:
     return number_offsets(topic_records(events), "log_pos")
 
 
+def topic_tails(events: DataFrame) -> DataFrame:
+    """The last record of each partition. As offsets are dense from 0, its offset is the number of records before it,
+    so that log ends need no numbering of the whole log."""
+    return topic_records(events).groupBy("topic", "part_id").agg((F.count("*") - 1).alias("log_offset"))
+
+
 # Commit log, assignments, groups.
 
 

@@ -263,4 +263,5 @@ for _name in (
     "topic_scan", "word_count", "latest_by_key", "key_value_sets", "live_index", "orphan_tombstones", "lag_report"
 ):
     ORACLES[f"stream_{_name}"] = ORACLES[_name]
+ORACLES["stream_word_count_topic"] = ORACLES["word_count"]
 ORACLES["stream_index"] = ORACLES["index_topic_group"]

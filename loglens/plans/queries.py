@@ -236,9 +236,8 @@ def unassigned_offsets(events):
 
 @events_query
 def lag_report(events):
-    return lag.lag_report(
-        inputs.assignments(events), latest_commits(events), log_end_offsets(events), inputs.groups(events)
-    )
+    ends = lag.log_end_offsets(inputs.topic_tails(events))
+    return lag.lag_report(inputs.assignments(events), latest_commits(events), ends, inputs.groups(events))
 
 
 @events_query
@@ -346,6 +345,18 @@ def stream_word_count(spark, sf_dir):
     return _run(spark, "stream_word_count", lambda p: jobs.word_count_job(documents, "text", p))
 
 
+@query
+def stream_word_count_topic(spark, sf_dir):
+    """The running counts as records of a topic, whose newest record per word is read back."""
+    documents = inputs.stream_table(spark, sf_dir, "documents")
+    path = work_path(spark, "counts_topic")
+    job = jobs.word_count_job(documents, "text", f"{path}/tables")
+    jobs.publish(job, "counts", "word", "n", path=f"{path}/log").run(f"{path}/checkpoint")
+    log = source.text_records(source.read_topic(spark, ["counts"], f"{path}/log"))
+    newest = latest.latest(log, ["topic", "msg_key"], "msg_value", "log_offset")
+    return newest.select(F.col("msg_key").alias("word"), F.col("msg_value").cast("bigint").alias("n"))
+
+
 @query
 def stream_latest_by_key(spark, sf_dir):
     log = inputs.topic_records(inputs.stream_table(spark, sf_dir, "events"))

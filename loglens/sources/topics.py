@@ -6,10 +6,12 @@ on the classpath, or from a log table: parquet in the same schema, one folder pe
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.operators.hot_keys import SLICE_ROWS, number_rows
+from loglens.operators.lag import log_end_offsets
 
 LOG_SCHEMA = (
     "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int"
@@ -125,6 +127,26 @@ def number_offsets(
     )
 
 
+def log_ends(spark: SparkSession, path: str) -> DataFrame | None:
+    """Present log ends of a log table; none if there is no table yet."""
+    try:
+        return log_end_offsets(text_records(read_topic(spark, path=path)))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def change_records(changes: DataFrame, topic: str, key: str, value: str) -> DataFrame:
+    """Changed rows of an aggregate as records, one per key: ``topic, msg_key, seq, msg_value``."""
+    return changes.select(
+        F.lit(topic).alias("topic"),
+        F.col(key).cast("string").alias("msg_key"),
+        F.xxhash64(key).alias("seq"),
+        F.col(value).cast("string").alias("msg_value"),
+    )
+
+
 def write_topic(records: DataFrame, path: str | None = None, servers: str | None = None) -> None:
     """Appends ``topic, part_id, log_offset, msg_key, msg_value`` and, if there, ``ts``. A broker numbers the records
     itself; a log table keeps the given offsets."""

@@ -19,6 +19,7 @@ from loglens.operators.latest import latest, newest
 from loglens.operators.sets import key_values
 from loglens.operators.words import tokens, word_count
 from loglens.session import ROCKSDB_PROVIDER, STATE_PROVIDER
+from loglens.sources.topics import change_records, log_ends, number_offsets, place, write_topic
 from loglens.streaming.tables import ChangeTable, SnapshotTable
 
 Table = Callable[[SparkSession], DataFrame]
@@ -63,6 +64,22 @@ def word_count_job(stream: DataFrame, text: str, path: str) -> Job:
     return Job(counts, "update", table.write, lambda spark: table.read(spark).select("word", "n"))
 
 
+def publish(job: Job, topic: str, key: str, value: str, path: str | None = None, servers: str | None = None) -> Job:
+    """Also sends what each batch of ``job`` changed to a topic. A batch that is run again is sent again; readers that
+    take the newest record of a key are not affected."""
+
+    def write(changes: DataFrame, batch_id: int) -> None:
+        changes.persist()
+        job.write(changes, batch_id)
+        records = place(change_records(changes, topic, key, value))
+        if path:
+            records = number_offsets(records, "seq", log_ends(changes.sparkSession, path))
+        write_topic(records, path, servers)
+        changes.unpersist()
+
+    return Job(job.output, job.mode, write, job.read)
+
+
 def newest_table(path: str, keys: list[str], value: str, order: str) -> ChangeTable:
     return ChangeTable(path, lambda rows: newest(rows, keys, value, order))
 

@@ -63,6 +63,20 @@ def test_word_count(spark, tmp_path):
     assert rows(got) == rows(words.word_count(words.tokens(documents, "text")))
 
 
+def test_counts_published_to_a_topic(spark, tmp_path):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    stream = staged(spark, documents, str(tmp_path / "in"))
+    job = jobs.word_count_job(stream, "text", str(tmp_path / "out"))
+    path = str(tmp_path / "log")
+    counts = run(jobs.publish(job, "counts", "word", "n", path=path), tmp_path)
+    log = source.text_records(source.read_topic(spark, ["counts"], path)).persist()
+    sent = latest.latest(log, ["msg_key"], "msg_value", "log_offset")
+    assert log.count() > sent.count() == counts.count()
+    assert rows(sent.select("msg_key", F.col("msg_value").cast("bigint"))) == rows(counts)
+    offsets = log.groupBy("part_id").agg(F.count("*").alias("n"), F.countDistinct("log_offset").alias("d"), (F.max("log_offset") + 1).alias("e"))
+    assert all(r["n"] == r["d"] == r["e"] for r in offsets.collect())
+
+
 def test_sets(spark, tmp_path):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet").select("o_custkey", "o_orderpriority")
     stream = staged(spark, orders, str(tmp_path / "in"))

@@ -23,11 +23,7 @@ def test_write_read_and_delete(spark, tmp_path, capsys):
 
     def send(*specs):
         records = source.place(source.generate_records(spark.createDataFrame(list(specs), SPECS)))
-        ends = None
-        if any((tmp_path / "log").glob("topic=*")):
-            log = source.text_records(source.read_topic(spark, path=path))
-            ends = log.groupBy("topic", "part_id").agg((F.max("log_offset") + 1).alias("log_end"))
-        source.write_topic(source.number_offsets(records, "seq", ends), path)
+        source.write_topic(source.number_offsets(records, "seq", source.log_ends(spark, path)), path)
 
     send(("curd", "delete", 5, 0, "hello"), ("curd", "staying", 5, 0, "hello"))
     send(("curd", "delete", 1, 5, None), ("other", "staying", 1, 0, "hello"))
