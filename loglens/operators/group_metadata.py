@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.binary import read_i16, read_text, version_is
 from loglens.operators.decode import DECODE_ERROR, GROUP_KEY_VERSION, UNKNOWN_VALUE, UNSUPPORTED_VALUE
 
+# Executors get the decoder itself, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MEMBER = (
     "member_id string, client_id string, client_host string, session_timeout int, rebalance_timeout int, "
     "topics array<string>, partitions array<struct<topic: string, part_id: int>>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglens.operators.hot_keys import SLICE_ROWS, previous_value
 from loglens.operators.latest import latest
-from loglens.operators.nested import MAX_ITEMS, nest
+from loglens.operators.nested import MAX_ITEMS, nest, with_chunk
 
 KEYS = ["grp", "topic", "part_id"]
 TOPIC_TO_GROUP = 1
@@ -33,10 +33,11 @@ def partitions_by(index: DataFrame, outer: str, inner: str, max_items: int = MAX
 
 
 def nested_index(index: DataFrame, outer: str, inner: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(outer, chunk, entries): one entry per inner key and chunk of its partitions, sorted by inner key."""
-    inside = partitions_by(index, outer, inner, max_items).withColumnRenamed("chunk", "part_chunk")
-    entry = F.struct(F.col(inner), F.col("part_chunk"), F.col("parts"))
-    return nest(inside, [outer], [inner, "part_chunk"], entry, "entries", max_items)
+    """(outer, chunk, entries): entries (inner, sorted parts), sorted. ``max_items`` bounds the partitions of all
+    entries of a chunk together; an inner key of a large outer key may have entries in several chunks."""
+    chunked = with_chunk(index, [outer], [inner, "part_id"], max_items)
+    parts = chunked.groupBy(outer, "chunk", inner).agg(F.sort_array(F.collect_list("part_id")).alias("parts"))
+    return parts.groupBy(outer, "chunk").agg(F.sort_array(F.collect_list(F.struct(inner, "parts"))).alias("entries"))
 
 
 def dump(index: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from loglens.operators.nested import MAX_ITEMS, nest
 
 
+def whole_pairs(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of the rows that have both."""
+    return rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value)
+
+
 def key_values(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Distinct (key, value). Rows without a key or value are left out. Works on tables and streams; a stream
-    gives each pair once, when it first appears."""
-    whole = F.col(key).isNotNull() & F.col(value).isNotNull()
-    return rows.filter(whole).select(key, value).dropDuplicates([key, value])
+    """Distinct (key, value); rows without a key or value are left out."""
+    return whole_pairs(rows, key, value).distinct()
 
 
 def value_sets(pairs: DataFrame, key: str, value: str, name: str = "values", max_items: int = MAX_ITEMS) -> DataFrame:

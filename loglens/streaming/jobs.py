@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loglens.operators.index import KEYS, orphan_tombstones
 from loglens.operators.lag import group_snapshot, lag_report, log_end_offsets, topic_groups
 from loglens.operators.latest import latest, newest
-from loglens.operators.sets import key_values
+from loglens.operators.sets import whole_pairs
 from loglens.operators.words import tokens, word_count
 from loglens.session import ROCKSDB_PROVIDER, STATE_PROVIDER
 from loglens.sources.topics import change_records, log_ends, number_offsets, place, write_topic
@@ -31,6 +31,7 @@ class Job:
     mode: str
     write: Callable[[DataFrame, int], None]
     read: Table
+    table: ChangeTable | None = None
 
     def start(self, checkpoint: str, **trigger) -> StreamingQuery:
         """Starts the job; a second start with the same checkpoint goes on where the first one ended."""
@@ -54,30 +55,30 @@ def append_job(stream: DataFrame, path: str) -> Job:
     """Keeps the records of a stream as they are."""
     table = ChangeTable(f"{path}/rows", compact_every=0)
     columns = stream.columns
-    return Job(stream, "append", table.write, lambda spark: table.read(spark).select(*columns))
+    return Job(stream, "append", table.write, lambda spark: table.read(spark).select(*columns), table)
 
 
 def word_count_job(stream: DataFrame, text: str, path: str) -> Job:
     """Running word count; each batch writes the counts that changed."""
     table = ChangeTable(f"{path}/counts", lambda rows: newest(rows, ["word"], "n", "batch_id"))
     counts = word_count(tokens(stream, text))
-    return Job(counts, "update", table.write, lambda spark: table.read(spark).select("word", "n"))
+    return Job(counts, "update", table.write, lambda spark: table.read(spark).select("word", "n"), table)
 
 
 def publish(job: Job, topic: str, key: str, value: str, path: str | None = None, servers: str | None = None) -> Job:
     """Also sends what each batch of ``job`` changed to a topic. A batch that is run again is sent again; readers that
     take the newest record of a key are not affected."""
+    spark = job.output.sparkSession
 
-    def write(changes: DataFrame, batch_id: int) -> None:
-        changes.persist()
-        job.write(changes, batch_id)
-        records = place(change_records(changes, topic, key, value))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        job.write(batch, batch_id)
+        # Read back in the outer session: in that of the stream, plans do not adapt at run time.
+        records = place(change_records(job.table.changes(spark, batch_id), topic, key, value))
         if path:
-            records = number_offsets(records, "seq", log_ends(changes.sparkSession, path))
+            records = number_offsets(records, "seq", log_ends(spark, path))
         write_topic(records, path, servers)
-        changes.unpersist()
 
-    return Job(job.output, job.mode, write, job.read)
+    return Job(job.output, job.mode, write, job.read, job.table)
 
 
 def newest_table(path: str, keys: list[str], value: str, order: str) -> ChangeTable:
@@ -91,19 +92,31 @@ def latest_job(stream: DataFrame, keys: list[str], value: str, order: str, path:
     def live(spark: SparkSession) -> DataFrame:
         return table.read(spark).filter(F.col(value).isNotNull()).select(*keys, value)
 
-    return Job(newest(stream, keys, value, order), "update", table.write, live)
+    return Job(newest(stream, keys, value, order), "update", table.write, live, table)
+
+
+def distinct_job(stream: DataFrame, path: str) -> Job:
+    """Distinct rows of a stream.
+
+    An aggregate and not ``dropDuplicates``, as that shuffles every copy of a row: here each task first reduces the
+    copies of its own. A row seen again in a later batch is written again and merged by the table.
+    """
+    columns = stream.columns
+    table = ChangeTable(f"{path}/distinct", lambda rows: rows.select(*columns).distinct())
+    seen = stream.groupBy(*columns).agg(F.count("*").alias("n_seen"))
+    return Job(seen, "update", lambda df, b: table.write(df.select(*columns), b), table.read, table)
 
 
 def key_values_job(stream: DataFrame, key: str, value: str, path: str) -> Job:
     """Set per key, in long form: state and output hold single pairs, never the whole set of a key."""
-    return append_job(key_values(stream, key, value), path)
+    return distinct_job(whole_pairs(stream, key, value), path)
 
 
 def index_job(commits: DataFrame, path: str, expire: bool = False) -> Job:
     """Topic, group and partition of every commit ever seen, or with ``expire`` of the commits that still stand."""
     if not expire:
-        seen = commits.filter(F.col("committed").isNotNull()).select("topic", "grp", "part_id")
-        return append_job(seen.dropDuplicates(["topic", "grp", "part_id"]), path)
+        seen = commits.filter(F.col("committed").isNotNull())
+        return distinct_job(seen.select("topic", "grp", "part_id"), path)
     job = latest_job(commits, KEYS, "committed", "log_pos", path)
     standing = job.read
     job.read = lambda spark: standing(spark).select("topic", "grp", "part_id")
@@ -159,8 +172,10 @@ def lag_job(topic_log: DataFrame, commits: DataFrame, assignments: Table, groups
         F.lit(None).cast("bigint").alias("committed"), F.lit(None).cast("bigint").alias("log_pos"), "log_offset",
     )
 
+    # Joins run in the outer session: in that of the stream, plans do not adapt at run time.
+    spark = commits.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch.persist()
         is_commit = F.col("grp").isNotNull()
         newest_commits.write(newest(batch.filter(is_commit), KEYS, "committed", "log_pos"), batch_id)

@@ -70,6 +70,10 @@ class ChangeTable:
             raise ValueError(f"nothing has been written to {self.path} yet")
         return self.merge(self._rows(spark, last[1], last[0]))
 
+    def changes(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What one batch wrote."""
+        return spark.read.parquet(f"{self.path}/rows/kind={DELTA}/batch_id={batch_id}")
+
     def _put(self, rows: DataFrame, kind: str, batch_id: int) -> None:
         kept = [c for c in rows.columns if c not in ("kind", "batch_id")]
         rows.select(*kept).write.mode("overwrite").parquet(f"{self.path}/rows/kind={kind}/batch_id={batch_id}")
