@@ -47,33 +47,32 @@ def version_is(data: Column, version: int) -> Column:
     return F.substring(data, F.lit(1), F.lit(2)) == F.lit(bytearray(version.to_bytes(2, "big", signed=True)))
 
 
-# Writers give hex text, so that fields join with concat and array_join; unhex() makes the bytes.
+# Writers turn SQL expressions into SQL expressions that give hex text, so that fields join with concat and array_join;
+# unhex() makes the bytes.
 
 
-def hex_i64(x: Column | int) -> Column:
-    return F.lpad(F.hex(_col(x).cast("bigint")), 16, "0")
+def hex_i64(x: str | int) -> str:
+    return f"lpad(hex(cast({x} as bigint)), 16, '0')"
 
 
-def hex_i16(x: Column | int) -> Column:
-    return F.substring(hex_i64(x), 13, 4)
+def hex_i16(x: str | int) -> str:
+    return f"substring({hex_i64(x)}, 13, 4)"
 
 
-def hex_i32(x: Column | int) -> Column:
-    return F.substring(hex_i64(x), 9, 8)
+def hex_i32(x: str | int) -> str:
+    return f"substring({hex_i64(x)}, 9, 8)"
 
 
-def hex_text(x: Column) -> Column:
+def hex_text(x: str) -> str:
     """A string; null is written as length -1."""
-    return F.when(x.isNull(), F.lit("FFFF")).otherwise(
-        F.concat(hex_i16(F.octet_length(x)), F.hex(F.encode(x, "UTF-8")))
-    )
+    return f"case when {x} is null then 'FFFF' else concat({hex_i16(f'octet_length({x})')}, hex(encode({x}, 'UTF-8'))) end"
 
 
-def hex_bytes(hexed: Column) -> Column:
+def hex_bytes(hexed: str) -> str:
     """Length-prefixed bytes, from bytes given as hex text."""
-    return F.concat(hex_i32((F.length(hexed) / 2).cast("int")), hexed)
+    return f"concat({hex_i32(f'length({hexed}) div 2')}, {hexed})"
 
 
-def hex_array(items: Column, item) -> Column:
-    """Count-prefixed array; ``item`` maps one element to its hex text."""
-    return F.concat(hex_i32(F.size(items)), F.array_join(F.transform(items, item), ""))
+def hex_array(items: str, name: str, item: str) -> str:
+    """Count-prefixed array; ``item`` is the hex text of one element, called ``name``."""
+    return f"concat({hex_i32(f'size({items})')}, array_join(transform({items}, {name} -> {item}), ''))"

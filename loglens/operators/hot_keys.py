@@ -17,7 +17,7 @@ HOT = "_hot"
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int = SLICE_ROWS) -> DataFrame:
     """Keys with more than ``limit`` rows. There are fewer than rows / limit of them."""
-    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
 
 
 def with_slices(df: DataFrame, keys: list[str], seq: str, limit: int = SLICE_ROWS) -> DataFrame:

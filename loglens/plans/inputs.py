@@ -146,25 +146,23 @@ def epoch_ms(ts: Column) -> Column:
 def binary_commits(events: DataFrame, damaged: bool = False) -> DataFrame:
     """``log_pos, key, value``. ``damaged`` rewrites some classes of records into bad ones."""
     rows = commit_log(events).withColumn("ms", epoch_ms(F.col("commit_ts")))
-    kind = F.col("log_pos") % 25 if damaged else F.lit(0)
-    key_version = F.when(kind == 3, 0).when(kind == 7, 7).otherwise(1)
-    value_version = F.when(kind == 11, 0).when(kind == 13, 9).otherwise(1)
-    expiry = F.when(kind == 11, "").otherwise(b.hex_i64(F.col("ms") + DAY_MS))
-    key = F.concat(
-        b.hex_i16(key_version), b.hex_text(F.col("grp")), b.hex_text(F.col("topic")), b.hex_i32(F.col("part_id"))
-    )
-    value = F.concat(
-        b.hex_i16(value_version), b.hex_i64(F.col("committed")), b.hex_text(F.lit("")), b.hex_i64(F.col("ms")), expiry
-    )
-    whole = rows.select("log_pos", key.alias("k"), value.alias("v"))
+    kind = "log_pos % 25" if damaged else "0"
+    key_version = f"case {kind} when 3 then 0 when 7 then 7 else 1 end"
+    value_version = f"case {kind} when 11 then 0 when 13 then 9 else 1 end"
+    expiry = f"case {kind} when 11 then '' else {b.hex_i64(f'ms + {DAY_MS}')} end"
+    key = f"concat({b.hex_i16(key_version)}, {b.hex_text('grp')}, {b.hex_text('topic')}, {b.hex_i32('part_id')})"
+    value = (
+        f"concat({b.hex_i16(value_version)}, {b.hex_i64('committed')}, {b.hex_i16(0)}, {b.hex_i64('ms')}, {expiry})"
+    )
+    whole = rows.selectExpr("log_pos", f"{key} as k", f"{value} as v")
     if damaged:
-        key_end = F.length("k") - F.when(kind == 19, 6).otherwise(0)
-        value_end = F.when(kind == 17, 24).otherwise(F.length("v"))
-        whole = whole.select(
-            "log_pos", F.substring("k", 1, key_end).alias("k"), F.substring("v", 1, value_end).alias("v")
+        whole = whole.selectExpr(
+            "log_pos",
+            f"substring(k, 1, length(k) - case {kind} when 19 then 6 else 0 end) as k",
+            f"substring(v, 1, case {kind} when 17 then 24 else length(v) end) as v",
         )
     # A null commit makes the whole value null: a tombstone.
-    return whole.select("log_pos", F.unhex("k").alias("key"), F.unhex("v").alias("value"))
+    return whole.selectExpr("log_pos", "unhex(k) as key", "unhex(v) as value")
 
 
 def binary_groups(events: DataFrame, damaged: bool = False) -> DataFrame:
@@ -175,41 +173,33 @@ def binary_groups(events: DataFrame, damaged: bool = False) -> DataFrame:
     member = by_topic.groupBy("grp", "consumer_id", "client_id", "host").agg(
         F.sort_array(F.collect_list(F.struct("topic", "parts"))).alias("topics")
     )
-    subscription = F.concat(b.hex_i16(0), b.hex_array(F.col("topics"), lambda t: b.hex_text(t["topic"])), b.hex_i32(-1))
-    assignment = F.concat(
-        b.hex_i16(0),
-        b.hex_array(
-            F.col("topics"),
-            lambda t: F.concat(b.hex_text(t["topic"]), b.hex_array(t["parts"], b.hex_i32)),
-        ),
-        b.hex_i32(-1),
-    )
-    members = F.when(F.col("consumer_id").isNull(), b.hex_i32(0)).otherwise(
-        F.concat(
-            b.hex_i32(1),
-            b.hex_text(F.col("consumer_id")),
-            b.hex_text(F.col("client_id")),
-            b.hex_text(F.col("host")),
-            b.hex_i32(30_000),
-            b.hex_i32(60_000),
-            b.hex_bytes(subscription),
-            b.hex_bytes(assignment),
-        )
-    )
-    g = F.substring("grp", 4, 10).cast("bigint")
-    protocol = F.when(F.col("consumer_id").isNotNull(), "range")
-    version = F.when(g == 0, 0).when(g == 1, 5).otherwise(1) if damaged else 1
-    value = F.concat(
-        b.hex_i16(version), b.hex_text(F.lit("consumer")), b.hex_i32(g + 1), b.hex_text(protocol),
-        b.hex_text(F.col("consumer_id")), members,
-    )
-    rows = groups(events).join(member, "grp", "left").select(
-        (-1 - g).alias("log_pos"), F.concat(b.hex_i16(2), b.hex_text(F.col("grp"))).alias("k"), value.alias("v"), g.alias("g")
+    no_user_data = b.hex_i32(-1)
+    subscription = f"concat({b.hex_i16(0)}, {b.hex_array('topics', 't', b.hex_text('t.topic'))}, {no_user_data})"
+    topic_parts = f"concat({b.hex_text('t.topic')}, {b.hex_array('t.parts', 'p', b.hex_i32('p'))})"
+    assignment = f"concat({b.hex_i16(0)}, {b.hex_array('topics', 't', topic_parts)}, {no_user_data})"
+    members = member.selectExpr(
+        "grp", "consumer_id", "client_id", "host", f"{subscription} as subscription", f"{assignment} as assignment"
+    )
+    names = ", ".join(b.hex_text(c) for c in ("consumer_id", "client_id", "host"))
+    one_member = (
+        f"concat({b.hex_i32(1)}, {names}, {b.hex_i32(30_000)}, {b.hex_i32(60_000)}, "
+        f"{b.hex_bytes('subscription')}, {b.hex_bytes('assignment')})"
+    )
+    version = "case g when 0 then 0 when 1 then 5 else 1 end" if damaged else "1"
+    protocol = b.hex_text("if(consumer_id is null, null, 'range')")
+    value = (
+        f"concat({b.hex_i16(version)}, {b.hex_text(repr('consumer'))}, {b.hex_i32('g + 1')}, {protocol}, "
+        f"{b.hex_text('consumer_id')}, if(consumer_id is null, {b.hex_i32(0)}, {one_member}))"
+    )
+    rows = (
+        groups(events)
+        .join(members, "grp", "left")
+        .withColumn("g", F.expr("cast(substring(grp, 4) as bigint)"))
+        .selectExpr("g", f"concat({b.hex_i16(2)}, {b.hex_text('grp')}) as k", f"{value} as v")
     )
     if damaged:
-        short = F.when(F.col("g") == 2, F.substring("v", 1, 40)).when(F.col("g") != 3, F.col("v"))
-        rows = rows.withColumn("v", short)
-    return rows.select("log_pos", F.unhex("k").alias("key"), F.unhex("v").alias("value"))
+        rows = rows.selectExpr("g", "k", "case g when 2 then substring(v, 1, 40) when 3 then null else v end as v")
+    return rows.selectExpr("-1 - g as log_pos", "unhex(k) as key", "unhex(v) as value")
 
 
 def binary_log(events: DataFrame, damaged: bool = False) -> DataFrame:
@@ -218,8 +208,7 @@ def binary_log(events: DataFrame, damaged: bool = False) -> DataFrame:
 
 
 def envelopes(events: DataFrame) -> DataFrame:
-    return events.select(
-        F.unhex(F.concat(b.hex_i32(F.col("event_id") % 3), F.hex(F.encode("event_type", "UTF-8")))).alias("data")
-    )
+    body = "hex(encode(event_type, 'UTF-8'))"
+    return events.selectExpr(f"unhex(concat({b.hex_i32('event_id % 3')}, {body})) as data")
 
 

@@ -1,39 +1,48 @@
 """Tables that a stream keeps up to date.
 
 Each micro-batch writes to a folder of its own, so a batch that is run again after a failure replaces what it wrote
-before. A one-row note, written last, says that the batch is whole; readers go by the notes and never see half a
-batch. Folders that no note points to any more can be removed at any time.
+before. An empty file, made last, notes that the batch is whole; readers go by these notes and never see half a batch.
+What later batches have replaced is removed after a while, so that an endless stream does not leave endless folders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELTA, BASE = "delta", "base"
-NOTE = "base bigint, batch_id bigint"
+KEEP = 50
 
 
-def _note(spark: SparkSession, path: str, batch_id: int, base: int) -> None:
-    row = spark.range(1).select(F.lit(base).cast("bigint").alias("base"))
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/notes/batch_id={batch_id}")
+class Notes:
+    """Names ``<batch>.<base>`` in a folder of any file system that Spark can write to."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.make_path = jvm.org.apache.hadoop.fs.Path
+        self.folder = self.make_path(f"{path}/notes")
+        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def _last_note(spark: SparkSession, path: str, upto: int | None = None) -> tuple[int, int] | None:
-    """(batch_id, base) of the last whole batch: one row."""
-    try:
-        notes = spark.read.schema(NOTE).parquet(f"{path}/notes")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    if upto is not None:
-        notes = notes.filter(F.col("batch_id") <= upto)
-    last = notes.agg(F.max(F.struct("batch_id", "base")).alias("n")).first()["n"]
-    return None if last is None else (last["batch_id"], last["base"])
+    def add(self, batch_id: int, base: int) -> None:
+        self.files.create(self.make_path(self.folder, f"{batch_id}.{base}"), True).close()
+        for batch, old_base in self.all():
+            if batch <= batch_id - KEEP:
+                self.files.delete(self.make_path(self.folder, f"{batch}.{old_base}"), False)
+
+    def all(self) -> list[tuple[int, int]]:
+        if not self.files.exists(self.folder):
+            return []
+        names = [s.getPath().getName() for s in self.files.listStatus(self.folder)]
+        return sorted(tuple(int(x) for x in name.split(".")) for name in names)
+
+    def last(self, upto: int | None = None) -> tuple[int, int] | None:
+        found = [n for n in self.all() if upto is None or n[0] <= upto]
+        return found[-1] if found else None
+
+    def remove(self, path: str) -> None:
+        self.files.delete(self.make_path(path), True)
 
 
 class ChangeTable:
@@ -54,39 +63,47 @@ class ChangeTable:
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
+        notes = Notes(spark, self.path)
         # Notes of earlier batches only: this batch may have been written before.
-        before = _last_note(spark, self.path, batch_id - 1) if batch_id else None
+        before = notes.last(batch_id - 1)
         base = before[1] if before else -1
         self._put(changes, DELTA, batch_id)
-        if self.compact_every and before and batch_id - max(base, 0) >= self.compact_every:
+        due = self.compact_every and before and batch_id - max(base, 0) >= self.compact_every
+        if due:
             self._put(self.merge(self._rows(spark, base, batch_id)), BASE, batch_id)
-            base = batch_id
-        _note(spark, self.path, batch_id, base)
+        notes.add(batch_id, batch_id if due else base)
+        if due and base >= 0:
+            # A reader may still be at the base before this one, but no longer at what came before that.
+            for b in range(max(base - self.compact_every, 0), base + 1):
+                notes.remove(self._folder(DELTA, b))
+            notes.remove(self._folder(BASE, base - self.compact_every))
 
     def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
-        """The table after batch ``upto``, or after the last whole batch."""
-        last = _last_note(spark, self.path, upto)
+        """The table after batch ``upto``, one of the latest, or after the last whole batch."""
+        last = Notes(spark, self.path).last(upto)
         if last is None:
             raise ValueError(f"nothing has been written to {self.path} yet")
         return self.merge(self._rows(spark, last[1], last[0]))
 
     def changes(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What one batch wrote."""
-        return spark.read.parquet(f"{self.path}/rows/kind={DELTA}/batch_id={batch_id}")
+        return spark.read.parquet(self._folder(DELTA, batch_id))
+
+    def _folder(self, kind: str, batch_id: int) -> str:
+        return f"{self.path}/rows/kind={kind}/batch_id={batch_id}"
 
     def _put(self, rows: DataFrame, kind: str, batch_id: int) -> None:
         kept = [c for c in rows.columns if c not in ("kind", "batch_id")]
-        rows.select(*kept).write.mode("overwrite").parquet(f"{self.path}/rows/kind={kind}/batch_id={batch_id}")
+        rows.select(*kept).write.mode("overwrite").parquet(self._folder(kind, batch_id))
 
     def _rows(self, spark: SparkSession, base: int, last: int) -> DataFrame:
-        root = f"{self.path}/rows"
-        reader = spark.read.option("basePath", root)
+        reader = spark.read.option("basePath", f"{self.path}/rows")
         if base < 0:
-            rows = reader.parquet(f"{root}/kind={DELTA}").filter(F.col("batch_id") <= last)
+            rows = reader.parquet(f"{self.path}/rows/kind={DELTA}").filter(F.col("batch_id") <= last)
         else:
             # Named folders, so that those before the base are not even listed.
-            deltas = [f"{root}/kind={DELTA}/batch_id={b}" for b in range(base + 1, last + 1)]
-            rows = reader.parquet(f"{root}/kind={BASE}/batch_id={base}", *deltas)
+            deltas = [self._folder(DELTA, b) for b in range(base + 1, last + 1)]
+            rows = reader.parquet(self._folder(BASE, base), *deltas)
         return rows.withColumn("batch_id", F.col("batch_id").cast("bigint")).drop("kind")
 
 
@@ -98,10 +115,12 @@ class SnapshotTable:
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/{batch_id}")
-        _note(rows.sparkSession, self.path, batch_id, batch_id)
+        notes = Notes(rows.sparkSession, self.path)
+        notes.add(batch_id, batch_id)
+        notes.remove(f"{self.path}/rows/{batch_id - KEEP}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        last = _last_note(spark, self.path)
+        last = Notes(spark, self.path).last()
         if last is None:
             raise ValueError(f"nothing has been written to {self.path} yet")
         return spark.read.parquet(f"{self.path}/rows/{last[0]}")

@@ -3,7 +3,6 @@
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from loglens.functions import binary
 from loglens.operators import decode, group_metadata
@@ -55,6 +54,7 @@ def test_offset_commits(spark):
         (3, offset_key("gruppé", "トピック", 2**31 - 1), offset_value(-(2**63), "é", 0, 0)),
         (4, offset_key("g", "t", -(2**31)), None),
         (5, offset_key("g", "t", 1) + b"more", offset_value(1, "x" * 300, 2, 3) + b"more"),
+        (7, struct.pack(">hh", 1, 1) + b"\xff" + text("t") + struct.pack(">i", 0), None),
         (6, offset_key("g" * 32767, "t", 1), offset_value(1, "", 2, 3)),
     ]
     log = spark.createDataFrame(good, LOG)
@@ -67,6 +67,7 @@ def test_offset_commits(spark):
     assert got[3] == (4, "g", "t", -(2**31), True, None, None, None, None)
     assert got[4] == (5, "g", "t", 1, False, 1, "x" * 300, 2, 3)
     assert len(got[5][1]) == 32767
+    assert got[6][1] == "\ufffd"
 
 
 def test_bad_records(spark):
@@ -162,10 +163,12 @@ def test_group_metadata(spark):
 
 def test_writers_match_struct(spark):
     df = spark.createDataFrame([("é", -3, -(2**40))], "s string, i int, l bigint")
-    got = df.select(
-        F.unhex(F.concat(binary.hex_i16(-2), binary.hex_i32(F.col("i")), binary.hex_i64(F.col("l")))).alias("n"),
-        F.unhex(F.concat(binary.hex_text(F.col("s")), binary.hex_text(F.lit(None).cast("string")))).alias("t"),
+    got = df.selectExpr(
+        f"unhex(concat({binary.hex_i16(-2)}, {binary.hex_i32('i')}, {binary.hex_i64('l')})) as n",
+        f"unhex(concat({binary.hex_text('s')}, {binary.hex_text('cast(null as string)')})) as t",
+        f"unhex({binary.hex_bytes(binary.hex_array('array(1, i)', 'x', binary.hex_i16('x')))}) as a",
     ).first()
+    assert bytes(got["a"]) == blob(struct.pack(">ihh", 2, 1, -3))
     assert bytes(got["n"]) == struct.pack(">hiq", -2, -3, -(2**40))
     assert bytes(got["t"]) == text("é") + text(None)
 

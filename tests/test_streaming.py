@@ -124,20 +124,36 @@ def test_lag_report(spark, events, tmp_path):
     assert rows(tables.topic_groups.read(spark)) == rows(lag.topic_groups(report))
 
 
+def folders(path):
+    return sorted(int(p.name.split("=")[-1]) for p in path.iterdir() if p.is_dir()) if path.exists() else []
+
+
 def test_compaction(spark, tmp_path):
     table = ChangeTable(
         str(tmp_path / "t"), lambda df: latest.newest(df, ["k"], "v", "batch_id"), compact_every=2
     )
-    want = {}
-    for b in range(6):
+    want, states = {}, {}
+    for b in range(9):
         change = {f"k{b % 3}": b, "always": b * 10}
         want.update(change)
+        states[b] = sorted(want.items())
         for _ in range(2):  # a batch may be run again
             table.write(spark.createDataFrame(list(change.items()), "k string, v int"), b)
-        assert rows(table.read(spark), "k", "v") == sorted(want.items())
-    bases = sorted(p.name for p in (tmp_path / "t" / "rows" / "kind=base").iterdir() if p.is_dir())
-    assert bases == ["batch_id=2", "batch_id=4"]
-    assert rows(table.read(spark, upto=1), "k", "v") == [("always", 10), ("k0", 0), ("k1", 1)]
+        assert rows(table.read(spark), "k", "v") == states[b]
+        if b:
+            assert rows(table.read(spark, upto=b - 1), "k", "v") == states[b - 1]
+    assert folders(tmp_path / "t" / "rows" / "kind=base") == [6, 8]
+    assert folders(tmp_path / "t" / "rows" / "kind=delta") == [7, 8]
+
+
+def test_old_refreshes_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("loglens.streaming.tables.KEEP", 3)
+    table = SnapshotTable(str(tmp_path / "s"))
+    for b in range(6):
+        table.write(spark.createDataFrame([(b,)], "x int"), b)
+        assert rows(table.read(spark)) == [(b,)]
+    assert folders(tmp_path / "s" / "rows") == [3, 4, 5]
+    assert sorted(p.name for p in (tmp_path / "s" / "notes").iterdir() if p.name[0] != ".") == ["3.3", "4.4", "5.5"]
 
 
 def test_half_written_batch_is_not_seen(spark, tmp_path):
