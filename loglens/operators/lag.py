@@ -81,9 +81,9 @@ def group_snapshot(report: DataFrame, groups: DataFrame) -> DataFrame:
 
 def group_rows(report: DataFrame, groups: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """(grp, state, chunk, partitions): the report rows of each group as sorted arrays."""
-    columns = [c for c in REPORT if c != "grp"]
-    row = F.struct(*columns)
-    lists = nest(report, ["grp"], ["topic", "part_id", "consumer_id"], row, "partitions", max_items)
-    return groups.join(lists, "grp", "left").select(
-        "grp", "state", F.coalesce("chunk", F.lit(0)).alias("chunk"), "partitions"
-    )
+    row = F.struct(*[c for c in REPORT if c != "grp"])
+    # States are joined to rows, which a join can split, and not to the finished arrays of a large group.
+    rows = report.join(groups, "grp")
+    lists = nest(rows, ["grp", "state"], ["topic", "part_id", "consumer_id"], row, "partitions", max_items)
+    without = groups.join(report.select("grp").distinct(), "grp", "left_anti")
+    return lists.unionByName(without.withColumn("chunk", F.lit(0)), allowMissingColumns=True)

@@ -98,17 +98,17 @@ def latest_job(stream: DataFrame, keys: list[str], value: str, order: str, path:
 def distinct_job(stream: DataFrame, path: str) -> Job:
     """Distinct rows of a stream.
 
-    An aggregate and not ``dropDuplicates``, as that shuffles every copy of a row: here each task first reduces the
-    copies of its own. A row seen again in a later batch is written again and merged by the table.
+    The table is the state: each batch adds its own distinct rows, and rows seen before are merged away. Unlike
+    ``dropDuplicates`` on the stream, which shuffles every copy of a row, ``distinct`` on a batch first reduces the
+    copies in each task.
     """
     columns = stream.columns
     table = ChangeTable(f"{path}/distinct", lambda rows: rows.select(*columns).distinct())
-    seen = stream.groupBy(*columns).agg(F.count("*").alias("n_seen"))
-    return Job(seen, "update", lambda df, b: table.write(df.select(*columns), b), table.read, table)
+    return Job(stream, "append", lambda batch, b: table.write(batch.distinct(), b), table.read, table)
 
 
 def key_values_job(stream: DataFrame, key: str, value: str, path: str) -> Job:
-    """Set per key, in long form: state and output hold single pairs, never the whole set of a key."""
+    """Set per key, in long form: the table holds single pairs, never the whole set of a key."""
     return distinct_job(whole_pairs(stream, key, value), path)
 
 
