@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.functions import binary as b
-from loglens.operators.fence import fence
 from loglens.sources.topics import number_offsets
 
 DAY_MS = 86_400_000
@@ -18,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """As a stream of files. The pattern matches this one name, be it a file or a folder of files; without a pattern
+    the source takes folders only."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 # Topic log: records with keys, values, tombstones.
@@ -203,8 +204,7 @@ def binary_groups(events: DataFrame, damaged: bool = False) -> DataFrame:
 
 
 def binary_log(events: DataFrame, damaged: bool = False) -> DataFrame:
-    """Stands for a stored log: the fence keeps filters of the decoder out of the encoding."""
-    return fence(binary_commits(events, damaged).unionByName(binary_groups(events, damaged)), "key", "value")
+    return binary_commits(events, damaged).unionByName(binary_groups(events, damaged))
 
 
 def envelopes(events: DataFrame) -> DataFrame:

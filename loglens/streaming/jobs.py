@@ -19,7 +19,7 @@ from loglens.operators.latest import latest, newest
 from loglens.operators.sets import whole_pairs
 from loglens.operators.words import tokens, word_count
 from loglens.session import ROCKSDB_PROVIDER, STATE_PROVIDER
-from loglens.sources.topics import change_records, log_ends, number_offsets, place, write_topic
+from loglens.sources.topics import change_records, number_offsets, place, write_topic
 from loglens.streaming.tables import ChangeTable, SnapshotTable
 
 Table = Callable[[SparkSession], DataFrame]
@@ -65,18 +65,28 @@ def word_count_job(stream: DataFrame, text: str, path: str) -> Job:
     return Job(counts, "update", table.write, lambda spark: table.read(spark).select("word", "n"), table)
 
 
+def _last_offsets(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("topic", "part_id").agg(F.max("log_offset").alias("log_offset"))
+
+
 def publish(job: Job, topic: str, key: str, value: str, path: str | None = None, servers: str | None = None) -> Job:
-    """Also sends what each batch of ``job`` changed to a topic. A batch that is run again is sent again; readers that
-    take the newest record of a key are not affected."""
+    """Also sends what each batch of ``job`` changed to a topic. A batch that is run again is sent again, to a log table
+    with the same offsets; readers that take the newest record of a key are not affected."""
     spark = job.output.sparkSession
+    ends = ChangeTable(f"{path}-ends", _last_offsets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         job.write(batch, batch_id)
         # Read back in the outer session: in that of the stream, plans do not adapt at run time.
-        records = place(change_records(job.table.changes(spark, batch_id), topic, key, value))
-        if path:
-            records = number_offsets(records, "seq", log_ends(spark, path))
-        write_topic(records, path, servers)
+        records = change_records(job.table.changes(spark, batch_id), topic, key, value)
+        if servers:
+            write_topic(records, servers=servers)
+            return
+        present = log_end_offsets(ends.read(spark, batch_id - 1)) if batch_id else None
+        numbered = number_offsets(place(records), "seq", present).persist()
+        write_topic(numbered, path)
+        ends.write(_last_offsets(numbered), batch_id)
+        numbered.unpersist()
 
     return Job(job.output, job.mode, write, job.read, job.table)
 
@@ -162,7 +172,7 @@ def lag_job(topic_log: DataFrame, commits: DataFrame, assignments: Table, groups
     what it changed. ``assignments`` and ``groups`` are read anew each time.
     """
     newest_commits = newest_table(f"{path}/commits", KEYS, "committed", "log_pos")
-    last_offsets = ChangeTable(f"{path}/ends", lambda rows: _last_offsets(rows))
+    last_offsets = ChangeTable(f"{path}/ends", _last_offsets)
     tables = LagTables(*[SnapshotTable(f"{path}/{name}") for name in ("report", "topic_groups", "groups")])
 
     # Both logs in one query, so that one refresh sees one state of each.
@@ -191,7 +201,3 @@ def lag_job(topic_log: DataFrame, commits: DataFrame, assignments: Table, groups
         tables.groups.write(group_snapshot(report, states), batch_id)
 
     return Job(commit_rows.unionByName(end_rows), "append", write, tables.report.read), tables
-
-
-def _last_offsets(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("topic", "part_id").agg(F.max("log_offset").alias("log_offset"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loglens.operators import index, lag, latest, sets, words
+from loglens.operators import decode, group_metadata, index, lag, latest, sets, words
 from loglens.plans import inputs
 from loglens.sources import topics as source
 from loglens.streaming import jobs
@@ -94,6 +94,22 @@ def test_index(spark, events, tmp_path, expire):
     assert rows(index.dump(got)) == rows(index.dump(index.live(commits) if expire else index.ever_seen(commits)))
 
 
+def test_binary_log_to_index(spark, events, tmp_path):
+    """From the bytes of a damaged log, by way of the decoder, to the index and to the table of rejects."""
+    log = inputs.binary_log(events, damaged=True)
+    stream = staged(spark, log, str(tmp_path / "in"))
+    good, bad = decode.split_rejects(decode.decode_commits(stream))
+    got = run(jobs.index_job(good, str(tmp_path / "out"), expire=True), tmp_path)
+    rejects = jobs.append_job(bad, str(tmp_path / "bad")).run(str(tmp_path / "bad-checkpoint"))
+    groups = jobs.append_job(
+        group_metadata.decode_groups(stream).select("grp", "reason"), str(tmp_path / "groups")
+    ).run(str(tmp_path / "groups-checkpoint"))
+    want_good, want_bad = decode.split_rejects(decode.decode_commits(log))
+    assert rows(got) == rows(index.live(want_good))
+    assert rows(rejects) == rows(want_bad)
+    assert rows(groups) == rows(group_metadata.decode_groups(log), "grp", "reason")
+
+
 def test_orphans_across_batches(spark, events, tmp_path):
     commits = inputs.commit_log(events)
     stream = staged(spark, commits, str(tmp_path / "in"), order="log_pos")
