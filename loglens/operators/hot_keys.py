@@ -2,7 +2,8 @@
 
 A window over one key runs in one task. Keys with more than ``limit`` rows are cut into slices of the sequence
 number; the window runs within (key, slice) and small per-slice totals carry the result across slices. All other
-keys keep the single slice 0, so their rows are shuffled once and need nothing carried.
+keys keep the single slice 0, so their rows are shuffled once and need nothing carried. Keys should not be null: a null
+key is never cut.
 """
 
 from __future__ import annotations
@@ -15,28 +16,41 @@ SLICE = "_slice"
 HOT = "_hot"
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int = SLICE_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows. There are fewer than rows / limit of them."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
+def hot_keys(df: DataFrame, keys: list[str], seq: str, limit: int = SLICE_ROWS) -> DataFrame:
+    """Keys with more than ``limit`` rows, where their sequence numbers start, and how many of them make a slice.
+    There are fewer than rows / limit such keys."""
+    first, last = F.col("_first"), F.col("_last")
+    return (
+        df.groupBy(*keys)
+        .agg(
+            F.count("*").alias("_n"),
+            F.min(seq).cast("double").alias("_first"),
+            F.max(seq).cast("double").alias("_last"),
+        )
+        .filter(F.col("_n") > limit)
+        .select(*keys, "_first", ((last - first + 1) / F.ceil(F.col("_n") / limit)).alias("_width"))
+    )
 
 
 def with_slices(df: DataFrame, keys: list[str], seq: str, limit: int = SLICE_ROWS) -> DataFrame:
     """Adds ``_hot`` and ``_slice``, which rises with ``seq`` within a hot key.
 
-    ``seq`` is a whole number, such as a log position. If it is unique, a slice holds at most ``limit`` rows.
+    A hot key gets rows / limit slices of equal width, so that they hold about ``limit`` rows each if its sequence
+    numbers, such as log positions, are spread evenly. The result is right for any spread.
     """
-    hot = hot_keys(df, keys, limit).withColumn("_flag", F.lit(True))
     # Broadcast is safe: fewer than rows / limit keys, so 10^12 rows give less than a million of them.
-    marked = df.join(F.broadcast(hot), keys, "left")
+    marked = df.join(F.broadcast(hot_keys(df, keys, seq, limit)), keys, "left")
+    hot = F.col("_width").isNotNull()
+    piece = F.floor((F.col(seq).cast("double") - F.col("_first")) / F.col("_width")).cast("bigint")
     return marked.select(
         *[F.col(c) for c in df.columns],
-        F.col("_flag").isNotNull().alias(HOT),
-        F.when(F.col("_flag"), F.expr(f"`{seq}` div {limit}L")).otherwise(F.lit(0).cast("bigint")).alias(SLICE),
+        hot.alias(HOT),
+        F.when(hot, piece).otherwise(F.lit(0).cast("bigint")).alias(SLICE),
     )
 
 
-def within(keys: list[str], seq: str):
-    return Window.partitionBy(*keys, SLICE).orderBy(seq)
+def within(keys: list[str], *order: str):
+    return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
 def across(keys: list[str]):
@@ -51,10 +65,12 @@ def before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def number_rows(df: DataFrame, keys: list[str], seq: str, name: str, limit: int = SLICE_ROWS) -> DataFrame:
-    """Dense row numbers from 0 per key, in ``seq`` order."""
+def number_rows(
+    df: DataFrame, keys: list[str], seq: str, name: str, limit: int = SLICE_ROWS, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Dense row numbers from 0 per key, in the order of ``seq`` and, where that repeats, of ``ties``."""
     sliced = with_slices(df, keys, seq, limit)
-    ranked = sliced.withColumn("_rank", F.row_number().over(within(keys, seq)).cast("bigint"))
+    ranked = sliced.withColumn("_rank", F.row_number().over(within(keys, seq, *ties)).cast("bigint"))
     base = (
         sliced.filter(HOT)
         .groupBy(*keys, SLICE)

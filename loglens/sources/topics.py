@@ -112,13 +112,17 @@ def place(records: DataFrame, n_partitions: int = 4) -> DataFrame:
 
 
 def number_offsets(
-    records: DataFrame, seq: str, ends: DataFrame | None = None, limit: int = SLICE_ROWS
+    records: DataFrame,
+    seq: str,
+    ends: DataFrame | None = None,
+    limit: int = SLICE_ROWS,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Adds ``log_offset``: dense per partition, in ``seq`` order, from 0 or from the present log ends on.
 
-    ``seq`` makes the numbers the same when a lost task is run again.
+    ``seq``, with ``ties`` where it repeats, makes the numbers the same when a lost task is run again.
     """
-    numbered = number_rows(records, ["topic", "part_id"], seq, "log_offset", limit)
+    numbered = number_rows(records, ["topic", "part_id"], seq, "log_offset", limit, ties)
     if ends is None:
         return numbered
     return numbered.join(ends, ["topic", "part_id"], "left").select(

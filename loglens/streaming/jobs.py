@@ -83,7 +83,7 @@ def publish(job: Job, topic: str, key: str, value: str, path: str | None = None,
             write_topic(records, servers=servers)
             return
         present = log_end_offsets(ends.read(spark, batch_id - 1)) if batch_id else None
-        numbered = number_offsets(place(records), "seq", present).persist()
+        numbered = number_offsets(place(records), "seq", present, ties=("msg_key",)).persist()
         write_topic(numbered, path)
         ends.write(_last_offsets(numbered), batch_id)
         numbered.unpersist()

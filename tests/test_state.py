@@ -106,6 +106,19 @@ def test_number_rows(spark, limit):
     assert rows(hot_keys.number_rows(df, ["key"], "seq", "n", limit)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+def test_uneven_and_repeated_sequence_numbers(spark, limit):
+    seqs = [-(2**63), -(2**40), -5, 0, 1, 1, 1, 2, 2**20, 2**62, 2**62 + 1, 2**63 - 1]
+    data = [(seq, "hot", f"r{i:02d}") for i, seq in enumerate(seqs)]
+    df = spark.createDataFrame(data, "seq bigint, key string, name string").repartition(4)
+    got = hot_keys.number_rows(df, ["key"], "seq", "n", limit, ties=("name",))
+    assert [r["n"] for r in got.orderBy("name").collect()] == list(range(len(seqs)))
+    slices = hot_keys.with_slices(df, ["key"], "seq", limit).orderBy("name").collect()
+    pieces = [r["_slice"] for r in slices]
+    # At the ends of the number range the width is rounded, which may give one slice more.
+    assert pieces == sorted(pieces) and pieces[0] == 0 and pieces[-1] <= -(-len(seqs) // limit)
+
+
 def test_nest_keeps_every_item_in_one_chunk(spark):
     pairs = [("hot", i) for i in range(1000)] + [("small", i) for i in range(3)]
     df = spark.createDataFrame(pairs, "k string, v bigint")
