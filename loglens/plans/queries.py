@@ -83,12 +83,14 @@ def topic_roundtrip(spark, sf_dir):
 
 @query
 def tokens(spark, sf_dir):
-    return words.word_count(words.tokens(inputs.table(spark, sf_dir, "documents"), "text", "doc_id"), "doc_id")
+    documents = words.spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return words.word_count(words.tokens(documents, "text", "doc_id"), "doc_id")
 
 
 @query
 def word_count(spark, sf_dir):
-    return words.word_count(words.tokens(inputs.table(spark, sf_dir, "documents"), "text"))
+    documents = words.spread(inputs.table(spark, sf_dir, "documents").select("text"))
+    return words.word_count(words.tokens(documents, "text"))
 
 
 @events_query
