@@ -164,9 +164,12 @@ class LagTables:
     groups: SnapshotTable
 
 
-def lag_job(topic_log: DataFrame, commits: DataFrame, assignments: Table, groups: Table, path: str) -> tuple[Job, LagTables]:
+def lag_job(
+    topic_log: DataFrame, commits: DataFrame, assignments: Table, groups: Table, path: str, clock: bool = False
+) -> tuple[Job, LagTables]:
     """Refreshes the lag report and its views at every trigger and replaces each as a whole; start it with
-    ``processingTime="2 seconds"``.
+    ``processingTime="2 seconds"``. With ``clock`` it does so even when the logs have no new records, as assignments
+    and groups may have changed.
 
     A refresh does not read the logs again: newest commits and log ends are kept in tables, to which each batch adds
     what it changed. ``assignments`` and ``groups`` are read anew each time.
@@ -182,15 +185,24 @@ def lag_job(topic_log: DataFrame, commits: DataFrame, assignments: Table, groups
         F.lit(None).cast("bigint").alias("committed"), F.lit(None).cast("bigint").alias("log_pos"), "log_offset",
     )
 
+    rows = commit_rows.unionByName(end_rows)
     # Joins run in the outer session: in that of the stream, plans do not adapt at run time.
     spark = commits.sparkSession
+    if clock:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        rows = rows.unionByName(ticks.select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        # One pass reduces both logs to a row per key in each task; only that is kept for the two writes.
+        reduced = batch.filter(F.col("topic").isNotNull()).groupBy(*KEYS).agg(
+            F.max_by("committed", "log_pos").alias("committed"),
+            F.max("log_pos").alias("log_pos"),
+            F.max("log_offset").alias("log_offset"),
+        ).persist()
         is_commit = F.col("grp").isNotNull()
-        newest_commits.write(newest(batch.filter(is_commit), KEYS, "committed", "log_pos"), batch_id)
-        last_offsets.write(_last_offsets(batch.filter(~is_commit)), batch_id)
-        batch.unpersist()
+        newest_commits.write(reduced.filter(is_commit).select(*KEYS, "committed", "log_pos"), batch_id)
+        last_offsets.write(reduced.filter(~is_commit).select("topic", "part_id", "log_offset"), batch_id)
+        reduced.unpersist()
 
         offsets = latest(newest_commits.read(spark, batch_id), KEYS, "committed", "log_pos")
         ends = log_end_offsets(last_offsets.read(spark, batch_id))
@@ -200,4 +212,4 @@ def lag_job(topic_log: DataFrame, commits: DataFrame, assignments: Table, groups
         tables.topic_groups.write(topic_groups(report), batch_id)
         tables.groups.write(group_snapshot(report, states), batch_id)
 
-    return Job(commit_rows.unionByName(end_rows), "append", write, tables.report.read), tables
+    return Job(rows, "append", write, tables.report.read), tables

@@ -1,5 +1,7 @@
 """Streams over several micro-batches end in the table of the batch form."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,42 @@ def test_lag_report(spark, events, tmp_path):
     assert rows(tables.topic_groups.read(spark)) == rows(lag.topic_groups(report))
 
 
+def test_lag_report_is_refreshed_on_a_timer(spark, events, tmp_path):
+    """A change of the assignments shows up though the logs have no new records."""
+    topic_log, commits = inputs.topic_log(events), inputs.commit_log(events)
+    logs = []
+    for name, df in (("topic", topic_log), ("commits", commits)):
+        df.write.parquet(str(tmp_path / name))
+        logs.append(spark.readStream.schema(df.schema).parquet(str(tmp_path / name)))
+    member = spark.createDataFrame(
+        [("cg-0", "view", 99, "new", "cl", "/h")],
+        "grp string, topic string, part_id int, consumer_id string, client_id string, host string",
+    )
+    assigned = {"now": inputs.assignments(events)}
+    job, tables = jobs.lag_job(
+        *logs, lambda s: assigned["now"], lambda s: inputs.groups(events), str(tmp_path / "out"), clock=True
+    )
+    query = job.start(str(tmp_path / "checkpoint"), processingTime="1 second")
+
+    def wait_for(n_rows):
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            try:
+                if tables.report.read(spark).filter("part_id = 99").count() == n_rows:
+                    return True
+            except ValueError:
+                pass
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert wait_for(0)
+        assigned["now"] = assigned["now"].unionByName(member)
+        assert wait_for(1)
+    finally:
+        query.stop()
+
+
 def folders(path):
     return sorted(int(p.name.split("=")[-1]) for p in path.iterdir() if p.is_dir()) if path.exists() else []
 
