@@ -69,6 +69,7 @@ def commit_log(events: DataFrame) -> DataFrame:
 
 
 def assignments(events: DataFrame) -> DataFrame:
+    """One member for each of the groups 0 to 5; groups 6 and 7 have none, so that their offsets are unassigned."""
     member = (F.col("user_id") % 8).cast("string")
     return (
         events.filter(F.col("user_id") % 8 < 6)

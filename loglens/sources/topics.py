@@ -107,8 +107,9 @@ def generate_records(specs: DataFrame, block: int = 10_000) -> DataFrame:
 
 
 def place(records: DataFrame, n_partitions: int = 4) -> DataFrame:
-    """Adds ``part_id``: all records of a key go to one partition."""
-    return records.withColumn("part_id", F.pmod(F.hash("msg_key"), F.lit(n_partitions)))
+    """Adds ``part_id``: all records of a key go to one partition, records without a key are spread by ``seq``."""
+    by = F.when(F.col("msg_key").isNotNull(), F.hash("msg_key")).otherwise(F.hash("seq"))
+    return records.withColumn("part_id", F.pmod(by, F.lit(n_partitions)))
 
 
 def number_offsets(
