@@ -53,3 +53,16 @@ def test_entry(spark):
     assert entry.entry(spark).columns == [
         "grp", "topic", "part_id", "committed", "log_end", "lag", "consumer_id", "host", "client_id"
     ]
+
+
+@pytest.mark.parametrize("name", ["lag_report", "group_rows", "topic_scan", "orphan_tombstones", "key_value_sets", "index_dump"])
+def test_same_result_without_small_tables(spark, con, name):
+    """As on large tables, where no side of a join is small enough to be sent to all tasks."""
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for limit in limits:
+        spark.conf.set(limit, "-1")
+    try:
+        assert difference(spark, con, name, SMALL) is None
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
