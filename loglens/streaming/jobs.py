@@ -35,8 +35,11 @@ class Job:
 
     def start(self, checkpoint: str, **trigger) -> StreamingQuery:
         """Starts the job; a second start with the same checkpoint goes on where the first one ended."""
-        # State lives in RocksDB: the default provider keeps all of it on the heap of the executors.
-        self.output.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
+        # State lives in RocksDB unless the session names a provider of its own: the default one keeps all of it on the
+        # heap of the executors.
+        conf = self.output.sparkSession.conf
+        if conf.get(STATE_PROVIDER).endswith(".HDFSBackedStateStoreProvider"):
+            conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
         return (
             self.output.writeStream.outputMode(self.mode)
             .foreachBatch(self.write)
