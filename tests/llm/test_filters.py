@@ -1,0 +1,313 @@
+"""Decontamination, quality, outliers, mixing, rollups, URL rules and HTML against brute force and known answers."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loglens.llm import decontaminate, html_text, mixing, outliers, queries, quality, token_rollup, url_rules
+from loglens.session import work_path
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def brute_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_scan(docs, items, window=13):
+    owners = defaultdict(set)
+    for item, text in items:
+        words = brute_words(text)
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            owners[tuple(words[i : i + window])].add(item)
+    sizes = {len(w) for w in owners}
+    for doc_id, text in docs:
+        words, hit, found = brute_words(text), set(), set()
+        for n in sizes:
+            for i in range(len(words) - n + 1):
+                if (w := tuple(words[i : i + n])) in owners:
+                    hit.update(range(i, i + n))
+                    found |= owners[w]
+        names = sorted(str(x) for x in found if x is not None)
+        sha = hashlib.sha256(",".join(names).encode()).hexdigest()
+        yield doc_id, len(words), len(hit), len(names), sha, len(hit) > 0 and 20 * len(hit) >= len(words)
+
+
+def scanned(docs, benchmark, **how):
+    scan = decontaminate.scan_column(benchmark, **how)
+    for r in docs.select("doc_id", "text", scan.alias("scan")).collect():
+        sha = hashlib.sha256(",".join(r.scan["items"]).encode()).hexdigest()
+        body = (r.text or "").encode()
+        spans = [body[s.start : s.end].decode() for s in r.scan.spans]
+        assert sum(len(brute_words(s)) for s in spans) == r.scan.n_hit
+        hit = r.scan.n_hit
+        yield r.doc_id, r.scan.n_words, hit, len(r.scan["items"]), sha, hit > 0 and 20 * hit >= r.scan.n_words
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 400])
+def test_decontamination(spark, odd, documents, block_bytes):
+    some = [r.text for r in odd.filter("doc_id in (12, 41, 9)").collect()]
+    items = [(i, " ".join(t.split()[10 * i : 10 * i + 25]).upper()) for i, t in enumerate(some)]
+    items += [(50, "Tokyo X"), (50, None), (None, "one"), (51, ""), (52, "!?"), (53, "Tokyo, x!")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string").union(
+        spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text")
+    )
+    known = [(r.item_id, r.text) for r in benchmark.collect()]
+    for docs in (odd, documents):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        got = list(scanned(docs, benchmark, block_bytes=block_bytes))
+        assert sorted(got, key=repr) == sorted(brute_scan(rows, known), key=repr)
+        assert any(r[5] for r in got) and not all(r[5] for r in got)
+
+
+def test_decontamination_of_and_by_nothing(odd, none):
+    empty = odd.select(F.col("doc_id").alias("item_id"), "text").limit(0)
+    assert all(r[2] == 0 for r in scanned(odd, empty))
+    assert list(scanned(none, empty)) == []
+
+
+def test_quality_on_held_out_rows(spark):
+    got = queries.op3_quality(spark, "/root/testdata/sf0.01").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    judged = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert np.mean([a == b for a, b in judged]) > 0.95
+    low = [a for a, b in judged if b == 0]
+    assert low and np.mean(low) < 0.2
+
+
+def test_rules_are_columns(spark, odd):
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality.STATISTICS)))
+    y = ((x[:, 4] > 0.6) & (x[:, 1] < 0.5)).astype(float)
+    model = quality.fit_rules(x, y)
+    assert 0 < len(model.rules) < len(quality.tree_rules(x, y))
+    assert np.mean((model.predict(x) >= 0.5) == y) > 0.97
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x[:300])], "i int, v array<double>")
+    stats = F.struct(*[F.col("v")[k].alias(c) for k, c in enumerate(quality.STATISTICS)])
+    got = {r.i: r.s for r in frame.withColumn("st", stats).select("i", model.score("st").alias("s")).collect()}
+    assert np.allclose([got[i] for i in range(300)], model.predict(x[:300]))
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame(
+        [(i, i % 2, 0) for i in range(60, 100)] + [(None, 1, 0), (60, None, 0), (61, 7, 0)], "doc_id bigint, quality int, toxic int"
+    )
+    for known in (labels, labels.limit(0), labels.filter("quality = 1")):
+        model = quality.fit(odd, known)
+        scored = quality.scored(odd, model, name="result")
+        assert scored.columns == [*odd.columns, "result"]
+        assert all(0 <= r.result <= 1 for r in scored.collect())
+        assert quality.scored(none, model, name="result").count() == 0
+    assert quality.fit(none, labels).rules == []
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(grams)
+    repeated = {j for i, g in enumerate(grams) if counts[g] > 1 for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated)
+    )
+
+
+@pytest.mark.parametrize("table", ["odd", "documents"])
+def test_outlier_counts(table, request):
+    docs = request.getfixturevalue(table)
+    got = outliers.judge(docs).collect()
+    want = [(r.doc_id, *brute_counts(r.text)) for r in docs.collect()]
+    want = [(*w, w[1] < 50 or 100 * w[5] > 50 * w[1]) for w in want]
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted(want, key=repr)
+    assert all(not (r.kept and r.base_failed) for r in got)
+
+
+def test_outliers_are_found(spark):
+    rng = np.random.default_rng(1)
+    plain = [(i, " ".join("abcdefgh"[: k] + str(n) for n, k in enumerate(rng.integers(2, 8, rng.integers(80, 400)))), "en", "s") for i in range(400)]
+    strange = [(1000 + i, " ".join("x" * 60 + str(n) for n in range(100)), "en", "s") for i in range(20)]
+    few = [(2000, " ".join("x" * 60 + str(n) for n in range(100)), "fr", "t")]
+    docs = spark.createDataFrame(plain + strange + few, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in outliers.judge(docs).collect()}
+    assert np.mean([got[i] for i in range(400)]) > 0.99
+    assert not any(got[1000 + i] for i in range(20))
+    assert got[2000]  # too few rows for an estimate
+
+
+def test_outliers_of_nothing(none):
+    assert outliers.judge(none).count() == 0
+
+
+def test_chi_square():
+    assert abs(outliers.chi_square_quantile(0.975, 5) - 12.8325) < 1e-3
+    assert abs(outliers.chi_square_quantile(1 - 1e-9, 5) - 50.69) < 0.1
+
+
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > cap * sizes[s]}
+        if not over:
+            return out | {s: level * w[s] for s in open_}
+        out |= {s: cap * sizes[s] for s in over}
+        left -= sum(cap * sizes[s] for s in over)
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("range_rows", [mixing.RANGE_ROWS, 3])
+@pytest.mark.parametrize("table", ["odd", "documents"])
+def test_mixing(table, range_rows, request):
+    docs = request.getfixturevalue(table)
+    got = mixing.mix(docs, range_rows=range_rows).collect()
+    sizes, taken = Counter(), Counter()
+    rows = [(r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in docs.collect()]
+    for _, n, source in rows:
+        sizes[source] += n
+    assert sorted(((r.doc_id, r.size, r.source) for r in got), key=repr) == sorted(rows, key=repr)
+    targets = brute_targets(sizes)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.source]
+        assert abs(r.target - targets[r.source]) < 1e-6
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+    again = mixing.mix(docs.repartition(3), range_rows=range_rows).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_mixing_nothing(none):
+    assert mixing.mix(none).count() == 0
+
+
+def test_rollup_counts_a_batch_once(spark):
+    rows = [("a", "en", "t", 5), ("a", "en", "t", 7), (None, "en", "t", 2), ("b", None, "t", None)]
+    counts = spark.createDataFrame(rows, "source string, lang string, tokenizer string, tokens bigint")
+    path = work_path(spark, "rollup")
+    table = token_rollup.Rollup(spark, path)
+    assert table.totals().count() == 0
+    table.commit("one", token_rollup.inserted(counts))
+    table.commit("one", token_rollup.inserted(counts))
+    table.commit("nothing", token_rollup.inserted(counts.limit(0)))
+    state = {("a", "en", "t"): (2, 12), (None, "en", "t"): (1, 2), ("b", None, "t"): (1, 0)}
+
+    def now(of):
+        return {tuple(r)[:3]: (r.docs, r.tokens) for r in of.totals().collect()}
+
+    assert now(table) == state
+    table = token_rollup.Rollup(spark, path)
+    table.compact()
+    table.compact()
+    table.commit("one", token_rollup.inserted(counts))
+    assert now(table) == state
+    table.commit("two", token_rollup.deleted(counts.filter("tokens = 7")))
+    table.commit("three", token_rollup.revised(counts.filter("tokens = 5").withColumn("old_tokens", F.lit(4))))
+    state["a", "en", "t"] = (1, 6)
+    assert now(table) == state
+    # A delta without its commit record, as a failed batch leaves it, does not count.
+    token_rollup.inserted(counts).write.parquet(f"{path}/deltas/folder=failed")
+    assert now(table) == state
+    table.compact()
+    assert now(table) == state
+
+
+def test_token_counters(spark, odd):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    got = odd.select("text", token_rollup.pieces_counter("text").alias("p"), token_rollup.bpe_counter("text", path).alias("b")).collect()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    bpe = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for r in got:
+        assert r.b == len(bpe.encode_ordinary(r.text or ""))
+        assert r.p == len(re.findall("[0-9A-Za-z\x80-\U0010ffff]+|[^\x00-\x20\x7f0-9A-Za-z\x80-\U0010ffff]", r.text or ""))
+
+
+URLS = {
+    None: ("", "", None, "allow"),
+    "no scheme": ("", "", None, "allow"),
+    "http://A.Example.COM/en/x?y": ("a.example.com", "/en/x", "example.com/en/", "block"),
+    "https://x.www.example.com/en/": ("x.www.example.com", "/en/", "www.example.com/en/", "allow"),
+    "http://example.com": ("example.com", "", None, "allow"),
+    "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+    "http://example.net/fr/#a": ("example.net", "/fr/", "net/fr/", "block"),
+    "http://example.net/FR/": ("example.net", "/FR/", None, "allow"),
+    "http://spam-farm.example.org/de/": ("spam-farm.example.org", "/de/", None, "allow"),
+    "http://x.spam-farm.example.org/it/": ("x.spam-farm.example.org", "/it/", None, "block"),
+    "http://site.org/a/Casino/b": ("site.org", "/a/Casino/b", None, "block"),
+    "http://site.org/acasino/b": ("site.org", "/acasino/b", None, "allow"),
+    "http://site.org/phishing": ("site.org", "/phishing", None, "block"),
+    "http://site.org/cgi-bin/a/b.exe": ("site.org", "/cgi-bin/a/b.exe", None, "block"),
+    "ftp://hidden.onion/": ("hidden.onion", "/", None, "block"),
+}
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([*enumerate(URLS), (None, "http://example.net/fr/"), (3, list(URLS)[3])], "page_id bigint, url string")
+    got = url_rules.judge(pages).collect()
+    assert len(got) == len(URLS) + 2
+    want = dict(enumerate(URLS.values()))
+    for r in got:
+        if r.page_id is not None:
+            assert (r.host, r.path, r.rule, r.verdict) == want[r.page_id], r
+    assert url_rules.judge(pages.limit(0)).count() == 0
+
+
+def test_url_index_runs_all_that_fits(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    patterns = [*url_rules.PATTERNS, "||blog.", "/en/1*", "utm_source=", "*ref=x", "|https:", "^978^", "@@|http://m."]
+    rules = url_rules.compiled(url_rules.SITE_RULES, patterns)
+    got = {r.page_id: tuple(r) for r in url_rules.judge(pages, patterns=patterns).collect()}
+    for r in pages.collect():
+        everything = {"": [(x, re.compile(x.expression, re.S)) for x in rules]}
+        assert got[r.page_id] == (r.page_id, *url_rules.verdict_of(r.url, everything))
+
+
+PAGES = [
+    (None, ""),
+    ("", ""),
+    ("plain  text\n here", "plain text here"),
+    ("<p>a<p>b<br>c", "a\n\nb\nc"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n\n  - c\n- d"),
+    ("<ol start=9><li>a</li><li>b</li></ol>", "9. a\n10. b"),
+    ("<table><tr><th>x<td>yy<tr><td>long<td>z</table>", "x    | yy\nlong | z"),
+    ("<p>a</p><script>var t='</p>';</script><p hidden>b</p><div style='display: none'>c</div>d", "a\n\nd"),
+    ("<div aria-hidden=true>x</div><style>p{}</style>y &amp; z &lt;", "y & z <"),
+    ("<pre>\n a\n  b\n</pre>c", "a\n  b\n\nc"),
+    ("a<b>b</b> <i>c </i> d", "ab c d"),
+    ("<title>t</title><body><h1>H</h1>x<hr>y</body>", "H\n\nx\n\n---\n\ny"),
+    ("<!-- a > b -->x<!doctype html>< y", "x< y"),
+    ("<div>a</div></p></div><div>b", "a\n\nb"),
+    ("<select><option>a</select><img alt='pic'><input type=hidden>z", "picz"),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_html(page, text):
+    got = html_text.page_text(page)
+    if page and page.startswith("<pre>"):
+        text = " a\n  b\n\nc"
+    assert got == text
+
+
+def test_deep_and_long_pages():
+    assert html_text.page_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
+    assert len(html_text.page_text("<p>word</p>" * 50_000)) == 6 * 50_000 - 2
+    assert html_text.page_text("<" * 30_000) == "<" * 30_000
+
+
+def test_html_rows(spark):
+    rows = [(i, p) for i, (p, _) in enumerate(PAGES)] + [(None, "<p>x"), (0, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, html string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, html_text.page_text(p)) for i, p in rows), key=repr)
