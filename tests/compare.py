@@ -37,7 +37,7 @@ def difference(spark, con, name: str, sf_dir: str) -> str | None:
     want = rows_of(cursor.fetchall(), columns)
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
-    types = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    types = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
     sql_types = {d[0]: str(d[1]) for d in cursor.description}
     kinds = con.execute(f"describe {entry.oracle_sql()[name]}").fetchall()
     sql_types = {k[0]: k[1] for k in kinds}
