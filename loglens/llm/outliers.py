@@ -31,7 +31,7 @@ _SPACE = b" \t\n\r\x0b\x0c"
 _TAILS = bytes(range(0x80, 0xC0))  # the bytes of a character after its first
 
 #: The transformed statistics, and the least standard deviation that is believed of each.
-VECTOR = ["log_words", "log_word_chars", "symbol_root", "dup_line_root", "repeat_root"]
+VECTOR = ["log_words", "log_word_chars", "symbol_root", "dup_line_root", "repeat_share"]
 LEAST_DEVIATION = (0.3, 0.1, 0.05, 0.05, 0.05)
 MIN_ROWS = 50  # cells with fewer rows are pooled by language, then altogether
 SHARE = 0.75
@@ -95,7 +95,7 @@ def _vector() -> list[Column]:
         F.log(chars / n),
         F.sqrt(F.col("n_symbols") / chars),
         F.sqrt(F.col("n_dup_lines") / n),
-        F.sqrt(F.col("n_repeat_words") / n),
+        F.col("n_repeat_words") / n,  # comes in whole passages, so small shares are common and not stretched
     ]
 
 
