@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The record text, its date pattern and the zone it is printed in.
@@ -35,14 +35,25 @@ def utc_wall_time(ts: Column, has_zone: bool) -> Column:
     return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
 
 
+def utc_instant(ts: Column) -> Column:
+    """The instant of a UTC wall time without zone, whatever the session zone is."""
+    seconds = F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(seconds.cast("bigint") * 1_000_000 + micros)
+
+
 def zoned_text(utc: Column, zone: str, names: dict[int, str]) -> Column:
     """``EEE MMM dd HH:mm:ss zzz yyyy`` of a UTC wall time. ``names`` maps the UTC offset in hours to the zone label:
-    Spark's own ``zzz`` prints the zone of the session."""
+    Spark's own ``zzz`` prints the zone of the session. An offset without a label is an error."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     hours = F.extract(F.lit("HOUR"), local - utc).cast("int")
     label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[hours]
+    missing = F.raise_error(F.concat(F.lit(f"no label for {zone} at UTC offset "), hours.cast("string"))).cast("string")
     return F.concat_ws(
-        " ", F.date_format(local, "EEE MMM dd HH:mm:ss"), label, F.date_format(local, "yyyy")
+        " ",
+        F.date_format(local, "EEE MMM dd HH:mm:ss"),
+        F.when(utc.isNotNull(), F.coalesce(label, missing)),
+        F.date_format(local, "yyyy"),
     )
 
 
@@ -57,3 +68,10 @@ def record_text(
 ) -> Column:
     """One record as text; a null key or value prints as ``null``."""
     return F.format_string(RECORD_FORMAT, key, value, part_id, offset, zoned_text(utc, zone, names))
+
+
+def with_record_text(log: DataFrame, name: str = "text") -> DataFrame:
+    """Text records with their print. ``ts`` may be an instant or a UTC wall time without zone."""
+    utc = utc_wall_time(F.col("ts"), has_zone=log.schema["ts"].dataType.typeName() == "timestamp")
+    text = record_text(F.col("msg_key"), F.col("msg_value"), F.col("part_id"), F.col("log_offset"), utc)
+    return log.withColumn(name, text)

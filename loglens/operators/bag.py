@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from loglens.operators.hot_keys import HOT, SLICE, SLICE_ROWS, across, before, running, with_slices, within
 
 
-def _running(events: DataFrame, value: str, seq: str, delta: str, limit: int) -> DataFrame:
-    sliced = with_slices(events.select(value, seq, delta), [value], seq, limit)
+def _running(sliced: DataFrame, value: str, seq: str, delta: str) -> DataFrame:
     return sliced.withColumn("_run", F.sum(delta).over(running(within([value], seq))))
 
 
@@ -28,7 +27,7 @@ def bag_counts(
     events: DataFrame, value: str = "bag_value", seq: str = "seq", delta: str = "delta", limit: int = SLICE_ROWS
 ) -> DataFrame:
     """(value, n) of the values that have copies left."""
-    slices = _totals(_running(events, value, seq, delta, limit), value, delta)
+    slices = _totals(_running(with_slices(events.select(value, seq, delta), [value], seq, limit), value, seq, delta), value, delta)
     base = F.coalesce(F.sum("_sum").over(before(across([value]))), F.lit(0))
     whole = (
         slices.withColumn("_low", base + F.col("_low"))
@@ -43,7 +42,8 @@ def bag_bad_deletes(
     events: DataFrame, value: str = "bag_value", seq: str = "seq", delta: str = "delta", limit: int = SLICE_ROWS
 ) -> DataFrame:
     """(value, seq) of the deletes that found no copy."""
-    runs = _running(events, value, seq, delta, limit)
+    sliced = with_slices(events.select(value, seq, delta), [value], seq, limit)
+    runs = _running(sliced, value, seq, delta)
     lowest_before = F.min("_run").over(before(within([value], seq)))
     inside = runs.withColumn("_low", lowest_before)
 
@@ -51,7 +51,7 @@ def bag_bad_deletes(
     w = across([value])
     after = F.col("_all") - F.least(F.lit(0), F.col("_all_low"))
     starts = (
-        _totals(runs.filter(HOT), value, delta)
+        _totals(_running(sliced.filter(HOT), value, seq, delta), value, delta)
         .withColumn("_all", F.sum("_sum").over(running(w)))
         .withColumn("_all_low", F.min(F.col("_all") - F.col("_sum") + F.col("_low")).over(running(w)))
         .withColumn("_start", F.lag(after).over(w))
@@ -72,16 +72,17 @@ def bag_sample(counts: DataFrame, k: int = 1, seed: int | str = 0, value: str =
     bag evenly. Drawing from an empty bag is an error.
 
     Each value gets the rank ``-ln(u) / n`` and the k smallest win (Efraimidis and Spirakis, 2006). Every task keeps
-    its own k best, so only those travel. ``repeatable`` takes u from a hash of seed and value.
+    its own k best, so only those travel, to one task: k should be small. ``repeatable`` takes u from a hash of seed and value.
     """
     if repeatable:
         digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(value).cast("string"))), 1, 8)
         u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
     else:
         u = 1.0 - F.rand(int(seed))
-    drawn = counts.withColumn("_rank", -F.log(u) / F.col("n")).orderBy("_rank", value).limit(k).select(value)
-    empty = (
-        counts.groupBy().count().filter(F.col("count") == 0)
-        .select(F.raise_error(F.lit("the bag is empty")).cast(counts.schema[value].dataType).alias(value))
+    drawn = counts.withColumn("_rank", -F.log(u) / F.col("n")).orderBy("_rank", value).limit(k)
+    # One row even if nothing was drawn, so that the bag is computed once.
+    values = drawn.agg(F.collect_list(value).alias("_values"))
+    some = F.when(F.size("_values") > 0, F.col("_values")).otherwise(
+        F.raise_error(F.lit("the bag is empty")).cast(values.schema["_values"].dataType)
     )
-    return drawn.unionByName(empty)
+    return values.select(F.explode(some).alias(value))

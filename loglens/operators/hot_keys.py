@@ -1,6 +1,6 @@
 """Ordered work on keys that may hold a large share of all rows.
 
-A window over one key runs in one task. Keys with more than ``limit`` rows are cut into slices of the sequence
+A window over one key runs in one task. Keys with more than ``limit`` rows are cut into slices by the rank of the sequence
 number; the window runs within (key, slice) and small per-slice totals carry the result across slices. All other
 keys keep the single slice 0, so their rows are shuffled once and need nothing carried. Keys should not be null: a null
 key is never cut.
@@ -14,38 +14,41 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 1 << 20
 SLICE = "_slice"
 HOT = "_hot"
+GRID = 1024  # slices of a key at the most
+_STEP = 32
 
 
 def hot_keys(df: DataFrame, keys: list[str], seq: str, limit: int = SLICE_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows, where their sequence numbers start, and how many of them make a slice.
-    There are fewer than rows / limit such keys."""
-    first, last = F.col("_first"), F.col("_last")
-    return (
+    """Keys with more than ``limit`` rows, and the sorted bounds between their slices: sequence numbers of evenly spaced
+    rank, so that slices are alike in rows however the numbers are spread. One aggregate gives sizes and bounds."""
+    ranks = [i / GRID for i in range(1, GRID)]
+    found = (
         df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min(seq).cast("double").alias("_first"),
-            F.max(seq).cast("double").alias("_last"),
-        )
+        .agg(F.count("*").alias("_n"), F.percentile_approx(seq, ranks, 10 * GRID).alias("_ranked"))
         .filter(F.col("_n") > limit)
-        .select(*keys, "_first", ((last - first + 1) / F.ceil(F.col("_n") / limit)).alias("_width"))
     )
+    pieces = F.least(F.lit(GRID), F.ceil(F.col("_n") / limit)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.element_at("_ranked", (i * GRID / pieces).cast("int")))
+    bounds = F.array_sort(F.array_distinct(F.when(pieces > 1, at)))
+    every = F.transform(F.sequence(F.lit(0), F.floor(F.size("_bounds") / _STEP).cast("int")), lambda i: i * _STEP)
+    coarse = F.transform(F.filter(every, lambda i: i > 0), lambda i: F.element_at("_bounds", i))
+    return found.select(*keys, bounds.alias("_bounds")).select("*", coarse.alias("_coarse"))
 
 
 def with_slices(df: DataFrame, keys: list[str], seq: str, limit: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``_hot`` and ``_slice``, which rises with ``seq`` within a hot key.
+    """Adds ``_hot`` and ``_slice``, which rises with ``seq`` within a hot key: the number of bounds below it.
 
-    A hot key gets rows / limit slices of equal width, so that they hold about ``limit`` rows each if its sequence
-    numbers, such as log positions, are spread evenly. The result is right for any spread.
+    Slices of a hot key hold about ``limit`` rows each, unless its rows exceed ``GRID`` times that or one sequence
+    number repeats. How the hot keys are joined is left to the optimizer.
     """
-    # Broadcast is safe: fewer than rows / limit keys, so 10^12 rows give less than a million of them.
-    marked = df.join(F.broadcast(hot_keys(df, keys, seq, limit)), keys, "left")
-    hot = F.col("_width").isNotNull()
-    piece = F.floor((F.col(seq).cast("double") - F.col("_first")) / F.col("_width")).cast("bigint")
+    marked = df.join(hot_keys(df, keys, seq, limit), keys, "left")
+    hot = F.col("_bounds").isNotNull()
+    skipped = F.size(F.filter("_coarse", lambda b: b < F.col(seq))) * _STEP
+    piece = skipped + F.size(F.filter(F.slice("_bounds", skipped + 1, _STEP), lambda b: b < F.col(seq)))
     return marked.select(
         *[F.col(c) for c in df.columns],
         hot.alias(HOT),
-        F.when(hot, piece).otherwise(F.lit(0).cast("bigint")).alias(SLICE),
+        F.when(hot, piece).otherwise(F.lit(0)).cast("bigint").alias(SLICE),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loglens.operators.hot_keys import SLICE_ROWS, previous_value
 from loglens.operators.latest import latest
-from loglens.operators.nested import MAX_ITEMS, nest, with_chunk
+from loglens.operators.nested import nest
 
 KEYS = ["grp", "topic", "part_id"]
 TOPIC_TO_GROUP = 1
@@ -27,31 +27,17 @@ def live(commits: DataFrame) -> DataFrame:
     return latest(commits, KEYS, "committed", "log_pos").select("topic", "grp", "part_id")
 
 
-def partitions_by(index: DataFrame, outer: str, inner: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(outer, inner, chunk, parts) with sorted partitions; ``("topic", "grp")`` or ``("grp", "topic")``."""
-    return nest(index, [outer, inner], ["part_id"], F.col("part_id"), "parts", max_items)
+def partitions_by(index: DataFrame, outer: str, inner: str, pieces: int = 1) -> DataFrame:
+    """(outer, inner, piece, parts) with sorted partitions; ``("topic", "grp")`` or ``("grp", "topic")``."""
+    return nest(index, [outer, inner], ["part_id"], F.col("part_id"), "parts", pieces)
 
 
-def nested_index(index: DataFrame, outer: str, inner: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(outer, chunk, entries): entries (inner, sorted parts), sorted. ``max_items`` bounds the partitions of all
-    entries of a chunk together; an inner key of a large outer key may have entries in several chunks."""
-    chunked = with_chunk(index, [outer], [inner, "part_id"], max_items)
-    parts = chunked.groupBy(outer, "chunk", inner).agg(F.sort_array(F.collect_list("part_id")).alias("parts"))
-    return parts.groupBy(outer, "chunk").agg(F.sort_array(F.collect_list(F.struct(inner, "parts"))).alias("entries"))
-
-
-def dump(index: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Both directions as tagged text entries: ``index_kind, entry_key, chunk, entry_text``."""
+def dump(index: DataFrame) -> DataFrame:
+    """Both directions as tagged entries: ``index_kind, entry_key, entry_name, part_id``."""
 
     def entries(outer: str, inner: str, kind: int) -> DataFrame:
-        def text(e):
-            return F.concat(e[inner], F.lit("="), F.array_join(e["parts"].cast("array<string>"), ","))
-
-        return nested_index(index, outer, inner, max_items).select(
-            F.lit(kind).alias("index_kind"),
-            F.col(outer).alias("entry_key"),
-            "chunk",
-            F.array_join(F.transform("entries", text), ";").alias("entry_text"),
+        return index.select(
+            F.lit(kind).alias("index_kind"), F.col(outer).alias("entry_key"), F.col(inner).alias("entry_name"), "part_id"
         )
 
     return entries("topic", "grp", TOPIC_TO_GROUP).unionByName(entries("grp", "topic", GROUP_TO_TOPIC))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from loglens.operators.index import KEYS
 from loglens.operators.latest import latest
-from loglens.operators.nested import MAX_ITEMS, nest
 
 DEAD = "Dead"
 CONSUMER = ["consumer_id", "host", "client_id"]
@@ -64,9 +63,14 @@ def stamped(report: DataFrame, as_of) -> DataFrame:
     return report.withColumn("as_of", F.lit(as_of).cast("timestamp"))
 
 
-def topic_groups(report: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(topic, chunk, groups): the groups that hold or have committed a partition of each topic."""
-    return nest(report.select("topic", "grp").distinct(), ["topic"], ["grp"], F.col("grp"), "groups", max_items)
+def topic_groups(report: DataFrame) -> DataFrame:
+    """(topic, grp): the groups that hold or have committed a partition of each topic."""
+    return report.select("topic", "grp").distinct()
+
+
+def topic_group_counts(report: DataFrame) -> DataFrame:
+    """(topic, n_groups) over the whole topic."""
+    return topic_groups(report).groupBy("topic").agg(F.count("*").alias("n_groups"))
 
 
 def group_snapshot(report: DataFrame, groups: DataFrame) -> DataFrame:
@@ -79,11 +83,6 @@ def group_snapshot(report: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def group_rows(report: DataFrame, groups: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(grp, state, chunk, partitions): the report rows of each group as sorted arrays."""
-    row = F.struct(*[c for c in REPORT if c != "grp"])
-    # States are joined to rows, which a join can split, and not to the finished arrays of a large group.
-    rows = report.join(groups, "grp")
-    lists = nest(rows, ["grp", "state"], ["topic", "part_id", "consumer_id"], row, "partitions", max_items)
-    without = groups.join(report.select("grp").distinct(), "grp", "left_anti")
-    return lists.unionByName(without.withColumn("chunk", F.lit(0)), allowMissingColumns=True)
+def group_rows(report: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, state and the columns of the report): each group's rows, or one without a topic for a group that has none."""
+    return groups.join(report, "grp", "left").select("grp", "state", *[c for c in REPORT if c != "grp"])

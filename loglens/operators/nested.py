@@ -1,7 +1,7 @@
-"""Sets per key as one value, without ever building an unbounded value.
+"""Sets per key as one value: a view for keys that are known to be small.
 
-The long form (key, item) is the working form everywhere. The nested form splits the set of a key with more than
-``max_items`` items into several rows, told apart by ``chunk``; every item is kept and lies in exactly one chunk.
+The long form (key, item) is the result of every operator. The nested form cuts every key into the same number of
+pieces, which the caller names, whatever the sizes of the keys are.
 """
 
 from __future__ import annotations
@@ -9,36 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 100_000
-SALTS = 32
 
-
-def with_chunk(pairs: DataFrame, keys: list[str], items: list[str], max_items: int = MAX_ITEMS) -> DataFrame:
-    """Adds ``chunk``: 0 for keys of up to ``max_items`` rows, else a hash of the item that fills chunks evenly. Rows
-    with a null in a key are left out."""
-    # Said for both uses of the pairs: only then are they the same plan, of which the shuffle runs once.
+def nest(pairs: DataFrame, keys: list[str], items: list[str], item: Column, name: str, pieces: int = 1) -> DataFrame:
+    """(keys…, piece, sorted array). ``pairs`` holds distinct rows of keys and items; rows with a null in a key are left
+    out. Each item is in the piece that a hash of it names; a piece without items has no row."""
     for key in keys:
         pairs = pairs.filter(F.col(key).isNotNull())
-    large = (
-        pairs.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .select(*keys, F.ceil(F.col("_n") / max_items).cast("bigint").alias("_chunks"))
-        .withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    )
-    # The salt spreads the rows of a large key over tasks; only large keys are repeated per salt.
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(*items), F.lit(SALTS)))
-    spread = F.pmod(F.xxhash64(*items, F.lit("chunk")), F.col("_chunks")).cast("int")
-    return (
-        salted.join(large, [*keys, "_salt"], "left")
-        .withColumn("chunk", F.coalesce(spread, F.lit(0)))
-        .drop("_salt", "_chunks")
-    )
-
-
-def nest(
-    pairs: DataFrame, keys: list[str], items: list[str], item: Column, name: str, max_items: int = MAX_ITEMS
-) -> DataFrame:
-    """(keys…, chunk, sorted array). ``pairs`` holds distinct rows of keys and items."""
-    chunked = with_chunk(pairs, keys, items, max_items)
-    return chunked.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(item)).alias(name))
+    piece = F.pmod(F.xxhash64(*items), F.lit(pieces)).cast("int")
+    return pairs.groupBy(*keys, piece.alias("piece")).agg(F.sort_array(F.collect_list(item)).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.operators.nested import MAX_ITEMS, nest
+from loglens.operators.nested import nest
 
 
 def whole_pairs(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -18,6 +18,6 @@ def key_values(rows: DataFrame, key: str, value: str) -> DataFrame:
     return whole_pairs(rows, key, value).distinct()
 
 
-def value_sets(pairs: DataFrame, key: str, value: str, name: str = "values", max_items: int = MAX_ITEMS) -> DataFrame:
-    """(key, chunk, sorted values)."""
-    return nest(pairs, [key], [value], F.col(value), name, max_items)
+def value_sets(pairs: DataFrame, key: str, value: str, name: str = "values", pieces: int = 1) -> DataFrame:
+    """(key, piece, sorted values): a view of the pairs."""
+    return nest(pairs, [key], [value], F.col(value), name, pieces)

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from loglens.functions.text import drop_trailing_empty, word_pieces
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Deals the rows out to all cores if the scan has fewer tasks than that, as with a few files that cannot be split.
-
-    For work that costs far more per row than moving the row does, such as splitting text. A table of many files stays
-    as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def tokens(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per word of the whole text. Rows without text are left out."""
     pieces = rows.filter(F.col(text).isNotNull()).select(*keep, word_pieces(F.col(text)).alias("_pieces"))

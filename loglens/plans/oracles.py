@@ -123,6 +123,7 @@ LAG_INPUTS = (TOPIC_LOG, COMMIT_LOG, ASSIGNMENTS, GROUPS, LATEST_COMMITS, ENDS,
 
 ORACLES: dict[str, str] = {
     "topic_scan": _sql("select topic, part_id, log_offset, msg_key, msg_value from topic_log", TOPIC_LOG),
+    "sent_records": _sql("select topic, part_id, log_offset, msg_key from topic_log", TOPIC_LOG),
     "multi_topic_scan": _sql(
         "select topic, count(*) as n_records, count(*) filter (where msg_value is null) as n_tombstones "
         "from topic_log where topic in ('click', 'view') group by topic",
@@ -191,16 +192,11 @@ ORACLES: dict[str, str] = {
     ),
     "index_topic_group": _sql("select * from idx", COMMIT_LOG, INDEX),
     "index_group_topic": _sql(
-        "select grp, topic, 0 as chunk, string_agg(cast(part_id as varchar), ',' order by part_id) as parts "
-        "from idx group by grp, topic",
-        COMMIT_LOG, INDEX,
+        "select grp, topic, part_id from idx", COMMIT_LOG, INDEX,
     ),
     "live_index": _sql("select topic, grp, part_id from latest_commits", COMMIT_LOG, LATEST_COMMITS),
     "index_dump": _sql(
-        "select 1 as index_kind, topic as entry_key, 0 as chunk, string_agg(grp || '=' || parts, ';' order by grp) as entry_text "
-        "from (select topic, grp, string_agg(cast(part_id as varchar), ',' order by part_id) as parts from idx "
-        "group by topic, grp) group by topic",
-        COMMIT_LOG, INDEX,
+        "select 1 as index_kind, topic as entry_key, grp as entry_name, part_id from idx", COMMIT_LOG, INDEX,
     ),
     "orphan_tombstones": _sql("select * from orphans", COMMIT_LOG, ORPHANS.format(log="commit_log")),
     "log_end_offsets": _sql("select * from ends", TOPIC_LOG, ENDS),
@@ -215,10 +211,9 @@ ORACLES: dict[str, str] = {
         COMMIT_LOG, ASSIGNMENTS, LATEST_COMMITS,
     ),
     "lag_report": _sql("select * from report", *LAG_INPUTS),
-    "topic_groups": _sql(
-        "select topic, 0 as chunk, string_agg(grp, ',' order by grp) as groups_text, count(*) as n_groups "
-        "from (select distinct topic, grp from report) group by topic",
-        *LAG_INPUTS,
+    "topic_groups": _sql("select distinct topic, grp from report", *LAG_INPUTS),
+    "topic_group_counts": _sql(
+        "select topic, count(distinct grp) as n_groups from report group by topic", *LAG_INPUTS
     ),
     "group_snapshot": _sql(
         "select g.grp, g.state, count(r.grp) as n_partitions, cast(sum(r.lag) as bigint) as total_lag "
@@ -226,13 +221,15 @@ ORACLES: dict[str, str] = {
         *LAG_INPUTS,
     ),
     "group_rows": _sql(
-        "select g.grp, g.state, 0 as chunk, string_agg(topic || '-' || part_id || ':' || coalesce(cast(lag as varchar), 'null'), "
-        "',' order by topic, part_id) as rows_text "
-        "from groups_in g left join report r on r.grp = g.grp group by g.grp, g.state",
+        "select g.grp, g.state, topic, part_id, lag, consumer_id from groups_in g left join report r on r.grp = g.grp",
         *LAG_INPUTS,
     ),
     "topic_partitions": _sql("select * from infos", PARTITIONS),
     "topic_partition_counts": _sql("select topic, count(*) as n_partitions from infos group by topic", PARTITIONS),
+    "registration_rejects": (
+        "select distinct p_brand as topic, 'decode_error' as reason from part "
+        "where length(p_brand) % 2 = 1 or p_brand like '%3'"
+    ),
     "topic_replica_counts": _sql(
         "select topic, cast(sum(n_replicas) as bigint) as n_replicas from infos group by topic", PARTITIONS
     ),
@@ -241,8 +238,7 @@ ORACLES: dict[str, str] = {
         PARTITIONS,
     ),
     "key_value_sets": (
-        "select o_custkey, 0 as chunk, string_agg(o_orderpriority, ',' order by o_orderpriority) as values_text "
-        "from (select distinct o_custkey, o_orderpriority from orders) group by o_custkey"
+        "select o_custkey, count(distinct o_orderpriority) as n_values from orders group by o_custkey"
     ),
     "key_value_pairs": "select distinct o_custkey, o_orderpriority from orders",
     "bag_counts": _sql("select * from bag", BAG),
@@ -260,8 +256,15 @@ ORACLES: dict[str, str] = {
 
 # A stream over the whole source ends in the table of its batch form.
 for _name in (
-    "topic_scan", "word_count", "latest_by_key", "key_value_sets", "live_index", "orphan_tombstones", "lag_report"
+    "topic_scan", "word_count", "latest_by_key", "live_index", "orphan_tombstones", "lag_report", "topic_groups",
+    "group_snapshot",
 ):
     ORACLES[f"stream_{_name}"] = ORACLES[_name]
 ORACLES["stream_word_count_topic"] = ORACLES["word_count"]
 ORACLES["stream_index"] = ORACLES["index_topic_group"]
+ORACLES["stream_key_value_sets"] = ORACLES["key_value_pairs"]
+ORACLES["stream_index_dump"] = _sql(
+    "select 1 as index_kind, topic as entry_key, grp as entry_name, part_id from idx "
+    "union all select 2, grp, topic, part_id from idx",
+    COMMIT_LOG, INDEX,
+)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.functions.text import record_text
+from loglens.functions.text import with_record_text
 from loglens.operators import bag, decode, group_metadata, index, lag, latest, sets, topics, words
 from loglens.plans import inputs
 from loglens.session import work_path
@@ -28,21 +28,30 @@ def events_query(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame],
     return fn
 
 
-def joined(column: str, sep: str = ",") -> F.Column:
-    return F.array_join(F.col(column).cast("array<string>"), sep)
+# Sources and sinks
 
 
-# Sources and sinks
+def _written_log(spark, sf_dir) -> tuple[str, DataFrame]:
+    """The path of a log table with all records, and the report of what was sent."""
+    path = work_path(spark, "topic")
+    return path, source.write_topic(inputs.topic_log(inputs.table(spark, sf_dir, "events")), path)
 
 
-@events_query
-def topic_scan(events):
-    return inputs.topic_log(events).select("topic", "part_id", "log_offset", "msg_key", "msg_value")
+@query
+def topic_scan(spark, sf_dir):
+    path, _ = _written_log(spark, sf_dir)
+    return source.text_records(source.read_topic(spark, path=path)).drop("ts")
 
 
-@events_query
-def multi_topic_scan(events):
-    wanted = inputs.topic_records(events).filter(F.col("topic").isin("click", "view"))
+@query
+def sent_records(spark, sf_dir):
+    return _written_log(spark, sf_dir)[1]
+
+
+@query
+def multi_topic_scan(spark, sf_dir):
+    path, _ = _written_log(spark, sf_dir)
+    wanted = source.text_records(source.read_topic(spark, ["click", "view"], path))
     return wanted.groupBy("topic").agg(
         F.count("*").alias("n_records"), F.count_if(F.col("msg_value").isNull()).alias("n_tombstones")
     )
@@ -83,23 +92,21 @@ def topic_roundtrip(spark, sf_dir):
 
 @query
 def tokens(spark, sf_dir):
-    documents = words.spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
     return words.word_count(words.tokens(documents, "text", "doc_id"), "doc_id")
 
 
 @query
 def word_count(spark, sf_dir):
-    documents = words.spread(inputs.table(spark, sf_dir, "documents").select("text"))
+    documents = inputs.table(spark, sf_dir, "documents").select("text")
     return words.word_count(words.tokens(documents, "text"))
 
 
-@events_query
-def record_texts(events):
-    text = record_text(F.col("msg_key"), F.col("msg_value"), F.col("part_id"), F.col("log_offset"), F.col("ts"))
-    return inputs.topic_log(events).select("topic", "part_id", "log_offset", text.alias("text"))
-
-
-QUERIES["record_text"] = QUERIES.pop("record_texts")
+@query
+def record_text(spark, sf_dir):
+    path, _ = _written_log(spark, sf_dir)
+    log = with_record_text(source.text_records(source.read_topic(spark, path=path)))
+    return log.select("topic", "part_id", "log_offset", "text")
 
 
 @events_query
@@ -192,8 +199,7 @@ def index_topic_group(events):
 
 @events_query
 def index_group_topic(events):
-    nested = index.partitions_by(index.ever_seen(inputs.commit_log(events)), "grp", "topic")
-    return nested.select("grp", "topic", "chunk", joined("parts").alias("parts"))
+    return index.ever_seen(inputs.commit_log(events)).select("grp", "topic", "part_id")
 
 
 @events_query
@@ -244,10 +250,12 @@ def lag_report(events):
 
 @events_query
 def topic_groups(events):
-    nested = lag.topic_groups(lag_report(events))
-    return nested.select(
-        "topic", "chunk", joined("groups").alias("groups_text"), F.size("groups").cast("bigint").alias("n_groups")
-    )
+    return lag.topic_groups(lag_report(events))
+
+
+@events_query
+def topic_group_counts(events):
+    return lag.topic_group_counts(lag_report(events))
 
 
 @events_query
@@ -258,8 +266,7 @@ def group_snapshot(events):
 @events_query
 def group_rows(events):
     rows = lag.group_rows(lag_report(events), inputs.groups(events))
-    text = F.transform("partitions", lambda r: F.format_string("%s-%d:%d", r["topic"], r["part_id"], r["lag"]))
-    return rows.select("grp", "state", "chunk", F.array_join(text, ",").alias("rows_text"))
+    return rows.select("grp", "state", "topic", "part_id", "lag", "consumer_id")
 
 
 # Topics
@@ -284,6 +291,16 @@ def topic_partition_counts(spark, sf_dir):
     return topics.partition_counts(topics.parse_registrations(rows, "registration")[0])
 
 
+@query
+def registration_rejects(spark, sf_dir):
+    """Registrations whose text was cut short for some of the topics."""
+    rows = inputs.registrations(inputs.table(spark, sf_dir, "part"))
+    whole = F.length("topic") % 2 == 0
+    whole = whole & ~F.col("topic").endswith("3")
+    damaged = rows.withColumn("registration", F.when(whole, F.col("registration")).otherwise(F.substring("registration", 1, 20)))
+    return topics.parse_registrations(damaged, "registration")[1]
+
+
 @query
 def topic_replica_counts(spark, sf_dir):
     return topics.replica_counts(_infos(spark, sf_dir))
@@ -299,9 +316,9 @@ def replication_factor(spark, sf_dir):
 
 @query
 def key_value_sets(spark, sf_dir):
+    """The number of values of each key, over the pairs."""
     pairs = sets.key_values(inputs.table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
-    nested = sets.value_sets(pairs, "o_custkey", "o_orderpriority")
-    return nested.select("o_custkey", "chunk", joined("values").alias("values_text"))
+    return pairs.groupBy("o_custkey").agg(F.count("*").alias("n_values"))
 
 
 @query
@@ -371,11 +388,9 @@ def stream_latest_by_key(spark, sf_dir):
 @query
 def stream_key_value_sets(spark, sf_dir):
     orders = inputs.stream_table(spark, sf_dir, "orders")
-    pairs = _run(
+    return _run(
         spark, "stream_key_value_sets", lambda p: jobs.key_values_job(orders, "o_custkey", "o_orderpriority", p)
     )
-    nested = sets.value_sets(pairs, "o_custkey", "o_orderpriority")
-    return nested.select("o_custkey", "chunk", joined("values").alias("values_text"))
 
 
 @query
@@ -384,6 +399,12 @@ def stream_index(spark, sf_dir):
     return _run(spark, "stream_index", lambda p: jobs.index_job(log, p))
 
 
+@query
+def stream_index_dump(spark, sf_dir):
+    """Both directions, from the table that the stream keeps."""
+    return index.dump(stream_index(spark, sf_dir))
+
+
 @query
 def stream_live_index(spark, sf_dir):
     log = inputs.commit_log(inputs.stream_table(spark, sf_dir, "events"))
@@ -396,18 +417,31 @@ def stream_orphan_tombstones(spark, sf_dir):
     return _run(spark, "stream_orphan_tombstones", lambda p: jobs.orphan_job(log, p))
 
 
-@query
-def stream_lag_report(spark, sf_dir):
-    path = work_path(spark, "topic")
-    source.write_topic(inputs.topic_log(inputs.table(spark, sf_dir, "events")), path)
+def _lag_stream(spark, sf_dir) -> jobs.LagTables:
+    path, _ = _written_log(spark, sf_dir)
     log = source.text_records(source.stream_topic(spark, path=path))
     commits = inputs.commit_log(inputs.stream_table(spark, sf_dir, "events"))
-    return _run(
-        spark, "stream_lag_report",
-        lambda p: jobs.lag_job(
-            log, commits,
-            lambda s: inputs.assignments(inputs.table(s, sf_dir, "events")),
-            lambda s: inputs.groups(inputs.table(s, sf_dir, "events")),
-            p,
-        )[0],
-    )
+    work = work_path(spark, "stream_lag_report")
+    job, tables = jobs.lag_job(
+        log, commits,
+        lambda s: inputs.assignments(inputs.table(s, sf_dir, "events")),
+        lambda s: inputs.groups(inputs.table(s, sf_dir, "events")),
+        f"{work}/tables",
+    )
+    job.run(f"{work}/checkpoint")
+    return tables
+
+
+@query
+def stream_lag_report(spark, sf_dir):
+    return _lag_stream(spark, sf_dir).report.read(spark).drop("as_of")
+
+
+@query
+def stream_topic_groups(spark, sf_dir):
+    return _lag_stream(spark, sf_dir).topic_groups.read(spark)
+
+
+@query
+def stream_group_snapshot(spark, sf_dir):
+    return _lag_stream(spark, sf_dir).groups.read(spark)

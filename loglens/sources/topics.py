@@ -1,15 +1,18 @@
 """Reading and writing topics.
 
 A topic is a DataFrame in the schema of Spark's Kafka source. It comes from a broker, where the connector package is
-on the classpath, or from a log table: parquet in the same schema, one folder per topic.
+on the classpath, or from a log table: parquet in the same schema, one folder per topic and batch of writing.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglens.functions.text import utc_instant
 from loglens.operators.hot_keys import SLICE_ROWS, number_rows
 from loglens.operators.lag import log_end_offsets
 
@@ -51,7 +54,8 @@ def read_topic(
     _one_source(path, servers)
     if servers:
         return _kafka(spark.read, topics, servers, options)
-    return _only(spark.read.schema(LOG_SCHEMA).options(**(options or {})).parquet(path), topics)
+    log = spark.read.schema(f"{LOG_SCHEMA}, batch string").options(**(options or {})).parquet(path)
+    return _only(log.drop("batch"), topics)
 
 
 def stream_topic(
@@ -66,8 +70,8 @@ def stream_topic(
     _one_source(path, servers)
     if servers:
         return _kafka(spark.readStream, topics, servers, options)
-    stream = spark.readStream.schema(LOG_SCHEMA).options(**(options or {})).parquet(path)
-    return _only(stream, topics)
+    stream = spark.readStream.schema(f"{LOG_SCHEMA}, batch string").options(**(options or {})).parquet(path)
+    return _only(stream.drop("batch"), topics)
 
 
 def text_records(log: DataFrame) -> DataFrame:
@@ -90,13 +94,12 @@ def generate_records(specs: DataFrame, block: int = 10_000) -> DataFrame:
     over tasks before the records are made.
     """
     last = F.when(F.col("message").isNull(), F.least("n", F.lit(1))).otherwise(F.col("n")) - 1
-    parallelism = int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = specs.filter(last >= 0).select(
         "topic", "msg_key", "start", "message", last.cast("bigint").alias("last"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / block))).alias("b"),
     )
     lo = F.col("b") * block
-    spread = blocks.repartition(parallelism, "topic", "msg_key", "start", "b")
+    spread = blocks.hint("rebalance")
     rows = spread.select(
         "topic", "msg_key", "start", "message",
         F.explode(F.sequence(lo, F.least(F.col("last"), lo + block - 1))).alias("i"),
@@ -152,16 +155,33 @@ def change_records(changes: DataFrame, topic: str, key: str, value: str) -> Data
     )
 
 
-def write_topic(records: DataFrame, path: str | None = None, servers: str | None = None) -> None:
-    """Appends ``topic, part_id, log_offset, msg_key, msg_value`` and, if there, ``ts``. A broker numbers the records
-    itself; a log table keeps the given offsets."""
+def write_topic(
+    records: DataFrame, path: str | None = None, servers: str | None = None, batch: str | None = None
+) -> DataFrame:
+    """Appends ``topic, part_id, log_offset, msg_key, msg_value`` and, if there, ``ts`` (zone-less: UTC), and gives what
+    was sent: ``topic, part_id, log_offset, msg_key``.
+
+    A log table keeps the given offsets, in a folder for each topic and ``batch``: a batch that is written again under
+    the same name replaces itself. Without a name every write is a batch of its own. A broker numbers and stamps the
+    records itself, so their offsets are null in the report; they go to the given partitions.
+    """
     _one_source(path, servers)
     key, value = F.col("msg_key").cast("binary"), F.col("msg_value").cast("binary")
     if servers:
-        sent = records.select("topic", key.alias("key"), value.alias("value"))
+        partition = [F.col("part_id").cast("int").alias("partition")] if "part_id" in records.columns else []
+        sent = records.select("topic", key.alias("key"), value.alias("value"), *partition)
         sent.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
-        return
-    ts = F.col("ts").cast("timestamp") if "ts" in records.columns else F.current_timestamp()
+        part_id = F.col("part_id") if partition else F.lit(None)
+        return records.select(
+            "topic", part_id.cast("int").alias("part_id"), F.lit(None).cast("bigint").alias("log_offset"), "msg_key"
+        )
+    if "ts" not in records.columns:
+        ts = F.current_timestamp()
+    elif records.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        ts = utc_instant(F.col("ts"))
+    else:
+        ts = F.col("ts").cast("timestamp")
+    name = batch or uuid.uuid4().hex
     rows = records.select(
         key.alias("key"),
         value.alias("value"),
@@ -170,6 +190,10 @@ def write_topic(records: DataFrame, path: str | None = None, servers: str | None
         F.col("log_offset").alias("offset"),
         ts.alias("timestamp"),
         F.lit(0).alias("timestampType"),
+        F.lit(name).alias("batch"),
     )
     # Rebalancing gives each topic few files, and cuts a topic that is too large for one task.
-    rows.hint("rebalance", "topic").write.partitionBy("topic").mode("append").parquet(path)
+    writer = rows.hint("rebalance", "topic").write.partitionBy("topic", "batch")
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    written = records.sparkSession.read.schema(f"{LOG_SCHEMA}, batch string").parquet(path)
+    return text_records(written.filter(F.col("batch") == name)).select("topic", "part_id", "log_offset", "msg_key")

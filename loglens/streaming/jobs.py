@@ -6,19 +6,23 @@ records; tombstones stay in the state so that an older record that comes late ca
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loglens.operators.index import KEYS, orphan_tombstones
-from loglens.operators.lag import group_snapshot, lag_report, log_end_offsets, topic_groups
+from loglens.operators.decode import ORPHAN
+from loglens.operators.index import KEYS
+from loglens.operators.lag import group_snapshot, lag_report, log_end_offsets, stamped, topic_groups
 from loglens.operators.latest import latest, newest
 from loglens.operators.sets import whole_pairs
 from loglens.operators.words import tokens, word_count
-from loglens.session import ROCKSDB_PROVIDER, STATE_PROVIDER
 from loglens.sources.topics import change_records, number_offsets, place, write_topic
 from loglens.streaming.tables import ChangeTable, SnapshotTable
 
@@ -34,12 +38,10 @@ class Job:
     table: ChangeTable | None = None
 
     def start(self, checkpoint: str, **trigger) -> StreamingQuery:
-        """Starts the job; a second start with the same checkpoint goes on where the first one ended."""
-        # State lives in RocksDB unless the session names a provider of its own: the default one keeps all of it on the
-        # heap of the executors.
-        conf = self.output.sparkSession.conf
-        if conf.get(STATE_PROVIDER).endswith(".HDFSBackedStateStoreProvider"):
-            conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
+        """Starts the job; a second start with the same checkpoint goes on where the first one ended.
+
+        State lives where the session says. The default provider keeps it on the heap of the executors; sessions with
+        large state should name the RocksDB provider, as ``local_session`` does."""
         return (
             self.output.writeStream.outputMode(self.mode)
             .foreachBatch(self.write)
@@ -56,7 +58,7 @@ class Job:
 
 def append_job(stream: DataFrame, path: str) -> Job:
     """Keeps the records of a stream as they are."""
-    table = ChangeTable(f"{path}/rows", compact_every=0)
+    table = ChangeTable(f"{path}/rows")
     columns = stream.columns
     return Job(stream, "append", table.write, lambda spark: table.read(spark).select(*columns), table)
 
@@ -73,8 +75,8 @@ def _last_offsets(rows: DataFrame) -> DataFrame:
 
 
 def publish(job: Job, topic: str, key: str, value: str, path: str | None = None, servers: str | None = None) -> Job:
-    """Also sends what each batch of ``job`` changed to a topic. A batch that is run again is sent again, to a log table
-    with the same offsets; readers that take the newest record of a key are not affected."""
+    """Also sends what each batch of ``job`` changed to a topic. A batch that is run again replaces its records in a log
+    table, with the same offsets; a broker gets them again."""
     spark = job.output.sparkSession
     ends = ChangeTable(f"{path}-ends", _last_offsets)
 
@@ -87,9 +89,11 @@ def publish(job: Job, topic: str, key: str, value: str, path: str | None = None,
             return
         present = log_end_offsets(ends.read(spark, batch_id - 1)) if batch_id else None
         numbered = number_offsets(place(records), "seq", present, ties=("msg_key",)).persist()
-        write_topic(numbered, path)
-        ends.write(_last_offsets(numbered), batch_id)
-        numbered.unpersist()
+        try:
+            write_topic(numbered, path, batch=str(batch_id))
+            ends.write(_last_offsets(numbered), batch_id)
+        finally:
+            numbered.unpersist()
 
     return Job(job.output, job.mode, write, job.read, job.table)
 
@@ -109,15 +113,21 @@ def latest_job(stream: DataFrame, keys: list[str], value: str, order: str, path:
 
 
 def distinct_job(stream: DataFrame, path: str) -> Job:
-    """Distinct rows of a stream.
+    """Distinct rows of a stream, each written once, by the batch that first has it.
 
-    The table is the state: each batch adds its own distinct rows, and rows seen before are merged away. Unlike
-    ``dropDuplicates`` on the stream, which shuffles every copy of a row, ``distinct`` on a batch first reduces the
-    copies in each task.
+    The rows are the keys of a streaming aggregate, so copies are reduced in each task before the shuffle, and a batch costs
+    by the keys it touches. A key whose first and last batch are the same one is new; a batch that is run again has the
+    same time as before.
     """
     columns = stream.columns
-    table = ChangeTable(f"{path}/distinct", lambda rows: rows.select(*columns).distinct())
-    return Job(stream, "append", lambda batch, b: table.write(batch.distinct(), b), table.read, table)
+    table = ChangeTable(f"{path}/distinct")
+    timed = stream.withColumn("_at", F.current_timestamp())
+    seen = timed.groupBy(*columns).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch.filter(F.col("_first") == F.col("_last")).select(*columns), batch_id)
+
+    return Job(seen, "update", write, lambda spark: table.read(spark).select(*columns), table)
 
 
 def key_values_job(stream: DataFrame, key: str, value: str, path: str) -> Job:
@@ -136,28 +146,44 @@ def index_job(commits: DataFrame, path: str, expire: bool = False) -> Job:
     return job
 
 
+LATE = "late_record"
+
+
+def _orphans(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Orphan tombstones of one key, whose last position and whether it is live are the state, and records that are
+    older than that position."""
+    last, live = state.get if state.exists else (None, False)
+    rows = pd.concat(list(parts)).sort_values("log_pos", kind="stable")
+    pos, now = rows["log_pos"].to_numpy(), rows["live"].to_numpy(dtype=bool)
+    late = pos <= last if last is not None else np.zeros(len(pos), bool)
+    fresh, standing = pos[~late], now[~late]
+    if len(fresh):
+        state.update((int(fresh[-1]), bool(standing[-1])))
+    orphans = fresh[~standing & ~np.append(live, standing[:-1])[: len(standing)]]
+    for found, reason in ((orphans, ORPHAN), (pos[late], LATE)):
+        if len(found):
+            yield pd.DataFrame({"log_pos": found, "grp": key[0], "topic": key[1], "part_id": key[2], "reason": reason})
+
+
 def orphan_job(commits: DataFrame, path: str) -> Job:
-    """Deletes without a live entry. The newest record of each key is carried from batch to batch in a table.
+    """Deletes without a live entry; the live flag and last position of each key are kept as keyed state.
 
-    Needs the records of a key in order across batches, as a log partition gives them; within a batch any order will
-    do.
+    Within a batch any order will do. A record that comes after a later one of its key was judged in an earlier batch cannot
+    be judged any more: it goes to the job's table as ``late_record``, apart from the orphans. A key's records of one
+    batch are judged in one task; bound them by the source's limit per trigger.
     """
-    carried = newest_table(f"{path}/carried", KEYS, "committed", "log_pos")
-    found = ChangeTable(f"{path}/orphans", compact_every=0)
-    columns = ["log_pos", *KEYS]
+    found = ChangeTable(f"{path}/orphans")
+    rows = commits.select("log_pos", *KEYS, F.col("committed").isNotNull().alias("live"))
+    kinds = {c: t for c, t in rows.dtypes}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("log_pos", *KEYS))
+    judged = rows.groupBy(*KEYS).applyInPandasWithState(
+        _orphans, f"{schema}, reason string", "last bigint, live boolean", "append", GroupStateTimeout.NoTimeout
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        earlier = None
-        if batch_id:
-            touched = batch.select(*KEYS).distinct()
-            earlier = carried.read(batch.sparkSession, batch_id - 1).join(touched, KEYS, "left_semi")
-        found.write(orphan_tombstones(batch, earlier), batch_id)
-        carried.write(newest(batch, KEYS, "committed", "log_pos"), batch_id)
-        batch.unpersist()
+    def orphans(spark: SparkSession) -> DataFrame:
+        return found.read(spark).filter(F.col("reason") == ORPHAN).select("log_pos", *KEYS)
 
-    rows = commits.select("log_pos", *KEYS, "committed")
-    return Job(rows, "append", write, lambda spark: found.read(spark).select(*columns))
+    return Job(judged, "append", found.write, orphans, found)
 
 
 @dataclass
@@ -175,7 +201,7 @@ def lag_job(
     and groups may have changed.
 
     A refresh does not read the logs again: newest commits and log ends are kept in tables, to which each batch adds
-    what it changed. ``assignments`` and ``groups`` are read anew each time.
+    what it changed. Rows of the report carry the time of their refresh, ``as_of``. ``assignments`` and ``groups`` are read anew each time.
     """
     newest_commits = newest_table(f"{path}/commits", KEYS, "committed", "log_pos")
     last_offsets = ChangeTable(f"{path}/ends", _last_offsets)
@@ -203,14 +229,17 @@ def lag_job(
             F.max("log_offset").alias("log_offset"),
         ).persist()
         is_commit = F.col("grp").isNotNull()
-        newest_commits.write(reduced.filter(is_commit).select(*KEYS, "committed", "log_pos"), batch_id)
-        last_offsets.write(reduced.filter(~is_commit).select("topic", "part_id", "log_offset"), batch_id)
-        reduced.unpersist()
+        try:
+            newest_commits.write(reduced.filter(is_commit).select(*KEYS, "committed", "log_pos"), batch_id)
+            last_offsets.write(reduced.filter(~is_commit).select("topic", "part_id", "log_offset"), batch_id)
+        finally:
+            reduced.unpersist()
 
         offsets = latest(newest_commits.read(spark, batch_id), KEYS, "committed", "log_pos")
         ends = log_end_offsets(last_offsets.read(spark, batch_id))
         states = groups(spark)
-        tables.report.write(lag_report(assignments(spark), offsets, ends, states), batch_id)
+        report = lag_report(assignments(spark), offsets, ends, states)
+        tables.report.write(stamped(report, datetime.datetime.now(datetime.timezone.utc)), batch_id)
         report = tables.report.read(spark)
         tables.topic_groups.write(topic_groups(report), batch_id)
         tables.groups.write(group_snapshot(report, states), batch_id)

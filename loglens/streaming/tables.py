@@ -2,18 +2,19 @@
 
 Each micro-batch writes to a folder of its own, so a batch that is run again after a failure replaces what it wrote
 before. An empty file, made last, notes that the batch is whole; readers go by these notes and never see half a batch.
-What later batches have replaced is removed after a while, so that an endless stream does not leave endless folders.
+Nothing is removed unless the table is given an age: then what later batches have replaced goes once it is older. The age
+should exceed the longest time that anyone reads one state of the table.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELTA, BASE = "delta", "base"
-KEEP = 50
 
 
 class Notes:
@@ -27,9 +28,24 @@ class Notes:
 
     def add(self, batch_id: int, base: int) -> None:
         self.files.create(self.make_path(self.folder, f"{batch_id}.{base}"), True).close()
-        for batch, old_base in self.all():
-            if batch <= batch_id - KEEP:
-                self.files.delete(self.make_path(self.folder, f"{batch}.{old_base}"), False)
+
+    def expire(self, keep_seconds: float) -> None:
+        """Removes the notes older than that, but for the last."""
+        oldest = (time.time() - keep_seconds) * 1000
+        last = self.last()
+        for s in self.files.listStatus(self.folder):
+            name = s.getPath().getName()
+            if s.getModificationTime() <= oldest and tuple(int(x) for x in name.split(".")) != last:
+                self.files.delete(s.getPath(), False)
+
+    def numbered(self, path: str, prefix: str = "") -> dict[int, str]:
+        """Folders of a folder by their number."""
+        where = self.make_path(path)
+        if not self.files.exists(where):
+            return {}
+        found = [s.getPath() for s in self.files.listStatus(where) if s.isDirectory()]
+        numbers = {p.getName().removeprefix(prefix): p.toString() for p in found}
+        return {int(n): p for n, p in numbers.items() if n.isdigit()}
 
     def all(self) -> list[tuple[int, int]]:
         if not self.files.exists(self.folder):
@@ -58,8 +74,9 @@ class ChangeTable:
         path: str,
         merge: Callable[[DataFrame], DataFrame] = lambda rows: rows,
         compact_every: int = 50,
+        keep_seconds: float | None = None,
     ):
-        self.path, self.merge, self.compact_every = path, merge, compact_every
+        self.path, self.merge, self.compact_every, self.keep_seconds = path, merge, compact_every, keep_seconds
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
@@ -72,14 +89,18 @@ class ChangeTable:
         if due:
             self._put(self.merge(self._rows(spark, base, batch_id)), BASE, batch_id)
         notes.add(batch_id, batch_id if due else base)
-        if due and base >= 0:
-            # A reader may still be at the base before this one, but no longer at what came before that.
-            for b in range(max(base - self.compact_every, 0), base + 1):
-                notes.remove(self._folder(DELTA, b))
-            notes.remove(self._folder(BASE, base - self.compact_every))
+        if self.keep_seconds is not None:
+            notes.expire(self.keep_seconds)
+            needed = min(b for _, b in notes.all())
+            for b, folder in notes.numbered(f"{self.path}/rows/kind={DELTA}", "batch_id=").items():
+                if b <= needed:
+                    notes.remove(folder)
+            for b, folder in notes.numbered(f"{self.path}/rows/kind={BASE}", "batch_id=").items():
+                if b < needed:
+                    notes.remove(folder)
 
     def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
-        """The table after batch ``upto``, one of the latest, or after the last whole batch."""
+        """The table after batch ``upto``, if still kept, or after the last whole batch."""
         last = Notes(spark, self.path).last(upto)
         if last is None:
             raise ValueError(f"nothing has been written to {self.path} yet")
@@ -110,14 +131,19 @@ class ChangeTable:
 class SnapshotTable:
     """A table that each refresh replaces as a whole. Readers see the last refresh that is whole."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, keep_seconds: float | None = None):
+        self.path, self.keep_seconds = path, keep_seconds
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/rows/{batch_id}")
         notes = Notes(rows.sparkSession, self.path)
         notes.add(batch_id, batch_id)
-        notes.remove(f"{self.path}/rows/{batch_id - KEEP}")
+        if self.keep_seconds is not None:
+            notes.expire(self.keep_seconds)
+            kept = {b for b, _ in notes.all()}
+            for b, folder in notes.numbered(f"{self.path}/rows").items():
+                if b not in kept:
+                    notes.remove(folder)
 
     def read(self, spark: SparkSession) -> DataFrame:
         last = Notes(spark, self.path).last()

@@ -70,17 +70,20 @@ def test_parts(tables):
 
 def test_views(tables):
     report, groups = lag.lag_report(*tables), tables[3]
-    assert rows(lag.topic_groups(report)) == [("t", 0, ["g"]), ("u", 0, ["idle"]), ("unknown", 0, ["g"])]
+    assert rows(lag.topic_groups(report)) == [("t", "g"), ("u", "idle"), ("unknown", "g")]
+    assert rows(lag.topic_group_counts(report)) == [("t", 1), ("u", 1), ("unknown", 1)]
     assert rows(lag.group_snapshot(report, groups)) == [
         ("dead", "Dead", 0, None), ("g", "Stable", 5, -40), ("idle", "Empty", 1, -3)
     ]
-    lists = {r["grp"]: r["partitions"] for r in lag.group_rows(report, groups).collect()}
-    assert lists["dead"] is None and len(lists["g"]) == 5 and lists["idle"][0]["lag"] == -3
+    listed = rows(lag.group_rows(report, groups), "grp", "state", "topic", "lag")
+    assert len(listed) == 7 and ("dead", "Dead", None, None) in listed and ("idle", "Empty", "u", -3) in listed
     stamp = lag.stamped(report, "2024-05-06 07:08:09").first()["as_of"]
     assert str(stamp) == "2024-05-06 07:08:09"
 
 
-def test_hot_group_is_split_into_chunks(tables):
-    report, groups = lag.lag_report(*tables), tables[3]
-    out = lag.group_rows(report, groups, max_items=1).filter("grp = 'g'").collect()
-    assert sum(len(r["partitions"]) for r in out) == 5 and len(out) > 1
+def test_one_topic_of_very_many_groups(spark, tables):
+    """The result has one form at every size."""
+    n = 100_001
+    report = spark.range(n).selectExpr("'t' as topic", "cast(id as string) as grp").union(spark.sql("select 'u', 'g'"))
+    assert rows(lag.topic_group_counts(report)) == [("t", n), ("u", 1)]
+    assert lag.topic_groups(report).count() == n + 1

@@ -5,11 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from loglens.operators import words
+from loglens.plans.queries import QUERIES
 from tests.conftest import SMALL
 
-BATCH = sorted(n for n in entry.queries() if not n.startswith("stream_") and n not in ("topic_roundtrip", "rejects"))
-# Counts the bag once more to tell an empty one; only one row per task goes to the single partition.
+WRITES = {"topic_roundtrip", "rejects"}
+BATCH = sorted(n for n in QUERIES if not n.startswith("stream_") and n not in WRITES)
+# The few values drawn by each task go to the single partition.
 ONE_ROW_PER_TASK = {"bag_sample"}
 
 
@@ -47,17 +48,3 @@ def test_bag_shuffles_rows_once(spark, capsys):
     text = plan(entry.queries()["bag_counts"](spark, SMALL), capsys)
     # Rows by (value, slice), slice totals by value, and the count per value that finds hot values.
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 3
-
-
-def test_spread_only_where_the_scan_is_narrow(spark, capsys, tmp_path):
-    many = str(tmp_path / "many")
-    spark.range(100).selectExpr("cast(id as string) as text").repartition(20).write.parquet(many)
-    old = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
-    try:
-        assert "Exchange" not in plan(words.spread(spark.read.parquet(many)), capsys)
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", old)
-    one = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
-    assert "RoundRobinPartitioning" in plan(words.spread(one), capsys)
-    assert words.spread(one).count() == one.count()

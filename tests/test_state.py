@@ -119,25 +119,28 @@ def test_uneven_and_repeated_sequence_numbers(spark, limit):
     assert pieces == sorted(pieces) and pieces[0] == 0 and pieces[-1] <= -(-len(seqs) // limit)
 
 
-def test_nest_keeps_every_item_in_one_chunk(spark):
+def test_far_outlier_leaves_slices_even(spark):
+    df = spark.range(99_999).selectExpr("id as seq", "'hot' as key").union(spark.sql("select 9000000000000000000L, 'hot'"))
+    sizes = hot_keys.with_slices(df, ["key"], "seq", 1000).groupBy("_slice").count().collect()
+    assert len(sizes) >= 90 and max(r["count"] for r in sizes) <= 2000
+
+
+@pytest.mark.parametrize("pieces", [1, 20])
+def test_nest_keeps_every_item_in_one_piece(spark, pieces):
     pairs = [("hot", i) for i in range(1000)] + [("small", i) for i in range(3)]
     df = spark.createDataFrame(pairs, "k string, v bigint")
-    out = nest(df, ["k"], ["v"], F.col("v"), "vs", max_items=50).collect()
-    small = [r for r in out if r["k"] == "small"]
+    out = nest(df, ["k"], ["v"], F.col("v"), "vs", pieces).collect()
     hot = [r for r in out if r["k"] == "hot"]
-    assert [(r["chunk"], r["vs"]) for r in small] == [(0, [0, 1, 2])]
-    assert len(hot) == 20 and max(len(r["vs"]) for r in hot) < 100
+    assert len(hot) == pieces and {r["piece"] for r in out} <= set(range(pieces))
     assert sorted(v for r in hot for v in r["vs"]) == list(range(1000))
-    assert all(r["vs"] == sorted(r["vs"]) for r in hot)
+    assert all(r["vs"] == sorted(r["vs"]) for r in out)
 
 
 def test_index_views(spark):
     df = spark.createDataFrame(
         [("t", "g", 2), ("t", "g", 10), ("t", "h", 1), ("u", "h", 0)], "topic string, grp string, part_id int"
     )
-    assert rows(index.dump(df)) == [
-        (1, "t", 0, "g=2,10;h=1"), (1, "u", 0, "h=0"), (2, "g", 0, "t=2,10"), (2, "h", 0, "t=1;u=0"),
-    ]
-    split = index.nested_index(df, "topic", "grp", max_items=1).collect()
-    parts = [(r["topic"], e["grp"], p) for r in split for e in r["entries"] for p in e["parts"]]
-    assert sorted(parts) == sorted(tuple(r) for r in df.collect())
+    assert rows(index.dump(df)) == sorted(
+        [(1, t, g, p) for t, g, p in rows(df)] + [(2, g, t, p) for t, g, p in rows(df)], key=repr
+    )
+    assert rows(index.partitions_by(df, "topic", "grp")) == [("t", "g", 0, [2, 10]), ("t", "h", 0, [1]), ("u", "h", 0, [0])]

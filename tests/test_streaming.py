@@ -79,6 +79,43 @@ def test_counts_published_to_a_topic(spark, tmp_path):
     assert all(r["n"] == r["d"] == r["e"] for r in offsets.collect())
 
 
+def test_publish_again_after_failure(spark, tmp_path, monkeypatch):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(40)
+    stream = staged(spark, documents, str(tmp_path / "in"))
+    path = str(tmp_path / "log")
+
+    def published():
+        return jobs.publish(jobs.word_count_job(stream, "text", str(tmp_path / "out")), "counts", "word", "n", path=path)
+
+    write = jobs.write_topic
+
+    def fails_once_written(*args, **how):
+        write(*args, **how)
+        if how["batch"] == "2":
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(jobs, "write_topic", fails_once_written)
+    with pytest.raises(Exception, match="lost after the write"):
+        run(published(), tmp_path)
+    monkeypatch.setattr(jobs, "write_topic", write)
+    counts = run(published(), tmp_path)
+    log = source.text_records(source.read_topic(spark, ["counts"], path))
+    assert log.count() == log.select("part_id", "log_offset").distinct().count()
+    sent = latest.latest(log, ["msg_key"], "msg_value", "log_offset")
+    assert rows(sent.select("msg_key", F.col("msg_value").cast("bigint"))) == rows(counts)
+
+
+def test_late_records_are_no_orphans(spark, tmp_path):
+    schema = "log_pos bigint, grp string, topic string, part_id int, committed bigint"
+    path = str(tmp_path / "in")
+    for part in ([(1, "g", "t", 0, 5), (4, "g", "t", 0, 6)], [(2, "g", "t", 0, None), (5, "g", "t", 0, None), (6, "g", "t", 0, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    job = jobs.orphan_job(stream, str(tmp_path / "out"))
+    assert rows(run(job, tmp_path)) == [(6, "g", "t", 0)]
+    assert rows(job.table.read(spark), "log_pos", "reason") == [(2, jobs.LATE), (6, decode.ORPHAN)]
+
+
 def test_sets(spark, tmp_path):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet").select("o_custkey", "o_orderpriority")
     stream = staged(spark, orders, str(tmp_path / "in"))
@@ -196,18 +233,25 @@ def test_compaction(spark, tmp_path):
         assert rows(table.read(spark), "k", "v") == states[b]
         if b:
             assert rows(table.read(spark, upto=b - 1), "k", "v") == states[b - 1]
-    assert folders(tmp_path / "t" / "rows" / "kind=base") == [6, 8]
-    assert folders(tmp_path / "t" / "rows" / "kind=delta") == [7, 8]
+    assert folders(tmp_path / "t" / "rows" / "kind=base") == [2, 4, 6, 8]
+    assert folders(tmp_path / "t" / "rows" / "kind=delta") == list(range(9))
+    table.keep_seconds = 0
+    table.write(spark.createDataFrame([("k0", 9)], "k string, v int"), 9)
+    assert rows(table.read(spark), "k", "v") == sorted({**want, "k0": 9}.items())
+    assert folders(tmp_path / "t" / "rows" / "kind=base") == [8]
+    assert folders(tmp_path / "t" / "rows" / "kind=delta") == [9]
 
 
-def test_old_refreshes_are_removed(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("loglens.streaming.tables.KEEP", 3)
+def test_old_refreshes_are_removed(spark, tmp_path):
     table = SnapshotTable(str(tmp_path / "s"))
     for b in range(6):
         table.write(spark.createDataFrame([(b,)], "x int"), b)
         assert rows(table.read(spark)) == [(b,)]
-    assert folders(tmp_path / "s" / "rows") == [3, 4, 5]
-    assert sorted(p.name for p in (tmp_path / "s" / "notes").iterdir() if p.name[0] != ".") == ["3.3", "4.4", "5.5"]
+    assert folders(tmp_path / "s" / "rows") == list(range(6))
+    table.keep_seconds = 0
+    table.write(spark.createDataFrame([(6,)], "x int"), 6)
+    assert folders(tmp_path / "s" / "rows") == [6]
+    assert sorted(p.name for p in (tmp_path / "s" / "notes").iterdir() if p.name[0] != ".") == ["6.6"]
 
 
 def test_half_written_batch_is_not_seen(spark, tmp_path):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loglens.functions.text import with_record_text
 from loglens.operators import latest, sets, topics
 from loglens.sources import topics as source
 from tests.conftest import rows
@@ -84,6 +85,34 @@ def test_registrations(spark):
     assert rows(topics.topic_partitions(named, infos), "topic", "part_id") == [("b", 0)]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
+def test_zoneless_time_is_utc_in_a_log(spark, tmp_path, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        records = spark.sql(
+            "select 't' as topic, 0 as part_id, 0L as log_offset, 'k' as msg_key, 'v' as msg_value, "
+            "timestamp_ntz'2024-01-01 00:00:00.25' as ts"
+        )
+        sent = source.write_topic(records, str(tmp_path / "log"))
+        assert rows(sent) == [("t", 0, 0, "k")]
+        log = with_record_text(source.text_records(source.read_topic(spark, path=str(tmp_path / "log"))))
+        want = "Consumer Record:(key: k, value: v, partition: 0, offset: 0, timestamp: Sun Dec 31 16:00:00 PST 2023)"
+        assert [r["text"] for r in log.collect()] == [want] == [r["text"] for r in with_record_text(records).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "log")
+    one = spark.sql("select 't' as topic, 0 as part_id, 0L as log_offset, 'k' as msg_key, 'v' as msg_value")
+    for _ in range(2):
+        source.write_topic(one, path, batch="7")
+    assert source.read_topic(spark, path=path).count() == 1
+    source.write_topic(one, path)
+    assert source.read_topic(spark, path=path).count() == 2
+
+
 def test_value_sets(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "b"), ("z", None), (None, "q")], "k string, v string")
     assert rows(sets.value_sets(sets.key_values(df, "k", "v"), "k", "v")) == [("a", 0, ["b", "x"])]
