@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.shared import own_name
+from loglens.llm.shared import own_name, stored
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10  # a line on fewer pages is never boilerplate, however small the host
@@ -56,7 +56,9 @@ def drop_boilerplate(
     """
     found = boilerplate(docs, host, text, max_ratio, min_pages)
     of, listed, hit = own_name(docs, "of"), own_name(docs, "listed"), own_name(docs, "hit")
-    lists = found.groupBy(F.col("host").alias(of)).agg(F.collect_list("line").alias(listed))
+    # Written first, so that the optimizer knows its size before it plans how to join the texts: while the lists are
+    # small they are sent to the texts, and the texts are not shuffled.
+    lists = stored(found.groupBy(F.col("host").alias(of)).agg(F.collect_list("line").alias(listed)), "boilerplate")
     joined = docs.join(lists, docs[host].eqNullSafe(F.col(of)), "left")
     # The intersection is one pass with a hash set; it is empty for most pages.
     hashes = F.transform(_lines(text), lambda line: F.xxhash64(line))
