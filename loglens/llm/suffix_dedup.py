@@ -17,6 +17,7 @@ by a shuffle instead, which starts in every task. Both ways give the same window
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from loglens.llm.shared import stored
 WIDTH = 200
 CORE = 48
 GROUP_LIMIT = 8192
+SALTS = 16
 _ENTRY = ["doc_id", "body_hash", "start", "starts", "core", "whole", "copies"]
 _WINDOWS = 1 << 19  # windows compared at once
 
@@ -187,7 +189,8 @@ def repeated_runs(bodies: DataFrame, width: int = WIDTH, core: int = CORE, group
         F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")
     )
     cores = cores.filter("n > 1").select("core", (F.col("low") != F.col("high")).alias("varied"))
-    hits = stored(parsed.join(cores, "core"), "phrases")
+    # Written first: a join of two plain shuffles can be split where one core has very many phrases.
+    hits = stored(parsed.join(stored(cores, "cores"), "core"), "phrases")
     alike = hits.filter("not varied")
 
     place = F.struct("doc_id", "body_hash", "start", "starts")
@@ -197,30 +200,30 @@ def repeated_runs(bodies: DataFrame, width: int = WIDTH, core: int = CORE, group
     entries = stored(entries, "entries")
     copied = hits.filter("varied").join(entries.filter("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
 
-    sizes = entries.groupBy("core").agg(F.count("*").alias("size"))
-    placed = entries.join(sizes, "core").select("core", "whole", "copies", "size", "place.*")
-    told = bodies.join(placed, _same_document(bodies, placed)).select(
-        *[placed[c] for c in _ENTRY],
-        "size",
-        F.substring(bodies["body"], F.col("start") + 1, F.col("starts") + width - 1).alias("entry"),
-    )
-    few = told.filter(F.col("size") <= group_limit).drop("size")
-    compared = (
-        few.repartition("core").sortWithinPartitions("core").mapInArrow(_comparer(width), runs_schema)
-    )
-    many = told.filter(F.col("size") > group_limit).drop("size").dropDuplicates(["core", "whole"])
-    windows = many.mapInArrow(
+    large = entries.groupBy("core").agg(F.count("*").alias("size")).filter(F.col("size") > group_limit).select("core")
+    large = stored(large, "large")  # at most the entries divided by the limit
+    few, many = entries.join(large, "core", "left_anti"), entries.join(large, "core", "left_semi")
+
+    def told(some: DataFrame) -> DataFrame:
+        placed = some.select("core", "whole", "copies", "place.*")
+        return bodies.join(placed, _same_document(bodies, placed)).select(
+            *[placed[c] for c in _ENTRY],
+            F.substring(bodies["body"], F.col("start") + 1, F.col("starts") + width - 1).alias("entry"),
+        )
+
+    compared = told(few).repartition("core").sortWithinPartitions("core").mapInArrow(_comparer(width), runs_schema)
+    windows = told(many).dropDuplicates(["core", "whole"]).mapInArrow(
         _exploder(width),
         f"doc_id {kind}, body_hash bigint, start int, core bigint, whole bigint, copies bigint, window bigint",
     )
-    often = windows.groupBy("core", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    counted = (
-        windows.filter("copies = 1")
-        .join(often, ["core", "window"], "left_semi")
-        .select("doc_id", "body_hash", "start", F.lit(1).alias("starts"))
-    )
+    often = windows.groupBy("core", "window").agg(F.count("*").alias("n")).filter("n > 1").select("core", "window")
+    # A window that very many entries share is found by each of them, so its rows are dealt out by salts.
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    once = windows.filter("copies = 1").withColumn("salt", F.pmod(F.xxhash64("whole"), F.lit(SALTS)).cast("int"))
+    counted = once.join(often, ["core", "window", "salt"], "left_semi").withColumn("starts", F.lit(1))
     columns = ["doc_id", "body_hash", "start", "starts"]
-    return alike.select(*columns).union(copied.select(*columns)).union(compared).union(counted)
+    found = [alike.select(*columns), copied.select(*columns), compared, counted.select(*columns)]
+    return reduce(DataFrame.union, found)
 
 
 def _without(text: bytes, opens: list[int] | None, closes: list[int] | None) -> tuple[bytes, list[dict]]:
