@@ -47,6 +47,21 @@ def version_is(data: Column, version: int) -> Column:
     return F.substring(data, F.lit(1), F.lit(2)) == F.lit(bytearray(version.to_bytes(2, "big", signed=True)))
 
 
+# The same readers as SQL text, for expressions of very many parts.
+
+
+def sql_i16(data: str, pos: str) -> str:
+    return f"cast(shiftright(shiftleft(cast(conv(hex(substring({data}, {pos}, 2)), 16, 10) as bigint), 48), 48) as int)"
+
+
+def sql_i32(data: str, pos: str) -> str:
+    return f"cast(shiftright(shiftleft(cast(conv(hex(substring({data}, {pos}, 4)), 16, 10) as bigint), 32), 32) as int)"
+
+
+def sql_text(data: str, pos: str, length: str) -> str:
+    return f"make_valid_utf8(cast(substring({data}, {pos}, {length}) as string))"
+
+
 # Writers turn SQL expressions into SQL expressions that give hex text, so that fields join with concat and array_join;
 # unhex() makes the bytes.
 

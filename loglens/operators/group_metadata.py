@@ -1,152 +1,161 @@
-"""Decoding of group-metadata records, whose members make them variable in shape."""
+"""Decoding of group-metadata records, whose members make them variable in shape.
 
-from __future__ import annotations
+A value is read from front to back: every field gives the position of the next one, members and their lists are walked
+by an aggregate whose state is the position and what was read so far. A position is null once a field runs past the end
+of its bytes, and so are all positions after it.
+"""
 
-import struct
-import sys
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.functions.binary import read_i16, read_text, version_is
+from loglens.functions.binary import read_i16, read_text, sql_i16, sql_i32, sql_text, version_is
 from loglens.operators.decode import DECODE_ERROR, GROUP_KEY_VERSION, UNKNOWN_VALUE, UNSUPPORTED_VALUE
+from loglens.operators.fence import fence
 
-# Executors get the decoder itself, so they need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
+PARTITION = "struct<topic: string, part_id: int>"
 MEMBER = (
-    "member_id string, client_id string, client_host string, session_timeout int, rebalance_timeout int, "
-    "topics array<string>, partitions array<struct<topic: string, part_id: int>>"
-)
-BODY = (
-    f"protocol_type string, generation int, protocol string, leader string, members array<struct<{MEMBER}>>"
+    "struct<member_id: string, client_id: string, client_host: string, session_timeout: int, rebalance_timeout: int, "
+    f"topics: array<string>, partitions: array<{PARTITION}>>"
 )
 
-_PARTITION = pa.struct([("topic", pa.string()), ("part_id", pa.int32())])
-_MEMBER = pa.struct(
-    [
-        ("member_id", pa.string()),
-        ("client_id", pa.string()),
-        ("client_host", pa.string()),
-        ("session_timeout", pa.int32()),
-        ("rebalance_timeout", pa.int32()),
-        ("topics", pa.list_(pa.string())),
-        ("partitions", pa.list_(_PARTITION)),
-    ]
-)
-_ARROW = pa.schema(
-    [
-        ("log_pos", pa.int64()),
-        ("grp", pa.string()),
-        ("protocol_type", pa.string()),
-        ("generation", pa.int32()),
-        ("protocol", pa.string()),
-        ("leader", pa.string()),
-        ("members", pa.list_(_MEMBER)),
-        ("reason", pa.string()),
-    ]
-)
+# The functions below make SQL text, in which a value that is used several times gets a name. Names that callers pass in
+# never end in "_", so that they are not hidden by those of these functions.
+
+
+def _let(name: str, value: str, use: str) -> str:
+    """``use`` with a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def _room(data: str, at: str) -> str:
+    """Bytes from a position to the end."""
+    return f"(octet_length({data}) + 1 - ({at}))"
+
+
+def _after_text(data: str, at: str, nullable: bool = False) -> str:
+    least, size = (-1, "greatest(n_, 0)") if nullable else (0, "n_")
+    return _let("n_", sql_i16(data, at), f"if(n_ >= {least} and {size} + 2 <= {_room(data, at)}, {at} + 2 + {size}, null)")
+
+
+def _text(data: str, at: str) -> str:
+    return _let("n_", sql_i16(data, at), f"if(n_ >= 0, {sql_text(data, f'{at} + 2', 'n_')}, null)")
+
+
+def _after_bytes(data: str, at: str) -> str:
+    return _let("n_", sql_i32(data, at), f"if(n_ >= 0 and n_ <= {_room(data, at)} - 4, {at} + 4 + n_, null)")
+
 
+def _items(data: str, at: str, least: int, kind: str, state: str, read: str) -> str:
+    """The items of a counted list; null if it is not whole. ``read`` gives the next ``state``, the position and the items
+    before it. A count that cannot fit, at ``least`` bytes an item, is not walked."""
+    zero = f"named_struct('at', {at} + 4, 'items', cast(array() as array<{kind}>))"
+    steps = "if(n_ > 0, sequence(1, n_), cast(array() as array<int>))"
+    walked = f"aggregate({steps}, {zero}, ({state}, step_) -> {read}, {state} -> if({state}.at is null, null, {state}.items))"
+    fits = f"n_ >= 0 and cast(n_ as bigint) * {least} <= {_room(data, at)} - 4"
+    return _let("n_", sql_i32(data, at), f"if({fits}, {walked}, null)")
 
-class _Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def number(self, fmt: str) -> int:
-        (x,) = struct.unpack_from(fmt, self.data, self.at)
-        self.at += struct.calcsize(fmt)
-        return x
-
-    def take(self, n: int) -> bytes:
-        if n < 0 or self.at + n > len(self.data):
-            raise ValueError("field runs past the end")
-        part = self.data[self.at : self.at + n]
-        self.at += n
-        return part
-
-    def text(self, nullable: bool = False) -> str | None:
-        n = self.number(">h")
-        return None if n == -1 and nullable else self.take(n).decode("utf-8", "replace")
-
-    def nested(self) -> _Reader:
-        return _Reader(self.take(self.number(">i")))
-
-    def items(self, read) -> list:
-        n = self.number(">i")
-        if n < 0:
-            raise ValueError("negative count")
-        return [read() for _ in range(n)]
-
-
-def _topics(r: _Reader) -> list[str]:
-    r.number(">h")
-    return r.items(r.text)
-
-
-def _partitions(r: _Reader) -> list[dict]:
-    r.number(">h")
-    by_topic = r.items(lambda: (r.text(), r.items(lambda: r.number(">i"))))
-    return [{"topic": t, "part_id": p} for t, parts in by_topic for p in parts]
-
-
-def _member(r: _Reader) -> dict:
-    return {
-        "member_id": r.text(),
-        "client_id": r.text(),
-        "client_host": r.text(),
-        "session_timeout": r.number(">i"),
-        "rebalance_timeout": r.number(">i"),
-        "topics": _topics(r.nested()),
-        "partitions": _partitions(r.nested()),
-    }
-
-
-def _body(value: bytes) -> dict:
-    try:
-        r = _Reader(value)
-        version = r.number(">h")
-        if version != 1:
-            return {"reason": UNSUPPORTED_VALUE if version == 0 else UNKNOWN_VALUE}
-        return {
-            "protocol_type": r.text(),
-            "generation": r.number(">i"),
-            "protocol": r.text(nullable=True),
-            "leader": r.text(nullable=True),
-            "members": r.items(lambda: _member(r)),
-        }
-    except (struct.error, ValueError):
-        return {"reason": DECODE_ERROR}
-
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        head = batch.select(["log_pos", "grp"]).to_pylist()
-        values = batch.column("value")
-        rows = [{**h, **(_body(v.as_py()) if v.is_valid else {})} for h, v in zip(head, values)]
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+def _state(at: str, items: str) -> str:
+    return f"named_struct('at', {at}, 'items', {items})"
+
+
+def _topics(data: str) -> str:
+    """Version, then names."""
+    read = _state(_after_text(data, "t.at"), f"array_append(t.items, {_text(data, 't.at')})")
+    return _items(data, "3", 2, "string", "t", read)
+
+
+def _partitions(data: str) -> str:
+    """Version, then names, each with its partition numbers."""
+    number = sql_i32(data, "after + i * 4")
+    found = f"transform(sequence(1, n), i -> named_struct('topic', {_text(data, 'p.at')}, 'part_id', {number}))"
+    fits = f"n >= 0 and cast(n as bigint) * 4 <= {_room(data, 'after')} - 4"
+    read = _state(f"if({fits}, after + 4 + n * 4, null)", f"if({fits} and n > 0, concat(p.items, {found}), p.items)")
+    read = _let("after", _after_text(data, "p.at"), _let("n", sql_i32(data, "after"), read))
+    return _items(data, "3", 6, PARTITION, "p", read)
+
+
+def _members(data: str, at: str) -> str:
+    """Names, time limits, then topics and partitions, each with its length."""
+    member = (
+        f"named_struct('member_id', {_text(data, 'm.at')}, 'client_id', {_text(data, 'client')}, "
+        f"'client_host', {_text(data, 'host')}, 'session_timeout', {sql_i32(data, 'times')}, "
+        f"'rebalance_timeout', {sql_i32(data, 'times + 4')}, 'topics', topics, 'partitions', parts)"
+    )
+    read = _state("if(topics is null or parts is null, null, end)", f"array_append(m.items, {member})")
+    for name, value in (
+        ("parts", _let("bytes", f"substring({data}, held + 4, end - held - 4)", _partitions("bytes"))),
+        ("topics", _let("bytes", f"substring({data}, times + 12, held - times - 12)", _topics("bytes"))),
+        ("end", _after_bytes(data, "held")),
+        ("held", _after_bytes(data, "times + 8")),
+        ("times", _after_text(data, "host")),
+        ("host", _after_text(data, "client")),
+        ("client", _after_text(data, "m.at")),
+    ):
+        read = _let(name, value, read)
+    return _items(data, at, 22, MEMBER, "m", read)
+
+
+def _body(data: str) -> Column:
+    """The fields of a value of version 1; null if it is not whole."""
+    body = (
+        f"if(members is null, null, named_struct('protocol_type', {_text(data, '3')}, "
+        f"'generation', {sql_i32(data, 'head')}, 'protocol', {_text(data, 'head + 4')}, "
+        f"'leader', {_text(data, 'leader')}, 'members', members))"
+    )
+    for name, value in (
+        ("members", _members(data, "listed")),
+        ("listed", _after_text(data, "leader", nullable=True)),
+        ("leader", _after_text(data, "head + 4", nullable=True)),
+        ("head", _after_text(data, "3")),
+    ):
+        body = _let(name, value, body)
+    return F.expr(body)
+
+
+def _group(key: Column) -> Column:
+    """The group of a key; null if the key is cut short."""
+    n = read_i16(key, 3)
+    return F.when((n >= 0) & (F.octet_length(key) >= 4 + n), read_text(key, 5, n))
+
+
+def newest_records(log: DataFrame) -> DataFrame:
+    """The newest group-metadata record of each group, as it stands in the log: live views need no other, so no other is
+    decoded for them. Records whose key is cut short have no group and are left out."""
+    rows = log.filter(version_is(F.col("key"), GROUP_KEY_VERSION)).select("log_pos", "key", "value", _group(F.col("key")).alias("grp"))
+    newest = F.max_by(F.struct("log_pos", "key", "value"), "log_pos")
+    return rows.filter(F.col("grp").isNotNull()).groupBy("grp").agg(newest.alias("r")).select("r.*")
 
 
 def decode_groups(log: DataFrame) -> DataFrame:
     """``log_pos, grp, protocol_type, generation, protocol, leader, members, is_tombstone, reason`` of the
-    group-metadata records. Only those records leave the JVM, and only their position, group and value."""
-    key, value = F.col("key"), F.col("value")
-    glen = read_i16(key, 3)
-    key_ok = F.coalesce((glen >= 0) & (F.octet_length(key) >= 4 + glen), F.lit(False))
-    rows = log.filter(version_is(key, GROUP_KEY_VERSION)).select(
-        "log_pos", F.when(key_ok, read_text(key, 5, glen)).alias("grp"), "value"
+    group-metadata records."""
+    value, version = F.col("value"), F.col("version")
+    rows = log.filter(version_is(F.col("key"), GROUP_KEY_VERSION)).select(
+        "log_pos", _group(F.col("key")).alias("grp"), "value", F.when(F.octet_length(value) >= 2, read_i16(value, 1)).alias("version")
+    )
+    reason = (
+        F.when(F.col("grp").isNull(), DECODE_ERROR)
+        .when(value.isNull(), F.lit(None))
+        .when(version.isNull(), DECODE_ERROR)
+        .when(version == 0, UNSUPPORTED_VALUE)
+        .when(version != 1, UNKNOWN_VALUE)
+        .when(F.col("body").isNull(), DECODE_ERROR)
+    )
+    decoded = fence(rows.withColumn("body", F.when(version == 1, _body("value"))), "body")
+    return decoded.withColumn("reason", reason).select(
+        "log_pos", "grp", "body.*", (F.col("reason").isNull() & value.isNull()).alias("is_tombstone"), "reason"
     )
-    decoded = rows.mapInArrow(_decode, f"log_pos bigint, grp string, {BODY}, reason string")
-    return decoded.select(
-        "*",
-        (F.col("reason").isNull() & F.col("grp").isNotNull() & F.col("members").isNull()).alias("is_tombstone"),
-    ).withColumn("reason", F.when(F.col("grp").isNull(), DECODE_ERROR).otherwise(F.col("reason")))
 
 
 def live_groups(groups: DataFrame) -> DataFrame:
-    """The newest record of each group; a group whose newest record is a tombstone is gone."""
+    """The newest record of each group; a group whose newest record is a tombstone is gone.
+
+    Records with a reason are left out. Of a whole log, a group whose newest record is bad is shown by the one
+    before; after ``newest_records`` it is not shown, as its state is not known.
+    """
     body = F.struct("protocol_type", "generation", "protocol", "leader", "members")
     return (
         groups.filter(F.col("reason").isNull())

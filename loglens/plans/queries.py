@@ -155,7 +155,8 @@ def rejects(spark, sf_dir):
 
 
 def _live_groups(events):
-    return group_metadata.live_groups(group_metadata.decode_groups(inputs.binary_log(events)))
+    newest = group_metadata.newest_records(inputs.binary_log(events))
+    return group_metadata.live_groups(group_metadata.decode_groups(newest))
 
 
 @events_query

@@ -180,3 +180,48 @@ def test_envelope(spark):
     assert [bytes(r["body"]) for r in got[:2]] == [b"ab", b""]
     for r in got[2:]:
         assert (r["env_version"], r["body"], r["version_ok"]) == (None, None, None)
+
+
+def test_group_value_cut_anywhere(spark):
+    """No part of a value passes for a whole one, and counts larger than the value are not walked."""
+    key = struct.pack(">h", 2) + text("g")
+    whole = group_value("range", None, [member("mé", ["t", ""], [("t", [1, 2]), ("", [])]), member("", [], [])])
+    log = spark.createDataFrame([(n, key, whole[:n]) for n in range(len(whole) + 1)], LOG).repartition(4)
+    got = {r["log_pos"]: r["reason"] for r in group_metadata.decode_groups(log).select("log_pos", "reason").collect()}
+    assert got == {n: "decode_error" if n < len(whole) else None for n in range(len(whole) + 1)}
+
+    head = struct.pack(">h", 1) + text("c") + struct.pack(">i", 0) + text("p") + text("l")
+    names = text("m") + text("c") + text("h") + struct.pack(">ii", 1, 2)
+    empty = blob(struct.pack(">hi", 0, 0))
+    for huge in (2**31 - 1, 2**29, -1):
+        many = struct.pack(">i", huge)
+        one = head + struct.pack(">i", 1) + names
+        bad = [
+            head + many,
+            one + many + empty,
+            one + blob(b"\0\0" + many) + empty,
+            one + empty + blob(b"\0\0" + many),
+            one + empty + blob(struct.pack(">hi", 0, 1) + text("t") + many),
+        ]
+        log = spark.createDataFrame([(i, key, v) for i, v in enumerate(bad)], LOG)
+        assert {r["reason"] for r in group_metadata.decode_groups(log).collect()} == {"decode_error"}
+
+
+def test_newest_group_records(spark):
+    def key(g):
+        return struct.pack(">h", 2) + text(g)
+
+    log = spark.createDataFrame(
+        [
+            (1, key("a"), group_value("old", "x", [])), (5, key("a") + b"more", group_value("new", "x", [])),
+            (2, key("b"), group_value("old", "x", [])), (3, key("b"), None),
+            (2, key("c"), group_value("old", "x", [])), (4, key("c"), b"\0"),
+            (6, key("d")[:-1], group_value("p", "x", [])), (7, offset_key("a", "t", 0), None),
+        ],
+        LOG,
+    )
+    newest = group_metadata.newest_records(log)
+    assert rows(newest, "log_pos") == [(3,), (4,), (5,)]
+    live = group_metadata.live_groups(group_metadata.decode_groups(newest))
+    assert rows(live, "grp", "protocol") == [("a", "new")]
+    assert rows(group_metadata.live_groups(group_metadata.decode_groups(log)), "grp", "protocol") == [("a", "new"), ("c", "old")]

@@ -26,9 +26,7 @@ def test_no_cross_join_and_no_single_task(spark, capsys, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in ONE_ROW_PER_TASK:
         assert "SinglePartition" not in text
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-    # Python is used for group metadata only.
-    assert ("MapInArrow" in text) == (name in {"group_headers", "group_members", "member_topics", "member_partitions"})
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text and "MapInArrow" not in text
 
 
 def test_columns_are_pruned(spark, capsys):
