@@ -32,11 +32,13 @@ _TAILS = bytes(range(0x80, 0xC0))  # the bytes of a character after its first
 
 #: The transformed statistics, and the least standard deviation that is believed of each.
 VECTOR = ["log_words", "log_word_chars", "symbol_root", "dup_line_root", "repeat_share"]
-LEAST_DEVIATION = (0.3, 0.1, 0.05, 0.05, 0.05)
+#: The root of a count deviates by a half whatever its mean, so the root of a share of n characters by 0.5 / sqrt(n); the
+#: shortest texts that are judged have ``MIN_WORDS`` words of about five characters.
+LEAST_DEVIATION = (0.3, 0.1, 0.5 / math.sqrt(5 * MIN_WORDS), 0.05, 0.05)
 MIN_ROWS = 50  # cells with fewer rows are pooled by language, then altogether
 SHARE = 0.75
 STEPS = 4
-CUTOFF = 1e-9  # chance of a larger distance under normality
+CUTOFF = 1e-6  # chance of a larger distance under normality
 _BINS_PER_DOUBLING = 32
 _D = len(VECTOR)
 _PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]

@@ -143,6 +143,25 @@ def test_outliers_are_found(spark):
     assert got[2000]  # too few rows for an estimate
 
 
+def test_outliers_among_low_quality(spark):
+    """Nearly all low-quality rows that pass the base rules are outliers, and hardly any clean row is."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    judged = queries.op6_outliers(spark, sf_dir).filter(~F.col("base_failed")).join(labels, "doc_id")
+    counts = judged.groupBy("quality").agg(F.sum(F.col("kept").cast("int")).alias("n_kept"), F.count("*").alias("n"))
+    kept = {r.quality: (r.n_kept, r.n) for r in counts.collect()}
+    assert kept[0][1] > 200 and kept[0][0] <= 0.02 * kept[0][1]
+    assert kept[1][1] > 3000 and kept[1][0] >= 0.99 * kept[1][1]
+
+
+def test_least_symbol_deviation():
+    """One symbol in the shortest text that is judged is no outlier by itself; a tenth of its characters is."""
+    chars = 5 * outliers.MIN_WORDS
+    deviation = outliers.LEAST_DEVIATION[outliers.VECTOR.index("symbol_root")]
+    limit = outliers.chi_square_quantile(1 - outliers.CUTOFF, len(outliers.VECTOR))
+    assert 1 / chars / deviation**2 < limit < 0.1 / deviation**2
+
+
 def test_outliers_of_nothing(none):
     assert outliers.judge(none).count() == 0
 
