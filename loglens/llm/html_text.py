@@ -2,7 +2,8 @@
 
 The tree builder opens and closes tags as browsers do where pages leave them out (``p``, ``li``, table parts, ``option``
 …), and ignores end tags that match nothing. The renderer skips what is not visible, folds white space outside ``pre``,
-separates blocks by a line and paragraphs by an empty one, numbers and indents lists, and pads table cells to columns.
+separates blocks by a line and paragraphs by an empty one, numbers and indents lists, and pads table cells to columns;
+what else stands in a table comes before it. Of a select the selected option is shown, of inputs their values.
 Each page is rendered on its own, so rows only pass through.
 """
 
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 HIDDEN = frozenset(
-    "script style title head template noscript iframe noembed noframes object svg math canvas audio video select "
-    "datalist textarea".split()
+    "script style title head template noscript iframe noembed noframes object canvas audio video datalist".split()
 )
-PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
+#: Parts of svg and math that are not shown; elsewhere their names mean nothing.
+FOREIGN_HIDDEN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+#: Controls whose value is not shown as text.
+NO_TEXT = frozenset("hidden checkbox radio password file image color range".split())
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp ul ol dl table figure hr".split())
 BLOCK = PARAGRAPH | frozenset(
     "address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup "
     "html legend li main menu nav optgroup option section summary tbody td tfoot th thead tr".split()
@@ -44,6 +48,15 @@ IMPLIED = {
     "tfoot": (("tbody", "thead", "tfoot", "caption"), ("table",)),
     "body": (("head",), ()),
 }
+#: What may hold a table part. An opening part closes all that is open above its holder, so that wrappers stay empty.
+TABLE_PARTS = {
+    "td": ("tr", "tbody", "thead", "tfoot", "table"),
+    "th": ("tr", "tbody", "thead", "tfoot", "table"),
+    "tr": ("tbody", "thead", "tfoot", "table"),
+    "tbody": ("table",),
+    "thead": ("table",),
+    "tfoot": ("table",),
+}
 _SCOPE = frozenset("table td th caption html body".split())
 MAX_DEPTH = 400  # deeper elements become siblings, as in browsers
 
@@ -52,6 +65,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"']\S*/$")
 _FOLD = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -60,6 +74,7 @@ class Node:
     name: str
     hidden: bool = False
     start: int = 1
+    chosen: bool = False  # of an option: selected; of a select: shows all options
     children: list[Node | str] = field(default_factory=list)
 
 
@@ -107,9 +122,13 @@ def parse(page: str) -> Node:
             _close(stack, ("p",), _SCOPE)
         if name in IMPLIED:
             _close(stack, *IMPLIED[name])
+        if name in TABLE_PARTS:
+            _to_holder(stack, TABLE_PARTS[name])
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             _open(stack, Node("tr"))
         node = Node(name)
+        foreign = name in FOREIGN_HIDDEN or m["attrs"].endswith("/")
+        foreign = foreign and any(n.name in ("svg", "math") for n in stack)
         if m["attrs"].strip(" /\n\t"):
             values = _attributes(m["attrs"])
             node.hidden = (
@@ -123,12 +142,23 @@ def parse(page: str) -> Node:
                 node.start = int(values["start"])
             if name == "img" and values.get("alt"):
                 node.children.append(values["alt"])
+            if name == "input" and values.get("type", "").lower() not in NO_TEXT and values.get("value"):
+                node.children.append(values["value"])
+            node.chosen = (name == "option" and "selected" in values) or (name == "select" and "multiple" in values)
         elif name == "dialog":
             node.hidden = True
+        if foreign:
+            node.hidden |= name in FOREIGN_HIDDEN
+            if m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"]):
+                stack[-1].children.append(node)
+                continue
         if name in VOID or (name in RAW):
             stack[-1].children.append(node)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if name in ("xmp", "textarea"):
+                    body = page[at : end.start() if end else len(page)]
+                    node.children.append(html.unescape(body) if name == "textarea" else body)
                 at = end.end() if end else len(page)
         else:
             _open(stack, node)
@@ -142,6 +172,16 @@ def _open(stack: list[Node], node: Node) -> None:
         stack.append(node)
 
 
+def _to_holder(stack: list[Node], holders: tuple[str, ...]) -> None:
+    """Closes what is open above the nearest holder of a table part, but no cell around it."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].name in holders:
+            del stack[i + 1 :]
+            return
+        if stack[i].name in ("td", "th", "caption"):
+            return
+
+
 def _end(stack: list[Node], name: str) -> None:
     """Closes the nearest open element of the name; a cell's or table's end is not passed by tags within."""
     for i in range(len(stack) - 1, 0, -1):
@@ -211,13 +251,19 @@ def _render(nodes: list[Node | str], out: _Lines, pre: bool) -> None:
             continue
         if node.hidden or node.name in HIDDEN:
             continue
+        if node.name == "svg":
+            _svg(node.children, out, pre)
+            continue
+        if node.name == "select":
+            _select(node, out, pre)
+            continue
         if node.name == "br":
             if out.parts:
                 out.end()
             else:
                 out.whole("")
             continue
-        if node.name not in BLOCK:
+        if node.name not in BLOCK and node.name != "textarea":
             _render(node.children, out, pre)
             continue
         gap = node.name in PARAGRAPH
@@ -226,7 +272,7 @@ def _render(nodes: list[Node | str], out: _Lines, pre: bool) -> None:
             _list(node, out)
         elif node.name == "table":
             _table(node, out)
-        elif node.name == "pre":
+        elif node.name in ("pre", "xmp", "textarea"):
             lines = _rendered(node.children, True)
             while lines and not lines[0].strip():
                 del lines[0]
@@ -242,6 +288,36 @@ def _render(nodes: list[Node | str], out: _Lines, pre: bool) -> None:
         out.end(gap)
 
 
+def _svg(nodes: list[Node | str], out: _Lines, pre: bool) -> None:
+    """The text elements, each a word of its own; text around them is not shown."""
+    for node in nodes:
+        if isinstance(node, str) or node.hidden:
+            continue
+        if node.name in ("svg", "g", "a", "switch"):
+            _svg(node.children, out, pre)
+        else:
+            out.space = True
+            _render([node], out, pre)
+            out.space = True
+
+
+def _options(node: Node) -> list[Node]:
+    found = []
+    for child in node.children:
+        if isinstance(child, Node) and not child.hidden:
+            found += [child] if child.name == "option" else _options(child)
+    return found
+
+
+def _select(node: Node, out: _Lines, pre: bool) -> None:
+    """All options of a list that takes several, else the one that the page selects."""
+    options = _options(node)
+    for option in options if node.chosen else [o for o in options if o.chosen][-1:]:
+        out.space = True
+        _render(option.children, out, pre)
+        out.space = True
+
+
 def _list(node: Node, out: _Lines) -> None:
     number = node.start
     for child in node.children:
@@ -269,13 +345,24 @@ def _rows(node: Node) -> list[Node]:
     return found
 
 
+def _strays(node: Node) -> list[Node | str]:
+    """What stands between the parts of a table; browsers show it before the table, even out of hidden parts."""
+    found = []
+    for child in node.children:
+        if isinstance(child, Node) and child.name in ("tr", "tbody", "thead", "tfoot", "colgroup"):
+            found += _strays(child)
+        elif isinstance(child, str) or not (node.name == "tr" and child.name in ("td", "th")):
+            found.append(child)
+    return found
+
+
 def _table(node: Node, out: _Lines) -> None:
     rows = [
         [" ".join(x.strip() for x in _rendered(c.children) if x.strip()) for c in row.children
          if isinstance(c, Node) and c.name in ("td", "th") and not c.hidden]
         for row in _rows(node)
     ]
-    strays = [c for c in node.children if isinstance(c, str) or c.name not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col")]
+    strays = _strays(node)
     _render(strays, out, False)
     out.end()
     widths: list[int] = []

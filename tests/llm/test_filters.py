@@ -320,6 +320,28 @@ def test_html(page, text):
     assert got == text
 
 
+SHOWN = [
+    ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A | B"),
+    ("<table><form><tr><td>A<td>B</form><tr><td>C<td>D</table>e", "A | B\nC | D\n\ne"),
+    ("<table><tr><div>x</div><td>A</td></tr><tbody>y<tr><td>B</table>", "x\ny\nA\nB"),
+    ("<table><tr><div>x<td>A</td></div></tr><tr hidden>z<td>B</table>", "x\nz\nA"),
+    ("<table><colgroup>x<col></colgroup><tr><td>A</table>", "x\nA"),
+    ("<table><tr><td><table><tr><form><td>in</form></table><td>B</table>", "in | B"),
+    ("a<xmp><b>1 &amp; 2</b>\n c</xmp>d", "a\n\n<b>1 &amp; 2</b>\n c\n\nd"),
+    ("a<textarea>one &amp;\n two</textarea>b", "a\none &\n two\nb"),
+    ("a <svg><title>t</title><defs><text>n</text></defs><g><path d='M0'/><text>x</text><text>y</text></g></svg> b", "a x y b"),
+    ("<svg><defs/><text>x</text></svg><math><mi>e</mi><mo>=</mo><mn>2</mn><annotation>q</annotation></math>", "x e=2"),
+    ("<select><option>a<option selected>b</select> <select multiple><option>c<option>d</select>", "b c d"),
+    ("<input value='v'><input type=checkbox value=on><input type=password value=p><input type=submit value=Go>", "vGo"),
+    ("<desc>shown</desc>", "shown"),
+]
+
+
+@pytest.mark.parametrize("page, text", SHOWN)
+def test_html_shows_all_text(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.page_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert len(html_text.page_text("<p>word</p>" * 50_000)) == 6 * 50_000 - 2
