@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings by prefix-free parsing, with the corpus order of suffixes cut at ``WIDTH`` bytes.
+"""Removal of repeated byte strings by phrases of the text, with hash grouping in place of suffix arrays.
 
-Rolling-hash triggers cut documents into phrases (``parsing.py``). A suffix's place in corpus order, cut at the width, is
-given by the dictionary entry of its phrase, told with the text that follows, and by its place within it. Suffixes with
-one neighbour of equal 200 bytes are what is looked for, so equality of hashes stands for adjacency:
+Rolling-hash triggers cut documents into phrases (``parsing.py``), as in prefix-free parsing, but neither the suffix array of
+the dictionary nor that of the parse is built, and there is no corpus order. Only whether ``WIDTH`` bytes occur elsewhere is
+looked for, and equal hashes tell that without an order:
 
 1. A phrase's core, a fixed number of bytes from its trigger, lies in all its windows. Cores that occur once need no
    further look; these are most phrases of text that isn't repetitive.
