@@ -113,4 +113,59 @@ SELECT page_id, host, path, rule, pattern,
 FROM sites
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5, "op7_line_dedup": OP7, "op9_token_rollup": OP9, "op10_url_rules": OP10}
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), failing AS (
+  SELECT doc_id, part, [
+    len(words) < 200,
+    100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM docs
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), letters AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS f
+), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS fs
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT array_to_string(list_transform(fs, lambda x: chr(64 + x)), '') AS filter_order, step, fs[step] AS f, fs[:step - 1] AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), judged AS (
+  SELECT part, filter_order, step, f, n, n_good, n_toxic, fails[f] AS fails_it,
+         len(list_filter(before, lambda x: fails[x])) > 0 AS gone,
+         len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM masks, steps
+), counted AS (
+  SELECT part, filter_order, step, f,
+         sum(n) FILTER (NOT gone AND NOT fails_it) AS kept,
+         sum(n) FILTER (NOT gone AND fails_it) AS removed,
+         sum(n) FILTER (gone AND fails_it) AS redundant,
+         sum(n) FILTER (fails_it AND n_fails = 1) AS unique_fails,
+         sum(n_good) FILTER (NOT gone AND fails_it) AS good_lost,
+         sum(n_toxic) FILTER (NOT gone AND fails_it) AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_mixing": OP5,
+    "op7_line_dedup": OP7,
+    "op9_token_rollup": OP9,
+    "op10_url_rules": OP10,
+    "op11_filter_audit": OP11,
+}

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm import (
+    alignment,
+    byte_bpe,
     decontaminate,
+    filter_audit,
     html_text,
     line_dedup,
     mixing,
@@ -116,6 +120,29 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return filter_audit.report(masks)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    vocabulary = byte_bpe.load(spark, path, public_tokenizers.PATTERN)
+    docs = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return docs.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(byte_bpe.packed("token_ids"), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode("token_ids", vocabulary), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    pair = alignment.load(spark, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return alignment.measures(_table(spark, sf_dir, "documents"), pair)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -129,5 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html,
         op9_token_rollup,
         op10_url_rules,
+        op11_filter_audit,
+        op12_byte_bpe,
+        op13_alignment,
     )
 }

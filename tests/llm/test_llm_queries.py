@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registered():
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
-    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline(spark, documents):
