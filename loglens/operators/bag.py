@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.operators.hot_keys import HOT, SLICE, SLICE_ROWS, across, before, running, with_slices, within
+from loglens.operators.hot_keys import HOT, SLICE, SLICE_ROWS, across, before, join_small, number_rows, running, with_slices, within
+
+FEW = 10_000  # values that are drawn in one task
 
 
 def _running(sliced: DataFrame, value: str, seq: str, delta: str) -> DataFrame:
@@ -61,25 +63,37 @@ def bag_bad_deletes(
     sum_before = F.col("_run") - F.col(delta)
     count_before = sum_before - F.least(-start, F.col("_low"))
     return (
-        inside.join(starts, [value, SLICE], "left")
+        join_small(inside, starts, [value, SLICE], "left")
         .filter((F.col(delta) == -1) & (count_before == 0))
         .select(value, seq)
     )
 
 
-def bag_sample(counts: DataFrame, k: int = 1, seed: int | str = 0, value: str = "bag_value", repeatable: bool = True) -> DataFrame:
+def bag_sample(
+    counts: DataFrame, k: int = 1, seed: int | str = 0, value: str = "bag_value", repeatable: bool = True,
+    few: int = FEW, limit: int = SLICE_ROWS,
+) -> DataFrame:
     """``k`` different values, each drawn with a chance that grows with its copies; ``k=1`` picks one element of the
     bag evenly. Drawing from an empty bag is an error.
 
-    Each value gets the rank ``-ln(u) / n`` and the k smallest win (Efraimidis and Spirakis, 2006). Every task keeps
-    its own k best, so only those travel, to one task: k should be small. ``repeatable`` takes u from a hash of seed and value.
+    Each value gets the rank ``-ln(u) / n`` and the k smallest win (Efraimidis and Spirakis, 2006). Up to ``few``, every task
+    keeps its own k best and only those travel, to one task. For more, values are numbered by rank in slices of ``limit``, and the
+    first k stay where they are. Both draw the same values. ``repeatable`` takes u from a hash of seed and value.
     """
     if repeatable:
         digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(value).cast("string"))), 1, 8)
         u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
     else:
         u = 1.0 - F.rand(int(seed))
-    drawn = counts.withColumn("_rank", -F.log(u) / F.col("n")).orderBy("_rank", value).limit(k)
+    ranked = counts.withColumn("_rank", -F.log(u) / F.col("n"))
+    if k > few:
+        numbered = number_rows(ranked.withColumn("_all", F.lit(0)), ["_all"], "_rank", "_number", limit, (value,))
+        drawn = numbered.filter(F.col("_number") < k).select(value)
+        # A row that fails if there is nothing to draw from, and is left out otherwise.
+        size = counts.agg(F.count("*").alias("_size"))
+        checked = F.when(F.col("_size") > 0, F.lit(False)).otherwise(F.raise_error(F.lit("the bag is empty")).cast("boolean"))
+        return drawn.unionByName(size.filter(checked).select(F.lit(None).cast(drawn.schema[value].dataType).alias(value)))
+    drawn = ranked.orderBy("_rank", value).limit(k)
     # One row even if nothing was drawn, so that the bag is computed once.
     values = drawn.agg(F.collect_list(value).alias("_values"))
     some = F.when(F.size("_values") > 0, F.col("_values")).otherwise(

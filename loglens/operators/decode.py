@@ -45,13 +45,22 @@ def decode_commits(log: DataFrame) -> DataFrame:
     Group-metadata records are left out before anything else is decoded. Old (version 0) offset values are decoded
     and flagged, as they have no expiry.
     """
-    # A null or short key fails this comparison's negation with null, so test the version null-safely.
-    rows = log.filter(~F.coalesce(version_is(F.col("key"), GROUP_KEY_VERSION), F.lit(False)))
+    return _commit_fields(log.filter(~is_group(F.col("key"))))
+
+
+def is_group(key: Column) -> Column:
+    """Whether a record is one of group metadata; never null, as the version of a null or short key is."""
+    return F.coalesce(version_is(key, GROUP_KEY_VERSION), F.lit(False))
+
+
+def _commit_fields(rows: DataFrame, *keep: str) -> DataFrame:
+    """The fields of ``decode_commits`` for all records, and the columns of ``rows`` named in ``keep``."""
     k, v = F.col("key"), F.col("value")
 
     # Key: version(2) group(2 + n) topic(2 + m) partition(4).
     s1 = rows.select(
         "log_pos",
+        *keep,
         k,
         v,
         key_version(k).alias("kv"),
@@ -81,6 +90,7 @@ def decode_commits(log: DataFrame) -> DataFrame:
     good_value = good_key & v.isNotNull()
     return s3.select(
         "log_pos",
+        *keep,
         F.when(good_key, read_text(k, 5, glen)).alias("grp"),
         F.when(good_key, read_text(k, 7 + glen, tlen)).alias("topic"),
         F.when(good_key, read_i32(k, 7 + glen + tlen)).alias("part_id"),
@@ -107,13 +117,6 @@ def split_rejects(decoded: DataFrame, on_error: str = "reject") -> tuple[DataFra
     return good.drop("reason"), decoded.filter(F.col("reason").isNotNull()).select("log_pos", "reason")
 
 
-def stored(decoded: DataFrame, path: str) -> DataFrame:
-    """Writes decoded rows to ``path`` and reads them back, for uses that need them several times: the narrow rows are
-    cheaper to read again than the log is to decode again."""
-    decoded.write.mode("overwrite").parquet(path)
-    return decoded.sparkSession.read.schema(decoded.schema).parquet(path)
-
-
 def expired_commits(commits: DataFrame) -> DataFrame:
     """Tombstones: commits whose value is null."""
     return commits.filter(F.col("committed").isNull()).select("log_pos", "grp", "topic", "part_id")

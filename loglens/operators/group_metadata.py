@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglens.functions.binary import read_i16, read_text, sql_i16, sql_i32, sql_text, version_is
-from loglens.operators.decode import DECODE_ERROR, GROUP_KEY_VERSION, UNKNOWN_VALUE, UNSUPPORTED_VALUE
+from loglens.operators.decode import DECODE_ERROR, GROUP_KEY_VERSION, UNKNOWN_VALUE, UNSUPPORTED_VALUE, is_group
 from loglens.operators.fence import fence
 
 PARTITION = "struct<topic: string, part_id: int>"
@@ -136,18 +136,35 @@ def decode_groups(log: DataFrame) -> DataFrame:
     rows = log.filter(version_is(F.col("key"), GROUP_KEY_VERSION)).select(
         "log_pos", _group(F.col("key")).alias("grp"), "value", F.when(F.octet_length(value) >= 2, read_i16(value, 1)).alias("version")
     )
-    reason = (
+    decoded = fence(rows.withColumn("body", F.when(version == 1, _body("value"))), "body")
+    return decoded.withColumn("reason", _reason()).select(
+        "log_pos", "grp", "body.*", (F.col("reason").isNull() & F.col("value").isNull()).alias("is_tombstone"), "reason"
+    )
+
+
+def _reason() -> Column:
+    """Why a record is not usable, from its ``grp, value, version, body``; null if it is."""
+    version = F.col("version")
+    return (
         F.when(F.col("grp").isNull(), DECODE_ERROR)
-        .when(value.isNull(), F.lit(None))
+        .when(F.col("value").isNull(), F.lit(None))
         .when(version.isNull(), DECODE_ERROR)
         .when(version == 0, UNSUPPORTED_VALUE)
         .when(version != 1, UNKNOWN_VALUE)
         .when(F.col("body").isNull(), DECODE_ERROR)
     )
-    decoded = fence(rows.withColumn("body", F.when(version == 1, _body("value"))), "body")
-    return decoded.withColumn("reason", reason).select(
-        "log_pos", "grp", "body.*", (F.col("reason").isNull() & value.isNull()).alias("is_tombstone"), "reason"
+
+
+def with_group_reason(log: DataFrame, name: str = "group_reason") -> DataFrame:
+    """The log with the reason of its group-metadata records; nothing of other records is read."""
+    value, ours = F.col("value"), is_group(F.col("key"))
+    rows = log.select(
+        "*",
+        F.when(ours, _group(F.col("key"))).alias("grp"),
+        F.when(ours & (F.octet_length(value) >= 2), read_i16(value, 1)).alias("version"),
     )
+    decoded = fence(rows.withColumn("body", F.when(ours & (F.col("version") == 1), _body("value"))), "body")
+    return decoded.select(*log.columns, F.when(ours, _reason()).alias(name))
 
 
 def live_groups(groups: DataFrame) -> DataFrame:

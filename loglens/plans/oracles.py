@@ -123,6 +123,12 @@ LAG_INPUTS = (TOPIC_LOG, COMMIT_LOG, ASSIGNMENTS, GROUPS, LATEST_COMMITS, ENDS,
 
 ORACLES: dict[str, str] = {
     "topic_scan": _sql("select topic, part_id, log_offset, msg_key, msg_value from topic_log", TOPIC_LOG),
+    "topic_range": _sql(
+        "select topic, part_id, log_offset, msg_key, msg_value from topic_log "
+        "where topic = 'click' and part_id = 0 and log_offset >= 5 and log_offset < 40 "
+        "or topic = 'click' and part_id = 2 and log_offset < 25 or topic = 'view' and part_id = 1 and log_offset >= 10",
+        TOPIC_LOG,
+    ),
     "sent_records": _sql("select topic, part_id, log_offset, msg_key from topic_log", TOPIC_LOG),
     "multi_topic_scan": _sql(
         "select topic, count(*) as n_records, count(*) filter (where msg_value is null) as n_tombstones "
@@ -256,7 +262,7 @@ ORACLES: dict[str, str] = {
 
 # A stream over the whole source ends in the table of its batch form.
 for _name in (
-    "topic_scan", "word_count", "latest_by_key", "live_index", "orphan_tombstones", "lag_report", "topic_groups",
+    "topic_scan", "lookup_key", "word_count", "latest_by_key", "live_index", "orphan_tombstones", "lag_report", "topic_groups",
     "group_snapshot",
 ):
     ORACLES[f"stream_{_name}"] = ORACLES[_name]

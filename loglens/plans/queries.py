@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions.text import with_record_text
 from loglens.operators import bag, decode, group_metadata, index, lag, latest, sets, topics, words
+from loglens.operators.rejects import rejected, tag
 from loglens.plans import inputs
 from loglens.session import work_path
 from loglens.sources import topics as source
@@ -43,6 +44,14 @@ def topic_scan(spark, sf_dir):
     return source.text_records(source.read_topic(spark, path=path)).drop("ts")
 
 
+@query
+def topic_range(spark, sf_dir):
+    """A range of offsets of some partitions."""
+    path, _ = _written_log(spark, sf_dir)
+    wanted = {"click": {0: (5, 40), 2: (0, 25)}, "view": {1: (10, None)}}
+    return source.text_records(source.read_range(spark, wanted, path=path)).drop("ts")
+
+
 @query
 def sent_records(spark, sf_dir):
     return _written_log(spark, sf_dir)[1]
@@ -144,14 +153,9 @@ def expired_commits(events):
     return decode.expired_commits(inputs.commit_log(events))
 
 
-@query
-def rejects(spark, sf_dir):
-    log = inputs.binary_log(inputs.table(spark, sf_dir, "events"), damaged=True)
-    decoded = decode.decode_commits(log).select("log_pos", *index.KEYS, "committed", "reason")
-    good, bad_commits = decode.split_rejects(decode.stored(decoded, work_path(spark, "rejects")))
-    _, bad_groups = decode.split_rejects(group_metadata.decode_groups(log))
-    orphans = index.orphan_tombstones(good).select("log_pos", F.lit(decode.ORPHAN).alias("reason"))
-    return bad_commits.unionByName(bad_groups).unionByName(orphans)
+@events_query
+def rejects(events):
+    return rejected(tag(inputs.binary_log(events, damaged=True)))
 
 
 def _live_groups(events):
@@ -386,6 +390,16 @@ def stream_latest_by_key(spark, sf_dir):
     )
 
 
+@query
+def stream_lookup_key(spark, sf_dir):
+    """One key from the table that the stream keeps in slots: the files of one slot are read."""
+    log = inputs.topic_records(inputs.stream_table(spark, sf_dir, "events"))
+    path = work_path(spark, "stream_lookup_key")
+    job = jobs.latest_job(log, ["topic", "msg_key"], "msg_value", "log_pos", f"{path}/tables", slot_by="msg_key")
+    job.run(f"{path}/checkpoint")
+    return job.table.lookup(spark, "8").filter(F.col("msg_value").isNotNull()).select("topic", "msg_value")
+
+
 @query
 def stream_key_value_sets(spark, sf_dir):
     orders = inputs.stream_table(spark, sf_dir, "orders")

@@ -6,7 +6,9 @@ on the classpath, or from a log table: parquet in the same schema, one folder pe
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,44 @@ def read_topic(
     return _only(log.drop("batch"), topics)
 
 
+#: Per topic and partition the first offset and the one after the last; none for the end of the log.
+Ranges = dict[str, dict[int, tuple[int, int | None]]]
+
+
+def read_range(
+    spark: SparkSession,
+    ranges: Ranges,
+    path: str | None = None,
+    servers: str | None = None,
+    options: dict[str, str] | None = None,
+) -> DataFrame:
+    """The records in ranges of offsets. On a log table the folders of the named topics are read, and of these only the parts
+    whose statistics meet a range; a broker is asked for the ranges alone."""
+    _one_source(path, servers)
+    if not ranges or not all(ranges.values()):
+        raise ValueError("name at least one partition of each topic")
+    if servers:
+        ends = {t: {str(p): -1 if high is None else high for p, (_, high) in of.items()} for t, of in ranges.items()}
+        starts = {t: {str(p): low for p, (low, _) in of.items()} for t, of in ranges.items()}
+        return (
+            spark.read.format("kafka")
+            .option("kafka.bootstrap.servers", servers)
+            .option("assign", json.dumps({t: sorted(of) for t, of in ranges.items()}))
+            .option("startingOffsets", json.dumps(starts))
+            .option("endingOffsets", json.dumps(ends))
+            .options(**(options or {}))
+            .load()
+        )
+    log = read_topic(spark, list(ranges), path, options=options)
+    offset = F.col("offset")
+    wanted = []
+    for topic, of in ranges.items():
+        for partition, (low, high) in of.items():
+            here = (F.col("topic") == topic) & (F.col("partition") == partition) & (offset >= low)
+            wanted.append(here if high is None else here & (offset < high))
+    return log.filter(reduce(lambda a, b: a | b, wanted))
+
+
 def stream_topic(
     spark: SparkSession,
     topics: list[str] | None = None,
@@ -192,8 +232,10 @@ def write_topic(
         F.lit(0).alias("timestampType"),
         F.lit(name).alias("batch"),
     )
-    # Rebalancing gives each topic few files, and cuts a topic that is too large for one task.
-    writer = rows.hint("rebalance", "topic").write.partitionBy("topic", "batch")
+    # Rebalancing gives each topic few files, and cuts a topic that is too large for one task. In order, parts of a file hold
+    # narrow ranges of offsets, which reads of a range skip by their statistics.
+    ordered = rows.hint("rebalance", "topic").sortWithinPartitions("topic", "batch", "partition", "offset")
+    writer = ordered.write.partitionBy("topic", "batch")
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     written = records.sparkSession.read.schema(f"{LOG_SCHEMA}, batch string").parquet(path)
     return text_records(written.filter(F.col("batch") == name)).select("topic", "part_id", "log_offset", "msg_key")

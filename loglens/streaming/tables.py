@@ -2,6 +2,8 @@
 
 Each micro-batch writes to a folder of its own, so a batch that is run again after a failure replaces what it wrote
 before. An empty file, made last, notes that the batch is whole; readers go by these notes and never see half a batch.
+A table of all rows is only appended to. A table of merged rows is written anew, as a base from which readers start, once the
+batches since the last base are as large as that base: so all bases together take at most twice the bytes of all batches.
 Nothing is removed unless the table is given an age: then what later batches have replaced goes once it is older. The age
 should exceed the longest time that anyone reads one state of the table.
 """
@@ -10,15 +12,23 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELTA, BASE = "delta", "base"
 
 
+class Note(NamedTuple):
+    batch: int
+    base: int
+    since: int = 0  # bytes of the batches after the base
+    size: int = 0  # bytes of the base
+
+
 class Notes:
-    """Names ``<batch>.<base>`` in a folder of any file system that Spark can write to."""
+    """Names ``<batch>.<base>.<bytes since>.<bytes of the base>`` in a folder of any file system that Spark can write to."""
 
     def __init__(self, spark: SparkSession, path: str):
         jvm = spark._jvm
@@ -26,16 +36,18 @@ class Notes:
         self.folder = self.make_path(f"{path}/notes")
         self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def add(self, batch_id: int, base: int) -> None:
-        self.files.create(self.make_path(self.folder, f"{batch_id}.{base}"), True).close()
+    def add(self, note: Note) -> None:
+        self.files.create(self.make_path(self.folder, ".".join(map(str, note))), True).close()
+
+    def bytes(self, path: str) -> int:
+        return self.files.getContentSummary(self.make_path(path)).getLength()
 
     def expire(self, keep_seconds: float) -> None:
         """Removes the notes older than that, but for the last."""
         oldest = (time.time() - keep_seconds) * 1000
         last = self.last()
         for s in self.files.listStatus(self.folder):
-            name = s.getPath().getName()
-            if s.getModificationTime() <= oldest and tuple(int(x) for x in name.split(".")) != last:
+            if s.getModificationTime() <= oldest and self._read(s) != last:
                 self.files.delete(s.getPath(), False)
 
     def numbered(self, path: str, prefix: str = "") -> dict[int, str]:
@@ -47,14 +59,16 @@ class Notes:
         numbers = {p.getName().removeprefix(prefix): p.toString() for p in found}
         return {int(n): p for n, p in numbers.items() if n.isdigit()}
 
-    def all(self) -> list[tuple[int, int]]:
+    def _read(self, status) -> Note:
+        return Note(*map(int, status.getPath().getName().split(".")))
+
+    def all(self) -> list[Note]:
         if not self.files.exists(self.folder):
             return []
-        names = [s.getPath().getName() for s in self.files.listStatus(self.folder)]
-        return sorted(tuple(int(x) for x in name.split(".")) for name in names)
+        return sorted(map(self._read, self.files.listStatus(self.folder)))
 
-    def last(self, upto: int | None = None) -> tuple[int, int] | None:
-        found = [n for n in self.all() if upto is None or n[0] <= upto]
+    def last(self, upto: int | None = None) -> Note | None:
+        found = [n for n in self.all() if upto is None or n.batch <= upto]
         return found[-1] if found else None
 
     def remove(self, path: str) -> None:
@@ -62,36 +76,43 @@ class Notes:
 
 
 class ChangeTable:
-    """Holds the changes of each batch.
+    """Holds the changes of each batch; a batch without changes need not be written.
 
     ``merge`` reduces the rows of several batches, told apart by ``batch_id``, to the present table. It must be free
-    to run over its own results, as a latest-per-key or a maximum is. Every ``compact_every`` batches the merged table
-    is written as a new base, and readers start there; 0 keeps the rows of all batches as they are.
+    to run over its own results, as a latest-per-key or a maximum is. Without it the table has the rows of all batches.
+    A base is written after ``compact_every`` batches at the earliest, and only if they outgrow the last base.
+
+    With ``slot_by`` the rows of a value of that column are in the folder of one of ``slots`` slots, in order and with a bloom
+    filter, so that a lookup of one value reads one file a batch, or only its filter. ``slots`` must stay the same.
     """
 
     def __init__(
         self,
         path: str,
-        merge: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+        merge: Callable[[DataFrame], DataFrame] | None = None,
         compact_every: int = 50,
         keep_seconds: float | None = None,
+        slot_by: str | None = None,
+        slots: int = 64,
     ):
         self.path, self.merge, self.compact_every, self.keep_seconds = path, merge, compact_every, keep_seconds
+        self.slot_by, self.slots = slot_by, slots
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
         notes = Notes(spark, self.path)
         # Notes of earlier batches only: this batch may have been written before.
-        before = notes.last(batch_id - 1)
-        base = before[1] if before else -1
+        before = notes.last(batch_id - 1) or Note(-1, -1)
         self._put(changes, DELTA, batch_id)
-        due = self.compact_every and before and batch_id - max(base, 0) >= self.compact_every
-        if due:
-            self._put(self.merge(self._rows(spark, base, batch_id)), BASE, batch_id)
-        notes.add(batch_id, batch_id if due else base)
+        since = before.since + notes.bytes(self._folder(DELTA, batch_id)) if self.merge else 0
+        note = Note(batch_id, before.base, since, before.size)
+        if self.merge and batch_id - max(before.base, 0) >= self.compact_every and since >= before.size:
+            self._put(self.merge(self._rows(spark, before.base, batch_id)), BASE, batch_id)
+            note = Note(batch_id, batch_id, 0, notes.bytes(self._folder(BASE, batch_id)))
+        notes.add(note)
         if self.keep_seconds is not None:
             notes.expire(self.keep_seconds)
-            needed = min(b for _, b in notes.all())
+            needed = min(n.base for n in notes.all())
             for b, folder in notes.numbered(f"{self.path}/rows/kind={DELTA}", "batch_id=").items():
                 if b <= needed:
                     notes.remove(folder)
@@ -99,54 +120,61 @@ class ChangeTable:
                 if b < needed:
                     notes.remove(folder)
 
+    def has(self, spark: SparkSession, batch_id: int) -> bool:
+        """Whether the batch is noted."""
+        last = Notes(spark, self.path).last(batch_id)
+        return last is not None and last.batch == batch_id
+
     def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
         """The table after batch ``upto``, if still kept, or after the last whole batch."""
         last = Notes(spark, self.path).last(upto)
         if last is None:
             raise ValueError(f"nothing has been written to {self.path} yet")
-        return self.merge(self._rows(spark, last[1], last[0]))
+        rows = self._rows(spark, last.base, last.batch)
+        return self.merge(rows) if self.merge else rows
+
+    def lookup(self, spark: SparkSession, wanted) -> DataFrame:
+        """The rows with one value of the column ``slot_by`` in the table after the last whole batch."""
+        last = Notes(spark, self.path).last()
+        if last is None or self.slot_by is None:
+            raise ValueError(f"{self.path} has no slots or nothing has been written to it yet")
+        rows = self._rows(spark, last.base, last.batch, keep_slot=True)
+        kind = rows.schema[self.slot_by].dataType
+        here = (F.col("slot") == self._slot(F.lit(wanted).cast(kind))) & (F.col(self.slot_by) == F.lit(wanted).cast(kind))
+        rows = rows.filter(here).drop("slot")
+        return self.merge(rows) if self.merge else rows
+
+    def _slot(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(self.slots)).cast("int")
 
     def changes(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What one batch wrote."""
-        return spark.read.parquet(self._folder(DELTA, batch_id))
+        rows = spark.read.parquet(self._folder(DELTA, batch_id))
+        return rows.drop("slot") if self.slot_by else rows
 
     def _folder(self, kind: str, batch_id: int) -> str:
         return f"{self.path}/rows/kind={kind}/batch_id={batch_id}"
 
     def _put(self, rows: DataFrame, kind: str, batch_id: int) -> None:
         kept = [c for c in rows.columns if c not in ("kind", "batch_id")]
-        rows.select(*kept).write.mode("overwrite").parquet(self._folder(kind, batch_id))
+        rows = rows.select(*kept)
+        if self.slot_by:
+            by = self.slot_by
+            rows = rows.withColumn("slot", self._slot(F.col(by))).repartition("slot").sortWithinPartitions("slot", by)
+            writer = rows.write.partitionBy("slot").option(f"parquet.bloom.filter.enabled#{by}", "true")
+        else:
+            writer = rows.write
+        writer.mode("overwrite").parquet(self._folder(kind, batch_id))
 
-    def _rows(self, spark: SparkSession, base: int, last: int) -> DataFrame:
+    def _rows(self, spark: SparkSession, base: int, last: int, keep_slot: bool = False) -> DataFrame:
         reader = spark.read.option("basePath", f"{self.path}/rows")
         if base < 0:
             rows = reader.parquet(f"{self.path}/rows/kind={DELTA}").filter(F.col("batch_id") <= last)
         else:
-            # Named folders, so that those before the base are not even listed.
-            deltas = [self._folder(DELTA, b) for b in range(base + 1, last + 1)]
+            # Named folders, so that the files before the base are not even listed.
+            found = Notes(spark, self.path).numbered(f"{self.path}/rows/kind={DELTA}", "batch_id=")
+            deltas = [self._folder(DELTA, b) for b in sorted(found) if base < b <= last]
             rows = reader.parquet(self._folder(BASE, base), *deltas)
-        return rows.withColumn("batch_id", F.col("batch_id").cast("bigint")).drop("kind")
+        rows = rows.withColumn("batch_id", F.col("batch_id").cast("bigint")).drop("kind")
+        return rows.drop("slot") if self.slot_by and not keep_slot else rows
 
-
-class SnapshotTable:
-    """A table that each refresh replaces as a whole. Readers see the last refresh that is whole."""
-
-    def __init__(self, path: str, keep_seconds: float | None = None):
-        self.path, self.keep_seconds = path, keep_seconds
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/{batch_id}")
-        notes = Notes(rows.sparkSession, self.path)
-        notes.add(batch_id, batch_id)
-        if self.keep_seconds is not None:
-            notes.expire(self.keep_seconds)
-            kept = {b for b, _ in notes.all()}
-            for b, folder in notes.numbered(f"{self.path}/rows").items():
-                if b not in kept:
-                    notes.remove(folder)
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        last = Notes(spark, self.path).last()
-        if last is None:
-            raise ValueError(f"nothing has been written to {self.path} yet")
-        return spark.read.parquet(f"{self.path}/rows/{last[0]}")

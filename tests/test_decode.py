@@ -3,9 +3,11 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglens.functions import binary
-from loglens.operators import decode, group_metadata
+from loglens.operators import decode, group_metadata, index, rejects
+from loglens.plans import inputs
 from tests.conftest import rows
 
 LOG = "log_pos bigint, key binary, value binary"
@@ -225,3 +227,20 @@ def test_newest_group_records(spark):
     live = group_metadata.live_groups(group_metadata.decode_groups(newest))
     assert rows(live, "grp", "protocol") == [("a", "new")]
     assert rows(group_metadata.live_groups(group_metadata.decode_groups(log)), "grp", "protocol") == [("a", "new"), ("c", "old")]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, rejects.BLOCK])
+def test_one_pass_over_all_records(spark, events, block):
+    """Good rows and rejects as the two decoders give them, orphans as the operator over good rows does."""
+    log = inputs.binary_log(events, damaged=True).repartition(5)
+    tagged, seen = rejects.counted(rejects.tag(log), f"log-{block}")
+    commits = decode.decode_commits(log)
+    good, bad = decode.split_rejects(commits)
+    _, bad_groups = decode.split_rejects(group_metadata.decode_groups(log))
+    want = bad.unionByName(bad_groups)
+    assert rows(tagged.filter("reason is not null"), "log_pos", "reason") == rows(want)
+    fields = ["log_pos", "grp", "topic", "part_id", "committed", "commit_ms", "expire_ms"]
+    assert rows(tagged.filter("kind = 'offset_commit' and reason is null"), *fields) == rows(good, *fields)
+    assert seen.get == {"n": log.count(), "n_rejects": want.count()}
+    orphans = index.orphan_tombstones(good).select("log_pos", F.lit(decode.ORPHAN).alias("reason"))
+    assert rows(rejects.rejected(rejects.tag(log), block)) == rows(want.unionByName(orphans))

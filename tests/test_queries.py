@@ -57,7 +57,7 @@ def test_entry(spark):
     ]
 
 
-@pytest.mark.parametrize("name", ["lag_report", "group_rows", "topic_scan", "orphan_tombstones", "key_value_sets", "index_dump"])
+@pytest.mark.parametrize("name", ["lag_report", "group_rows", "topic_scan", "orphan_tombstones", "key_value_sets", "index_dump", "rejects"])
 def test_same_result_without_small_tables(spark, con, name):
     """As on large tables, where no side of a join is small enough to be sent to all tasks."""
     limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")

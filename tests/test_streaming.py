@@ -1,15 +1,16 @@
 """Streams over several micro-batches end in the table of the batch form."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loglens.operators import decode, group_metadata, index, lag, latest, sets, words
+from loglens.operators import decode, group_metadata, hot_keys, index, lag, latest, sets, words
 from loglens.plans import inputs
 from loglens.sources import topics as source
 from loglens.streaming import jobs
-from loglens.streaming.tables import ChangeTable, SnapshotTable
+from loglens.streaming.tables import ChangeTable
 from tests.conftest import SMALL, rows
 
 
@@ -242,21 +243,40 @@ def test_compaction(spark, tmp_path):
     assert folders(tmp_path / "t" / "rows" / "kind=delta") == [9]
 
 
-def test_old_refreshes_are_removed(spark, tmp_path):
-    table = SnapshotTable(str(tmp_path / "s"))
-    for b in range(6):
+def test_bytes_grow_with_the_changes(spark, tmp_path):
+    """Over 500 batches, a table with many keys and one with few are written at most three times."""
+    for name, n_keys in (("many", 5000), ("few", 20)):
+        path = tmp_path / name
+        table = ChangeTable(str(path), lambda df: latest.newest(df, ["k"], "v", "batch_id"), compact_every=10)
+        for b in range(500 if name == "many" else 60):
+            table.write(spark.range(b * 10, b * 10 + 10, 1, 1).selectExpr(f"id % {n_keys} as k", "id as v"), b)
+        size = {kind: [sum(f.stat().st_size for f in d.iterdir()) for d in (path / "rows" / f"kind={kind}").iterdir()] for kind in ("delta", "base")}
+        assert len(size["base"]) >= 2
+        assert sum(size["delta"]) + sum(size["base"]) < 3 * sum(size["delta"]) + max(size["base"])
+        want = {i % n_keys: i for i in range((b + 1) * 10)}
+        assert rows(table.read(spark), "k", "v") == sorted(want.items(), key=repr)
+
+
+def test_append_tables_are_not_written_again(spark, tmp_path):
+    table = ChangeTable(str(tmp_path / "t"), compact_every=2, keep_seconds=0)
+    for b in range(8):
         table.write(spark.createDataFrame([(b,)], "x int"), b)
-        assert rows(table.read(spark)) == [(b,)]
-    assert folders(tmp_path / "s" / "rows") == list(range(6))
-    table.keep_seconds = 0
-    table.write(spark.createDataFrame([(6,)], "x int"), 6)
-    assert folders(tmp_path / "s" / "rows") == [6]
-    assert sorted(p.name for p in (tmp_path / "s" / "notes").iterdir() if p.name[0] != ".") == ["6.6"]
+    assert folders(tmp_path / "t" / "rows" / "kind=base") == []
+    assert rows(table.read(spark), "x") == [(b,) for b in range(8)]
+
+
+def test_keyed_table_replaces_the_rows_of_a_key(spark, tmp_path):
+    table = jobs.keyed_table(str(tmp_path / "t"), ["k"])
+    schema = "k string, x int, gone boolean"
+    table.write(spark.createDataFrame([("a", 1, False), ("a", 2, False), ("b", 3, False)], schema), 0)
+    table.write(spark.createDataFrame([("a", 4, False), ("b", None, True)], schema), 2)
+    assert rows(table.read(spark), "k", "x") == [("a", 4)]
+    assert rows(table.read(spark, upto=1), "k", "x") == [("a", 1), ("a", 2), ("b", 3)]
 
 
 def test_half_written_batch_is_not_seen(spark, tmp_path):
     path = str(tmp_path / "t")
-    table = ChangeTable(path, compact_every=0)
+    table = ChangeTable(path)
     with pytest.raises(ValueError, match="nothing has been written"):
         table.read(spark)
     table.write(spark.createDataFrame([("a",)], "k string"), 0)
@@ -266,10 +286,86 @@ def test_half_written_batch_is_not_seen(spark, tmp_path):
     assert rows(table.read(spark), "k") == [("a",), ("c",)]
 
 
-def test_snapshot_is_replaced_as_a_whole(spark, tmp_path):
-    table = SnapshotTable(str(tmp_path / "s"))
-    table.write(spark.createDataFrame([("a",), ("b",)], "x string"), 0)
-    table.write(spark.createDataFrame([("c",)], "x string"), 1)
-    assert rows(table.read(spark)) == [("c",)]
-    table.write(spark.createDataFrame([], "x string"), 2)
-    assert rows(table.read(spark)) == []
+@pytest.mark.parametrize("limit", [7, 1 << 20])
+def test_hot_key_of_a_batch_is_judged_in_slices(spark, tmp_path, limit):
+    """A key with 90 % of every batch, null groups, late records and repeated positions."""
+    rng = random.Random(4)
+    data = []
+    for pos in range(600):
+        key = ("g", "t", 0) if rng.random() < 0.9 else (rng.choice(["h", None]), "t", rng.randrange(2))
+        data.append((pos, *key, None if rng.random() < 0.4 else 1))
+    batches = [data[:200], data[200:400] + data[150:160], data[400:] + data[:5]]
+    last, want = {}, []
+    for batch in batches:
+        new = {}
+        for pos, *key, value in sorted(batch, key=lambda r: r[0]):
+            key = tuple(key)
+            if key in last and pos <= last[key][0]:
+                want.append((pos, jobs.LATE))
+                continue
+            before = new.get(key) or last.get(key)
+            if value is None and not (before and before[1]):
+                want.append((pos, decode.ORPHAN))
+            new[key] = (pos, value is not None)
+        last.update(new)
+    path = str(tmp_path / "in")
+    schema = "log_pos bigint, grp string, topic string, part_id int, committed bigint"
+    for batch in batches:
+        rng.shuffle(batch)
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    job = jobs.orphan_job(stream, str(tmp_path / "out"), limit=limit)
+    run(job, tmp_path)
+    assert rows(job.table.read(spark), "log_pos", "reason") == sorted(want, key=repr)
+
+
+def test_slices_of_a_hot_batch_key(spark):
+    rows_ = spark.range(10_000).selectExpr("id as log_pos", "'g' as grp", "'t' as topic", "0 as part_id", "id % 3 = 0 as live")
+    sizes = hot_keys.with_slices(rows_, index.KEYS, "log_pos", 500).groupBy("_slice").count().collect()
+    assert len(sizes) >= 18 and max(r["count"] for r in sizes) <= 1100
+    ends = [r for part in jobs._last_rows(iter([rows_.selectExpr("log_pos as last", "live", "grp", "topic", "part_id").toPandas()] * 3)) for r in part.itertuples()]
+    assert [(r.last, r.live) for r in ends] == [(9999, True)]
+
+
+def test_lag_report_follows_changes(spark, tmp_path):
+    """Each step changes one thing; the report is that of a fresh start, and only the keys concerned are written."""
+    assigned = [("g", "t", 0, "c1", "h", "x"), ("g", "t", 1, "c1", "h", "x"), ("g", "t", 1, "c2", "h", "x"), ("k", "u", 0, "c3", "h", "x")]
+    states = {"g": "Stable", "k": "Stable", "d": "Dead"}
+    now = {"assigned": assigned, "states": states}
+    columns = "grp string, topic string, part_id int, consumer_id string, host string, client_id string"
+    read_assigned = lambda s: s.createDataFrame(now["assigned"], columns)
+    read_states = lambda s: s.createDataFrame(list(now["states"].items()), "grp string, state string")
+    empty = "grp string, topic string, part_id int, committed bigint, log_pos bigint, log_offset bigint"
+    topic_log = spark.readStream.schema("topic string, part_id int, log_offset bigint").parquet(str(tmp_path))
+    commit_log = spark.readStream.schema("grp string, topic string, part_id int, committed bigint, log_pos bigint").parquet(str(tmp_path))
+    job, tables = jobs.lag_job(topic_log, commit_log, read_assigned, read_states, str(tmp_path / "out"))
+    commits, ends = {}, {}
+
+    def step(batch_id, new_commits=(), new_ends=()):
+        """Keys that the batch wrote to the report, or none."""
+        commits.update(((g, t, p), (c, pos)) for g, t, p, c, pos in new_commits)
+        ends.update(((t, p), o) for t, p, o in new_ends)
+        batch = [(*c, None) for c in new_commits] + [(None, t, p, None, None, o) for t, p, o in new_ends]
+        for _ in range(2):  # a batch may be run again
+            job.write(spark.createDataFrame(batch, empty), batch_id)
+        offsets = spark.createDataFrame([(*k, c) for k, (c, _) in commits.items() if c is not None], "grp string, topic string, part_id int, committed bigint")
+        log_ends = spark.createDataFrame([(*k, o + 1) for k, o in ends.items()], "topic string, part_id int, log_end bigint")
+        want = lag.lag_report(read_assigned(spark), offsets, log_ends, read_states(spark))
+        assert rows(tables.report.read(spark), *lag.REPORT) == rows(want)
+        assert rows(tables.topic_groups.read(spark)) == rows(lag.topic_groups(want))
+        assert rows(tables.groups.read(spark)) == rows(lag.group_snapshot(want, read_states(spark)))
+        table = tables.report.table
+        return {tuple(r) for r in table.changes(spark, batch_id).select(*index.KEYS).collect()} if table.has(spark, batch_id) else None
+
+    assert len(step(0, [("g", "t", 0, 5, 1), ("d", "t", 0, 7, 2), ("k", "u", 1, 3, 3)], [("t", 0, 9), ("u", 0, 4)])) == 5
+    assert step(1) is None
+    assert step(2, [("g", "t", 0, 6, 4)]) == {("g", "t", 0)}
+    assert step(3, [], [("u", 0, 8)]) == {("k", "u", 0)}
+    now["assigned"] = assigned[:2] + assigned[3:]
+    assert step(4) == {("g", "t", 1)}
+    now["states"] = {"g": "Stable", "k": "Dead", "d": "Stable"}
+    assert step(5) == {("k", "u", 0), ("k", "u", 1), ("d", "t", 0)}
+    assert step(6, [("d", "t", 0, None, 9)]) == {("d", "t", 0)}
+    now["states"] = {"g": "Empty", "d": "Stable"}
+    step(7)
+    assert step(8) is None and not (tmp_path / "out" / "commits" / "rows" / "kind=delta" / "batch_id=8").exists()
