@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from loglens.llm.shared import own_name, stored
 
-MAX_RATIO = 0.1
-MIN_PAGES = 10  # a line on fewer pages is never boilerplate, however small the host
+MAX_RATIO = 0.015
+MIN_PAGES = 3  # a line on one or two pages is not yet repeated; the same for hosts of any size
 
 
 def _lines(text: str) -> Column:

@@ -49,7 +49,7 @@ WITH pages AS (
   FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]')
   GROUP BY l.source, l.line
-  HAVING count(DISTINCT l.page) >= 10 AND count(DISTINCT l.page) > 0.1::DOUBLE * any_value(h.n)
+  HAVING count(DISTINCT l.page) >= 3 AND count(DISTINCT l.page) > 0.015::DOUBLE * any_value(h.n)
 ), kept AS (
   SELECT l.page, coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (b.line IS NULL), '') AS text,
          count(b.line) AS n_dropped

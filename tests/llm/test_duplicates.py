@@ -134,7 +134,7 @@ def test_no_repeats(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def brute_lines(rows, max_ratio=0.1, min_pages=10):
+def brute_lines(rows, max_ratio=line_dedup.MAX_RATIO, min_pages=line_dedup.MIN_PAGES):
     pages, seen = Counter(s for _, s, _ in rows), Counter()
     for _, source, text in rows:
         seen.update((source, line) for line in {*(text or "").split("\n")} if line.strip(" \t\n\r\x0b\x0c"))
@@ -157,3 +157,30 @@ def test_line_dedup(table, request):
 
 def test_line_dedup_of_nothing(none):
     assert line_dedup.drop_boilerplate(none).count() == 0
+
+
+def test_small_hosts_are_cleaned(spark):
+    """A host of nine pages with a footer on each, and one of three; a line on two pages of a small host stays."""
+    pages = [(i, "nine", f"body {i}\nfooter\n{'twice' if i < 2 else 'other ' + str(i)}") for i in range(9)]
+    pages += [(10 + i, "three", f"text {i}\nHome | About") for i in range(3)]
+    pages += [(20 + i, "two", "same on both") for i in range(2)]
+    docs = spark.createDataFrame(pages, "doc_id bigint, source string, text string")
+    got = {r.doc_id: (r.text, r.dropped) for r in line_dedup.drop_boilerplate(docs, dropped="dropped").collect()}
+    assert got[0] == ("body 0\ntwice", 1) and got[8] == ("body 8\nother 8", 1)
+    assert got[11] == ("text 1", 1) and got[20] == ("same on both", 0)
+
+
+def test_most_header_and_footer_lines_are_caught(spark):
+    """Lines in at least 0.5 % of the documents, which come first or last in 90 % of them."""
+    docs = [(r.doc_id, r.source, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "text").collect()]
+    seen, at_end = Counter(), Counter()
+    for _, _, text in docs:
+        lines = [x for x in text.split("\n") if x.strip()]
+        seen.update(set(lines))
+        at_end.update({*lines[:1], *lines[-1:]})
+    edges = {x for x, n in seen.items() if n >= 0.005 * len(docs) and at_end[x] >= 0.9 * n}
+    found = line_dedup.boilerplate(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("host", "line").collect()
+    hashed = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in edges], "x string").selectExpr("x", "xxhash64(x)").collect()}
+    bad = {(r.host, r.line) for r in found}
+    held = [(source, hashed[x]) in bad for _, source, text in docs for x in edges.intersection(text.split("\n"))]
+    assert len(held) > 3000 and sum(held) > 0.6 * len(held)
