@@ -35,7 +35,8 @@ VECTOR = ["log_words", "log_word_chars", "symbol_root", "dup_line_root", "repeat
 #: The root of a count deviates by a half whatever its mean, so the root of a share of n characters by 0.5 / sqrt(n); the
 #: shortest texts that are judged have ``MIN_WORDS`` words of about five characters.
 LEAST_DEVIATION = (0.3, 0.1, 0.5 / math.sqrt(5 * MIN_WORDS), 0.05, 0.05)
-MIN_ROWS = 50  # cells with fewer rows are pooled by language, then altogether
+MIN_ROWS = 50  # cells with fewer rows are pooled by language, then altogether, then judged by all rows
+EVERY = "every"
 SHARE = 0.75
 STEPS = 4
 CUTOFF = 1e-6  # chance of a larger distance under normality
@@ -191,7 +192,8 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, share: float) -> DataFra
 
 
 def _cells(rows: DataFrame, min_rows: int) -> DataFrame:
-    """(lang, source, cell): the cell of each language and source; null if all small ones together are too few."""
+    """(lang, source, cell): the cell of each language and source. If all small ones together are too few, theirs is the cell
+    of all rows."""
     groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = Window.partitionBy("lang", F.col("n") >= min_rows)
     groups = groups.withColumn("pool", F.sum("n").over(by_lang))
@@ -201,6 +203,7 @@ def _cells(rows: DataFrame, min_rows: int) -> DataFrame:
         F.when(F.col("n") >= min_rows, F.to_json(F.struct(F.lit(1), "lang", "source")))
         .when(F.col("pool") >= min_rows, F.to_json(F.struct(F.lit(2), "lang")))
         .when(F.col("rest") >= min_rows, F.lit("all"))
+        .otherwise(F.lit(EVERY))
     )
     return groups.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), cell.alias("cell"))
 
@@ -220,7 +223,7 @@ def judge(
     ``base_failed`` texts have fewer than 50 words or more than half of their words in repeated windows; they are not kept
     and take no part in estimates. Others are kept unless their squared distance exceeds the chi-square quantile of
     ``cutoff``. Null and empty texts have no words. A null language or source is a group of its own; where even all
-    small groups together have fewer than ``min_rows`` rows there is no estimate, the distance is null and rows are kept.
+    small groups together have fewer than ``min_rows`` rows, theirs are judged by the estimate of all rows that pass.
     Repeated rows all count. Empty tables give no rows; other columns are not read.
     """
     counted = docs.select(
@@ -233,7 +236,10 @@ def judge(
     cells = stored(_cells(light.filter(~F.col("base_failed")), min_rows), "cells")
     same = light["lang"].eqNullSafe(cells["of_lang"]) & light["source"].eqNullSafe(cells["of_source"])
     placed = light.join(cells, same, "left")
-    rows = placed.filter(~F.col("base_failed") & F.col("cell").isNotNull()).select("cell", "v")
+    rows = placed.filter(~F.col("base_failed")).select("cell", "v")
+    if not cells.filter(F.col("cell") == EVERY).isEmpty():
+        passed = light.filter(~F.col("base_failed")).select(F.lit(EVERY).alias("cell"), "v")
+        rows = rows.filter(F.col("cell") != EVERY).unionByName(passed)
 
     estimate = stored(_start(rows), "estimate")
     for _ in range(STEPS):

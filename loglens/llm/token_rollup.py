@@ -2,24 +2,26 @@
 
 A batch is a table of signed changes: documents inserted, deleted, or counted anew. It is summed by source, language
 and tokenizer version and written as one delta; totals are the sum of all committed deltas. A delta becomes part of the
-table by a one-row commit record that names its batch and its folder. A batch that is run again, after a failure or by
-mistake, writes another folder and another record, and of several records of one batch only one counts. So a batch counts
-once, whole or not at all. ``compact`` folds committed deltas into one, by a
-commit like any other that replaces them.
+table by a record, a file that is named by its batch and names its folder. The file is written aside and renamed, which fails
+where there is one of the batch already: the first commit of a batch stands, whatever a later one of the same name holds.
+So a batch counts once, whole or not at all. ``compact`` folds committed deltas into one, by a commit like any other that
+replaces them; what it replaces and what it sums are of one listing, so batches committed meanwhile count beside it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm.shared import WORD, as_bytes
 
 KEYS = ["source", "lang", "tokenizer"]
-CHANGES = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
+CHANGES = "source string, lang string, tokenizer string, docs bigint, tokens bigint, batch string"
 _COMMITS = "batch string, folder string, replaces array<string>"
 
 
@@ -79,47 +81,58 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        # An empty table under the commits makes them readable before the first one, and changes nothing later.
-        spark.createDataFrame([], _COMMITS).write.mode("append").parquet(f"{self.path}/commits")
+        jvm = spark._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._at(self.path).toUri() if "://" in self.path else jvm.java.io.File(self.path).toURI(), spark._jsc.hadoopConfiguration()
+        )
+        self._rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        for name in ("commits", "aside", "deltas"):
+            self._files.mkdir(self._at(f"{self.path}/{name}"), None, True)
 
-    def commit(self, batch: str, changes: DataFrame, replaces: list[str] | None = None) -> None:
-        """Adds a batch. The same batch may be committed any number of times and counts once."""
+    def commit(self, batch: str, changes: DataFrame, replaces: list[str] | None = None) -> bool:
+        """Adds a batch, and tells whether it did: the first commit of a batch stands, and others change nothing."""
         folder = uuid.uuid4().hex
         summed = changes.groupBy(*KEYS).agg(
             F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")
         )
-        summed.write.parquet(f"{self.path}/deltas/folder={folder}")
+        summed.withColumn("batch", F.lit(batch)).write.parquet(f"{self.path}/deltas/folder={folder}")
+        aside = f"{self.path}/aside/{folder}"
         record = self.spark.createDataFrame([(batch, folder, replaces or [])], _COMMITS)
-        record.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-
-    def _commits(self) -> DataFrame:
-        """One record for each batch that no other replaces."""
-        records = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits")
-        first = Window.partitionBy("batch").orderBy("folder")
-        chosen = records.withColumn("rank", F.row_number().over(first)).filter("rank = 1").drop("rank")
-        gone = chosen.select(F.explode("replaces").alias("batch")).distinct()
-        return chosen.join(gone, "batch", "left_anti")
-
-    def deltas(self) -> DataFrame:
+        record.coalesce(1).write.json(aside)
+        (part,) = [p for p in self._names(aside) if p.startswith("part-")]
+        name = f"{hashlib.sha256(batch.encode()).hexdigest()}.json"
+        try:
+            self._files.rename(self._at(f"{aside}/{part}"), self._at(f"{self.path}/commits/{name}"), self._rename)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._files.util().listStatus(self._at(folder))]
+
+    def _commits(self) -> list[Row]:
+        """The records of batches that no other replaces."""
+        records = self.spark.read.schema(_COMMITS).json(f"{self.path}/commits").collect()
+        gone = {b for r in records for b in r.replaces}
+        return [r for r in records if r.batch not in gone]
+
+    def deltas(self, commits: list[Row] | None = None) -> DataFrame:
         """The rows of all deltas that count, with their batch. Folders are named by the commits, one for each batch."""
-        folders = {r.folder: r.batch for r in self._commits().select("folder", "batch").collect()}
+        folders = [f"{self.path}/deltas/folder={r.folder}" for r in (self._commits() if commits is None else commits)]
         if not folders:
-            return self.spark.createDataFrame([], CHANGES + ", batch string")
-        schema = f"{CHANGES}, folder string"
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/deltas").parquet(
-            *[f"{self.path}/deltas/folder={f}" for f in sorted(folders)]
-        )
-        named = F.create_map(*[F.lit(x) for pair in sorted(folders.items()) for x in pair])
-        return rows.withColumn("batch", F.element_at(named, F.col("folder"))).drop("folder")
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).parquet(*sorted(folders))
 
-    def totals(self) -> DataFrame:
+    def totals(self, commits: list[Row] | None = None) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens); groups without documents and tokens left are gone."""
-        summed = self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        summed = self.deltas(commits).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return summed.filter("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Folds the deltas that count into one. A batch folded in counts no more if it is run again. Compactions run one
-        at a time; one that fails before its record is written changes nothing."""
-        commits = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits")
-        known = {b for r in commits.select("batch", "replaces").collect() for b in (r.batch, *r.replaces)}
-        self.commit(f"compaction {uuid.uuid4().hex}", self.totals(), sorted(known))
+        """Folds the deltas that count into one. A batch folded in counts no more if it is run again, as its record stays.
+        Compactions run one at a time; one that fails before its record is there changes nothing."""
+        commits = self._commits()
+        self.commit(f"compaction {uuid.uuid4().hex}", self.totals(commits), sorted(r.batch for r in commits))
