@@ -1,7 +1,7 @@
 """The stream forms of the operators.
 
-A job pairs a streaming DataFrame with the table that holds its result. State is never expired, as deletes arrive as
-records; tombstones stay in the state so that an older record that comes late cannot bring its key back.
+A job pairs a streaming DataFrame with the table that holds its result. State is not expired unless a job is given a time to
+live (``expiry``), as deletes arrive as records; tombstones stay in the state so that an older record that comes late cannot bring its key back.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from loglens.operators.latest import latest, newest
 from loglens.operators.sets import whole_pairs
 from loglens.operators.words import tokens, word_count
 from loglens.sources.topics import change_records, number_offsets, place, write_topic
-from loglens.streaming.tables import ChangeTable
+from loglens.streaming.expiry import expiring_latest, newest_of_task
+from loglens.streaming.tables import GONE, ChangeTable
 
 Table = Callable[[SparkSession], DataFrame]
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 @dataclass
@@ -36,6 +38,7 @@ class Job:
     write: Callable[[DataFrame, int], None]
     read: Table
     table: ChangeTable | None = None
+    timed: bool = False
 
     def start(self, checkpoint: str, **trigger) -> StreamingQuery:
         """Starts the job; a second start with the same checkpoint goes on where the first one ended.
@@ -51,8 +54,18 @@ class Job:
         )
 
     def run(self, checkpoint: str) -> DataFrame:
-        """Works off what is there now and gives the resulting table."""
-        self.start(checkpoint, availableNow=True).awaitTermination()
+        """Works off what is there now and gives the resulting table. Keys whose time ran out leave with the records of the next
+        run; batches without records, which timers would ask for without end, are left out."""
+        conf = self.output.sparkSession.conf
+        before = conf.get(IDLE_BATCHES, None)
+        if self.timed:
+            conf.set(IDLE_BATCHES, "false")  # the query keeps the settings of its start
+        try:
+            query = self.start(checkpoint, availableNow=True)
+        finally:
+            if self.timed:
+                conf.set(IDLE_BATCHES, before) if before is not None else conf.unset(IDLE_BATCHES)
+        query.awaitTermination()
         return self.read(self.output.sparkSession)
 
 
@@ -106,10 +119,15 @@ def newest_table(
 
 def latest_job(
     stream: DataFrame, keys: list[str], value: str, order: str, path: str, keep_seconds: float | None = None,
-    slot_by: str | None = None,
+    slot_by: str | None = None, ttl_seconds: float | None = None,
 ) -> Job:
     """Last value per key with deletes. The record with the highest ``order`` wins, whatever it arrives after. With
-    ``slot_by``, one of the keys, the table takes point lookups by it."""
+    ``slot_by``, one of the keys, the table takes point lookups by it. With ``ttl_seconds`` a key without records for that time
+    leaves the state and the table, and an older record that comes after that brings it back."""
+    if ttl_seconds is not None:
+        kept = keyed_table(f"{path}/latest", keys, keep_seconds, slot_by)
+        changes = expiring_latest(stream, keys, value, order, ttl_seconds)
+        return Job(changes, "update", kept.write, lambda spark: kept.read(spark).select(*keys, value), kept, timed=True)
     table = newest_table(f"{path}/latest", keys, value, order, keep_seconds, slot_by)
 
     def live(spark: SparkSession) -> DataFrame:
@@ -141,12 +159,14 @@ def key_values_job(stream: DataFrame, key: str, value: str, path: str, keep_seco
     return distinct_job(whole_pairs(stream, key, value), path, keep_seconds)
 
 
-def index_job(commits: DataFrame, path: str, expire: bool = False, keep_seconds: float | None = None) -> Job:
+def index_job(
+    commits: DataFrame, path: str, expire: bool = False, keep_seconds: float | None = None, ttl_seconds: float | None = None
+) -> Job:
     """Topic, group and partition of every commit ever seen, or with ``expire`` of the commits that still stand."""
     if not expire:
         seen = commits.filter(F.col("committed").isNotNull())
         return distinct_job(seen.select("topic", "grp", "part_id"), path, keep_seconds)
-    job = latest_job(commits, KEYS, "committed", "log_pos", path, keep_seconds)
+    job = latest_job(commits, KEYS, "committed", "log_pos", path, keep_seconds, ttl_seconds=ttl_seconds)
     standing = job.read
     job.read = lambda spark: standing(spark).select("topic", "grp", "part_id")
     return job
@@ -155,25 +175,6 @@ def index_job(commits: DataFrame, path: str, expire: bool = False, keep_seconds:
 LATE = "late_record"
 
 
-_LAST = ["last", "live"]
-
-
-def _last_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last record of each key among those of a task."""
-    last: pd.DataFrame | None = None
-    for rows in batches:
-        rows = rows if last is None else pd.concat([last, rows])
-        last = rows.sort_values("last", kind="stable").drop_duplicates(KEYS, keep="last")
-        if len(last) > _KEYS_HELD:
-            yield last
-            last = None
-    if last is not None:
-        yield last
-
-
-_KEYS_HELD = 1 << 18
-
-
 def _state_before(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Gives the last position of a key and whether it was live before this batch, and takes note of those after it."""
     before = state.get if state.exists else None
@@ -216,7 +217,7 @@ def orphan_job(commits: DataFrame, path: str, limit: int = SLICE_ROWS, keep_seco
     rows = commits.select("log_pos", *KEYS, F.col("committed").isNotNull().alias("live"))
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"last {kinds['log_pos']}", "live boolean", *[f"{c} {kinds[c]}" for c in KEYS]])
-    ends = rows.select(F.col("log_pos").alias("last"), "live", *KEYS).mapInPandas(_last_rows, schema)
+    ends = rows.select(F.col("log_pos").alias("last"), "live", *KEYS).mapInPandas(newest_of_task(KEYS, "last"), schema)
     before = ends.groupBy(*KEYS).applyInPandasWithState(
         _state_before, schema, "last bigint, live boolean", "append", GroupStateTimeout.NoTimeout
     )
@@ -240,10 +241,7 @@ def orphan_job(commits: DataFrame, path: str, limit: int = SLICE_ROWS, keep_seco
     return Job(tagged, "append", write, orphans, found)
 
 
-GONE = "gone"
-
-
-def keyed_table(path: str, keys: list[str], keep_seconds: float | None = None) -> ChangeTable:
+def keyed_table(path: str, keys: list[str], keep_seconds: float | None = None, slot_by: str | None = None) -> ChangeTable:
     """A table whose batches give all rows of each key that changed, or one marked as gone for a key that has none."""
 
     def merge(rows: DataFrame) -> DataFrame:
@@ -251,7 +249,7 @@ def keyed_table(path: str, keys: list[str], keep_seconds: float | None = None) -
         standing = rows.withColumn("_newest", newest_batch).filter(F.col("_newest") == F.col("batch_id"))
         return standing.filter(~F.col(GONE)).drop("_newest")
 
-    return ChangeTable(path, merge, keep_seconds=keep_seconds)
+    return ChangeTable(path, merge, keep_seconds=keep_seconds, slot_by=slot_by)
 
 
 def _with_gone(rows: DataFrame, changed: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELTA, BASE = "delta", "base"
+GONE = "gone"  # a column that marks keys without rows
 
 
 class Note(NamedTuple):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loglens.operators import decode, group_metadata, hot_keys, index, lag, latest, sets, words
 from loglens.plans import inputs
 from loglens.sources import topics as source
-from loglens.streaming import jobs
+from loglens.streaming import expiry, jobs
 from loglens.streaming.tables import ChangeTable
 from tests.conftest import SMALL, rows
 
@@ -323,7 +323,7 @@ def test_slices_of_a_hot_batch_key(spark):
     rows_ = spark.range(10_000).selectExpr("id as log_pos", "'g' as grp", "'t' as topic", "0 as part_id", "id % 3 = 0 as live")
     sizes = hot_keys.with_slices(rows_, index.KEYS, "log_pos", 500).groupBy("_slice").count().collect()
     assert len(sizes) >= 18 and max(r["count"] for r in sizes) <= 1100
-    ends = [r for part in jobs._last_rows(iter([rows_.selectExpr("log_pos as last", "live", "grp", "topic", "part_id").toPandas()] * 3)) for r in part.itertuples()]
+    ends = [r for part in expiry.newest_of_task(index.KEYS, "last")(iter([rows_.selectExpr("log_pos as last", "live", "grp", "topic", "part_id").toPandas()] * 3)) for r in part.itertuples()]
     assert [(r.last, r.live) for r in ends] == [(9999, True)]
 
 
@@ -369,3 +369,19 @@ def test_lag_report_follows_changes(spark, tmp_path):
     now["states"] = {"g": "Empty", "d": "Stable"}
     step(7)
     assert step(8) is None and not (tmp_path / "out" / "commits" / "rows" / "kind=delta" / "batch_id=8").exists()
+
+
+def test_keys_expire_after_their_time(spark, tmp_path):
+    """Off by default; with a time to live, a key without records for that time leaves the table, others stay."""
+    schema = "k string, v string, pos bigint"
+    path = str(tmp_path / "in")
+
+    def add(*records):
+        spark.createDataFrame(records, schema).coalesce(1).write.mode("append").parquet(path)
+        return jobs.latest_job(spark.readStream.schema(schema).parquet(path), ["k"], "v", "pos", str(tmp_path / "out"), ttl_seconds=ttl)
+
+    ttl = 20
+    assert rows(run(add(("a", "1", 1), ("b", "2", 2), ("a", "3", 3), ("c", None, 4)), tmp_path)) == [("a", "3"), ("b", "2")]
+    assert rows(run(add(("a", "0", 0), ("d", "5", 5)), tmp_path)) == [("a", "3"), ("b", "2"), ("d", "5")]
+    time.sleep(21)
+    assert rows(run(add(("e", "6", 6), ("d", "7", 7)), tmp_path)) == [("d", "7"), ("e", "6")]
