@@ -39,7 +39,7 @@ OVERLAP = 1 << 10
 #: Code points after a pre-token on which the pattern may decide where it ends; those nearer to a cut are not trusted.
 LOOKAHEAD = 16
 MAX_FILE = 64 << 20  # bytes of a vocabulary file, which is broadcast
-KEPT = 1 << 18  # pre-tokens whose ids a worker keeps at hand
+KEPT = 1 << 16  # pre-tokens whose ids a worker keeps at hand
 KEPT_CHARS = 48
 
 
@@ -61,13 +61,15 @@ def load(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
         return Vocabulary(spark.sparkContext.broadcast(file.read()), pattern, f"{path}|{size}|{os.path.getmtime(path)}")
 
 
+def rank_table(ranks: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in ranks.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 class Codec:
     def __init__(self, ranks: bytes, pattern: str):
-        pairs = (line.split() for line in ranks.splitlines() if line.strip())
-        table = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.split = regex.compile(pattern)
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.bytes_of = {rank: token for token, rank in table.items()}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_table(ranks), special_tokens={})
         self.known: dict[str, tuple[int, ...]] = {}
 
     def ids(self, pre_tokens: Iterable[str]) -> array:
@@ -100,8 +102,18 @@ def _codec(vocabulary: Vocabulary) -> Codec:
     return _ready[key]
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+_bytes: dict[str, dict[int, bytes]] = {}
+
+
+def _bytes_of(vocabulary: Vocabulary) -> dict[int, bytes]:
+    if vocabulary.key not in _bytes:
+        _bytes.clear()
+        _bytes[vocabulary.key] = {rank: token for token, rank in rank_table(vocabulary.ranks.value).items()}
+    return _bytes[vocabulary.key]
+
+
+def _texts(column: pa.Array) -> Iterator[str]:
+    return ((x.as_py() or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()))
 
 
 def _lists(rows: Iterable[array]) -> pa.Array:
@@ -120,7 +132,7 @@ def whole_texts(text: str, vocabulary: Vocabulary) -> Column:
         codec = _codec(vocabulary)
         return _lists(codec.ids(codec.split.findall(t)) for t in _texts(column))
 
-    return encode_whole(F.col(text).cast("binary"))
+    return encode_whole.asNondeterministic()(F.col(text).cast("binary"))  # or each use of the ids would encode again
 
 
 def meeting(codec: Codec, text: str, chunk: int, overlap: int, lookahead: int = LOOKAHEAD) -> int | None:
@@ -190,8 +202,8 @@ def _chunked(numbered: DataFrame, text: str, vocabulary: Vocabulary, chunk: int,
         F.max(F.col("high").isNull() & ~F.col("last")).over(by_row).alias("apart"),
     )
     pieces = chunks.join(stitched.filter(~F.col("apart")), ["row", "part"])
-    part = F.struct("part", encode_piece("body", "low", "high").alias("ids"))
-    joined = pieces.groupBy("row").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    pieces = pieces.select("row", "part", encode_piece("body", "low", "high").alias("ids"))
+    joined = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
     whole = bodies.join(stitched.filter(F.col("apart") & (F.col("part") == 0)).select("row"), "row", "left_semi")
     return joined.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias(name)).unionByName(
         whole.select("row", whole_texts("body", vocabulary).alias(name))
@@ -217,13 +229,21 @@ def encode(
     return short.unionByName(found.select(*short.columns))
 
 
+def _bounds(column: pa.Array) -> Iterator[tuple[int, int] | None]:
+    """Where the rows of a column of lists lie in its flat values; none for null."""
+    ends = np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())]).tolist()
+    for valid, low, high in zip(column.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True):
+        yield (low, high) if valid else None
+
+
 def decode(ids: str, vocabulary: Vocabulary) -> Column:
     """The bytes of the ids of a column, concatenated; null stays null. An id that the vocabulary lacks is an error."""
 
     @F.arrow_udf("binary")
     def decode_ids(column: pa.Array) -> pa.Array:
-        token = _codec(vocabulary).bytes_of.__getitem__
-        return pa.array([None if x is None else b"".join(map(token, x)) for x in column.to_pylist()], pa.binary())
+        token, flat = _bytes_of(vocabulary).__getitem__, column.flatten().to_numpy(zero_copy_only=False)
+        rows = (at and b"".join(map(token, flat[at[0] : at[1]].tolist())) for at in _bounds(column))
+        return pa.array(rows, pa.binary())
 
     return decode_ids(ids)
 
@@ -233,6 +253,7 @@ def packed(ids: str) -> Column:
 
     @F.arrow_udf("binary")
     def pack(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else np.asarray(x, "<u4").tobytes() for x in column.to_pylist()], pa.binary())
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        return pa.array((at and flat[4 * at[0] : 4 * at[1]] for at in _bounds(column)), pa.binary())
 
     return pack(ids)
