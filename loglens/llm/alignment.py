@@ -10,7 +10,9 @@ The pairs of each text are written with its measures. Counts of pairs are looked
 all tasks, which find most links there, and the pairs beyond them are joined, so no pair is left out and what is sent is bounded.
 
 Null and empty texts, and texts that a tokenizer does not give back byte by byte, have no tokens: their measures are zeros, and
-the digest of the groups is empty. Long texts are tokenised in parts, cut where neither tokenizer joins anything.
+the digest of the groups is empty. A text is worked on in units, cut at single spaces where neither tokenizer joins anything, so
+that both end a token there; within a block of texts a unit that comes again is tokenised once, and a worker keeps a bounded number of
+short units at hand. A task's memory is that of a block, or of one text that is longer.
 Rows repeat as in the input, null ids are kept, extra columns are not used, an empty table gives an empty one.
 """
 
@@ -23,6 +25,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,16 @@ from pyspark.sql import functions as F
 from loglens.llm.shared import stored
 
 HEAD = 1 << 18  # id pairs that all tasks get with their counts
-PART = 1 << 17  # code points of a text that are tokenised at once, about
+BLOCK = 1 << 19  # code points of the texts that are worked on at once
+KNOWN = 1 << 16  # aligned units of a generation that a worker keeps at hand; there are two
+KNOWN_CHARS = 24
+ROWS = 512  # texts whose pairs are looked up at once
+UNITS = 1 << 13  # units that a tokenizer gets at once
 HOT_KEYS = 1000  # texts at most whose copies are dealt out by salts
 MAX_FILE = 64 << 20  # bytes of a tokenizer file
 SPACE = "▁"
-_CUT = re.compile(r"\S(?= \S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r"  |\s \s|^ | $")
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 LINKED = ("n_best", "count_sum")
 KEPT = ("key", "copies", *MEASURES, "groups_sha256")
@@ -75,6 +83,7 @@ def byte_table() -> dict[str, int]:
 
 class Aligner:
     def __init__(self, file_a: bytes, file_b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
         self.a = tokenizers.Tokenizer.from_str(file_a.decode())
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -98,46 +107,114 @@ class Aligner:
         self.names = [str(i) for i in range(max(n, len(self.bytes_a)))]
         # A piece that goes on with a space after another letter could cross a cut.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-
-    def parts(self, text: str) -> Iterator[str]:
-        """Parts of a text, each without the space before it, which both tokenizers are given: A as text, B of itself. A cut
-        lies at a single space between other letters, where a pre-token of A ends and no piece of B goes on."""
-        at = 0
-        while self.cuts and len(text) - at > PART:
-            cut = _CUT.search(text, at + PART)
-            if cut is None:
-                break
-            yield text[at : cut.end()]
-            at = cut.end() + 1
-        yield text[at:]
-
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        for part in self.parts(text):
-            a += self.a.encode(" " + part, add_special_tokens=False).ids
-            b += self.b.encode(part)
-        return a, b
-
-    def align(self, text: str):
-        """None, or (measures, digest, a, b, n) with the linked ids and the number of links of each pair in the text."""
-        whole = b" " + text.encode()
-        a, b = self.tokens(text)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return None
-        ids_a, ids_b = np.array(a), np.array(b)
+        self.known: tuple[dict, dict] = {}, {}
+
+    def units(self, text: str) -> list[str]:
+        """Parts of a text without the space before each, which A gets as text and B adds itself. At a space between other
+        letters a pre-token of A ends, and no piece of B goes on."""
+        if not self.cuts:
+            return [text]
+        return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
+
+    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B one after the other, the numbers of tokens per unit, and which units are given back; the tokens of
+        others are left out."""
+        ids, sizes, good = ([], []), ([], []), []
+        for low in range(0, len(units), UNITS):
+            some = units[low : low + UNITS]
+            whole = [b" " + u.encode() for u in some]
+            bytes_of = [len(x) for x in whole]
+            found_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)]
+            found_b = self.b.encode(some, num_threads=1)
+            back = np.ones(len(some), bool)
+            for found, table, widths in ((found_a, self.bytes_a, self.sizes_a), (found_b, self.bytes_b, self.sizes_b)):
+                flat = list(chain.from_iterable(found))
+                ends = np.cumsum([len(x) for x in found])
+                starts = np.concatenate([[0], np.cumsum(widths[flat])])
+                if b"".join(map(table.__getitem__, flat)) != b"".join(whole) or (np.diff(starts[np.append(0, ends)]) != bytes_of).any():
+                    back &= [b"".join([table[i] for i in f]) == w for f, w in zip(found, whole, strict=True)]
+            for side, found in enumerate((found_a, found_b)):
+                if not back.all():
+                    found = [f if g else [] for f, g in zip(found, back.tolist(), strict=True)]
+                ids[side].append(np.fromiter(chain.from_iterable(found), np.int64))
+                sizes[side].append([len(f) for f in found])
+            good.append(back)
+        if not good:
+            return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool)
+        return *map(np.concatenate, ids), *map(np.concatenate, sizes), np.concatenate(good)
+
+    def aligned_units(self, units: list[str]) -> list[tuple | None]:
+        """Per unit none, or (n_a, n_b, n_groups, n_links, groups, links), the links as bytes of pairs of ids."""
+        ids_a, ids_b, n_a, n_b, good = self.tokens(units)
+        # All units on one line of bytes: between two ends of either kind lies one token of each, and another pair than in the
+        # stretch before. Both tokenizers end a token at the end of a unit.
         ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
-        # Between two cuts of either kind lies one token of each, and another pair than in the stretch before.
-        stretches = np.union1d(ends_a, ends_b)
-        links = ids_a[np.searchsorted(ends_a, stretches)] << 32 | ids_b[np.searchsorted(ends_b, stretches)]
-        pairs, n = np.unique(links, return_counts=True)
-        both, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        names_a, names_b = [self.names[i] for i in a], [self.names[i] for i in b]
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
+        owner = np.repeat(np.arange(len(units)), n_a)[at_a]
+        n_links = np.bincount(owner, minlength=len(units))
+        n_groups = np.bincount(owner[both], minlength=len(units))
+
+        names_a, names_b = ([self.names[i] for i in ids.tolist()] for ids in (ids_a, ids_b))
         groups, i, j = [], 0, 0
-        for to_a, to_b in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(",".join(names_a[i:to_a]) + "|" + ",".join(names_b[j:to_b]))
+        for to_a, to_b in zip((at_a[both] + 1).tolist(), (at_b[both] + 1).tolist(), strict=True):
+            if to_a - i == 1 == to_b - j:
+                groups.append(names_a[i] + "|" + names_b[j])
+            else:
+                groups.append(",".join(names_a[i:to_a]) + "|" + ",".join(names_b[j:to_b]))
             i, j = to_a, to_b
-        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        return (len(a), len(b), len(both), len(stretches)), digest, pairs >> 32, pairs & 0xFFFFFFFF, n
+        links = np.stack([ids_a[at_a], ids_b[at_b]], axis=1).astype(np.int32).tobytes()
+        out, group, link = [], 0, 0
+        for a, b, g, n, back in zip(*(x.tolist() for x in (n_a, n_b, n_groups, n_links, good)), strict=True):
+            out.append((a, b, g, n, ";".join(groups[group : group + g]), links[8 * link : 8 * (link + n)]) if back else None)
+            group, link = group + g, link + n
+        return out
+
+    def known_units(self, units: list[str]) -> list[tuple | None]:
+        """The same, of which those at hand are not worked on again. A full generation replaces the one before."""
+        new, old = self.known
+        missing = [u for u in units if u not in new and u not in old]
+        fresh = dict(zip(missing, self.aligned_units(missing), strict=True))
+        out = []
+        for unit in units:
+            found = fresh[unit] if unit in fresh else new[unit] if unit in new else old[unit]
+            out.append(found)
+            if len(unit) <= KNOWN_CHARS:
+                new[unit] = found
+        if len(new) >= KNOWN:
+            self.known = {}, new
+        return out
+
+    def align(self, texts: list[str]) -> list[tuple | None]:
+        """Per text none, or (measures, digest, a, b, n): linked ids with the number of their links, where a pair of ids may be
+        listed more than once."""
+        units = [self.units(t) for t in texts]
+        index = {u: i for i, u in enumerate(dict.fromkeys(chain.from_iterable(units)))}
+        slots = [np.fromiter(map(index.__getitem__, mine), np.int64, len(mine)) for mine in units]
+        del units
+        nothing = (0, 0, 0, 0, "", b"")
+        found = self.known_units(list(index))
+        good = np.array([f is not None for f in found], bool)
+        n_a, n_b, n_groups, n_links, written, links = zip(*[f or nothing for f in found], strict=True) if found else [()] * 6
+        counts = np.array([n_a, n_b, n_groups, n_links], np.int64)
+        n_links = counts[3]
+        first = np.cumsum(n_links) - n_links
+        linked = np.frombuffer(b"".join(links), np.int32).reshape(-1, 2)
+
+        out = []
+        for mine in slots:
+            if not good[mine].all():
+                out.append(None)
+                continue
+            digest = hashlib.sha256(";".join([written[u] for u in mine.tolist()]).encode()).hexdigest()
+            once, times = np.unique(mine, return_counts=True)
+            sizes = n_links[once]
+            where = np.repeat(first[once] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            pairs = linked[where]
+            out.append((counts[:, mine].sum(axis=1).tolist(), digest, pairs[:, 0], pairs[:, 1], np.repeat(times.astype(np.int32), sizes)))
+        return out
 
 
 _ready: dict[str, Aligner] = {}
@@ -150,7 +227,6 @@ def _aligner(pair: Pair) -> Aligner:
     return _ready[pair.key]
 
 
-_BATCH = 2_000
 _ALIGNED = pa.schema(
     [("key", pa.binary()), ("copies", pa.int64()), *((c, pa.int64()) for c in MEASURES), ("groups_sha256", pa.string()),
      *((c, pa.list_(pa.int32())) for c in ("a", "b", "n"))]
@@ -164,29 +240,31 @@ _ALIGNED_SQL = (
 def _align_texts(pair: Pair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(pair)
-        rows, held = [], 0
 
-        def emptied() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True)
+        def aligned(rows: list[tuple[bytes, int, str]]) -> pa.RecordBatch:
+            done = []
+            for (key, copies, _), found in zip(rows, aligner.align([text for _, _, text in rows]), strict=True):
+                if found is not None:
+                    measures, *rest = found
+                    done.append((key, copies, *measures, *rest))
+            columns = zip(*done, strict=True) if done else [[]] * len(_ALIGNED)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ALIGNED, strict=True)], schema=_ALIGNED)
 
+        rows, held = [], 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("key", "copies", "body"))
+            columns = (batch.column(c) for c in ("key", "copies", "body"))
             for key, copies, body in zip(*columns, strict=True):
                 try:
-                    found = aligner.align(body.decode())
+                    text = body.as_py().decode()
                 except UnicodeDecodeError:
-                    found = None
-                if found is None:
                     continue
-                measures, digest, a, b, n = found
-                rows.append((key, copies, *measures, digest, a, b, n))
-                held += len(a)
-                if len(rows) == _BATCH or held > 1 << 20:
-                    yield emptied()
+                rows.append((key.as_py(), copies.as_py(), text))
+                held += len(text)
+                if held >= BLOCK:
+                    yield aligned(rows)
                     rows, held = [], 0
         if rows:
-            yield emptied()
+            yield aligned(rows)
 
     return run
 
@@ -231,7 +309,7 @@ def _look_up(head: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, best = head.value
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             lists = {c: batch.column(c) for c in ("a", "b", "n")}
             sizes = np.diff(lists["a"].offsets.to_numpy())
             a, b, n = (lists[c].flatten().to_numpy().astype(np.int64) for c in ("a", "b", "n"))

@@ -76,6 +76,15 @@ def test_unknown_id_and_null(spark, vocabulary):
         spark.createDataFrame([([99_999],)], "ids array<int>").select(byte_bpe.decode("ids", vocabulary)).collect()
 
 
+def test_texts_are_encoded_once(spark, documents, vocabulary, capsys):
+    """Though three columns come from the ids."""
+    docs = byte_bpe.encode(documents, vocabulary)
+    docs.select(F.size("token_ids"), byte_bpe.packed("token_ids"), byte_bpe.decode("token_ids", vocabulary)).explain()
+    plan = capsys.readouterr().out
+    short, _ = plan.split("Union")[1].split("BroadcastHashJoin" if "BroadcastHashJoin" in plan else "SortMergeJoin", 1)
+    assert short.count("encode_whole(") == 1
+
+
 def test_encoding_of_an_empty_table(none, vocabulary):
     assert byte_bpe.encode(none, vocabulary).count() == 0
 
@@ -187,14 +196,42 @@ def test_alignment_of_an_empty_table(none, pair):
     assert alignment.measures(none, pair).count() == 0
 
 
-def test_long_texts_in_parts(monkeypatch):
+@pytest.fixture(scope="module")
+def aligner():
     path = public_tokenizers.path
-    aligner = alignment.Aligner(*(open(path(n), "rb").read() for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
-    text = " ".join(awkward(i, 50) for i in range(40))
-    whole = aligner.tokens(text)
-    monkeypatch.setattr(alignment, "PART", 100)
-    assert len(list(aligner.parts(text))) > 20
-    assert aligner.tokens(text) == whole
+    return alignment.Aligner(*(open(path(n), "rb").read() for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
+def test_units_join_to_the_tokens_of_the_text(aligner):
+    """With every kind of white space and control character around spaces."""
+    rng = random.Random(8)
+    odd = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "a", "é", "'s", "9", "!", "東", "word", "The"]
+    texts = ["".join(rng.choice(odd) for _ in range(40)) for _ in range(1500)] + [awkward(i, 50) for i in range(40)]
+    cut = 0
+    for text in texts:
+        units = aligner.units(text)
+        assert " ".join(units) == text
+        cut += len(units) > 1
+        assert [i for u in units for i in aligner.a.encode(" " + u).ids] == aligner.a.encode(" " + text).ids
+        assert [i for u in units for i in aligner.b.encode(u)] == aligner.b.encode(text)
+    assert cut > 500
+
+
+def test_blocks_and_batches_of_units(aligner, monkeypatch):
+    monkeypatch.setattr(alignment, "UNITS", 10)
+    texts = [" ".join(f"w{i % 37}" for i in range(300)), "a ▁ b", "one", "w1  w2 w1 w1"]
+    got = aligner.align(texts)
+    assert [g is None for g in got] == [False, True, False, False]
+    for text, found in zip(texts, got, strict=True):
+        if found:
+            n_a, n_b, groups, links = Reference().aligned(text)
+            assert found[0] == [n_a, n_b, len(groups), len(links)]
+            assert found[1] == hashlib.sha256(";".join(groups).encode()).hexdigest()
+            pairs = Counter()
+            for a, b, n in zip(*(x.tolist() for x in found[2:]), strict=True):
+                pairs[a, b] += n
+            assert pairs == Counter(links)
+    assert aligner.align(["▁"]) == [None] and aligner.align([]) == []
 
 
 def test_op13(spark):
