@@ -6,8 +6,9 @@ pair counts are weighted by its number of copies. The measures of texts go to th
 Both tokenizers cut the same bytes. Offsets where tokens of both end cut them into groups; tokens of which a byte is the
 same are linked. An id pair's count is the number of links of the whole corpus between these ids.
 
-The pairs of each text are written with its measures. Counts of pairs are looked up in two ways: the ``HEAD`` most frequent pairs are sent to
-all tasks, which find most links there, and the pairs beyond them are joined, so no pair is left out and what is sent is bounded.
+The pairs of each text are written with its measures. Counts of pairs are joined in two ways: the ``HEAD`` most frequent pairs
+are sent to all tasks, which find most links there, and the pairs beyond them are shuffled, so no pair is left out and what is
+sent is bounded.
 
 Null and empty texts, and texts that a tokenizer does not give back byte by byte, have no tokens: their measures are zeros, and
 the digest of the groups is empty. A text is worked on in units, cut at single spaces where neither tokenizer joins anything, so
@@ -41,7 +42,6 @@ HEAD = 1 << 18  # id pairs that all tasks get with their counts
 BLOCK = 1 << 19  # code points of the texts that are worked on at once
 KNOWN = 1 << 16  # aligned units of a generation that a worker keeps at hand; there are two
 KNOWN_CHARS = 24
-ROWS = 512  # texts whose pairs are looked up at once
 UNITS = 1 << 13  # units that a tokenizer gets at once
 HOT_KEYS = 1000  # texts at most whose copies are dealt out by salts
 MAX_FILE = 64 << 20  # bytes of a tokenizer file
@@ -287,7 +287,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def _head(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _head(counts: DataFrame, size: int) -> DataFrame:
     """The most frequent pairs, at most ``size``: all whose count is in one of the highest classes, eight to a doubling."""
     classed = counts.withColumn("class", F.floor(F.log2("count") * 8))
     lowest, taken = None, 0
@@ -296,57 +296,21 @@ def _head(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         if taken > size:
             break
         lowest = row["class"]
-    if lowest is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    rows = classed.filter(F.col("class") >= lowest).select("a", "b", "count", "best").toArrow()
-    codes = rows.column("a").to_numpy().astype(np.int64) << 32 | rows.column("b").to_numpy().astype(np.int64)
-    order = np.argsort(codes)
-    return codes[order], rows.column("count").to_numpy()[order], rows.column("best").to_numpy()[order]
-
-
-def _look_up(head: Broadcast):
-    """Per text the sums over the pairs of the head, and the pairs that are not in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, best = head.value
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            lists = {c: batch.column(c) for c in ("a", "b", "n")}
-            sizes = np.diff(lists["a"].offsets.to_numpy())
-            a, b, n = (lists[c].flatten().to_numpy().astype(np.int64) for c in ("a", "b", "n"))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            wanted = a << 32 | b
-            at = np.minimum(np.searchsorted(codes, wanted), max(len(codes) - 1, 0))
-            found = codes[at] == wanted if len(codes) else np.zeros(len(wanted), bool)
-            times, which = n[found], at[found]
-            n_best, count_sum = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            np.add.at(n_best, owner[found], times * best[which])
-            np.add.at(count_sum, owner[found], times * counts[which])
-            rest = np.concatenate([[0], np.cumsum(np.bincount(owner[~found], minlength=len(sizes)))]).astype(np.int32)
-            others = [pa.ListArray.from_arrays(pa.array(rest), pa.array(x[~found].astype(np.int32))) for x in (a, b, n)]
-            kept = [batch.column(c) for c in KEPT]
-            sums = [pa.array(n_best), pa.array(count_sum), *others]
-            yield pa.RecordBatch.from_arrays([*kept, *sums], [*KEPT, *LINKED, "a", "b", "n"])
-
-    return run
+    some = F.lit(False) if lowest is None else F.col("class") >= lowest
+    return classed.filter(some).drop("class")
 
 
 def link_sums(aligned: DataFrame, counts: DataFrame, head: int = HEAD) -> DataFrame:
     """The texts with their measures, n_best and count_sum: the links whose pair is the best of its B id, and the sum of the
     counts of all links."""
-    shared = aligned.sparkSession.sparkContext.broadcast(_head(counts, head))
-    lists = ["a", "b", "n"]
-    kinds = {**dict(aligned.dtypes), **dict.fromkeys(LINKED, "bigint")}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*KEPT, *LINKED, *lists))
-    looked_up = stored(aligned.select(*KEPT, *lists).mapInArrow(_look_up(shared), schema), "linked")
-    rest = looked_up.select("key", F.explode(F.arrays_zip(*lists)).alias("link")).select("key", "link.*")
-    rest = rest.join(counts, ["a", "b"]).groupBy("key").agg(
-        F.sum(F.when(F.col("best"), F.col("n")).otherwise(F.lit(0))).alias("rest_best"), F.sum(F.col("n") * F.col("count")).alias("rest_sum")
-    )
-    return looked_up.drop(*lists).join(rest, "key", "left").select(
-        *KEPT,
-        (F.col("n_best") + F.coalesce("rest_best", F.lit(0))).alias("n_best"),
-        (F.col("count_sum") + F.coalesce("rest_sum", F.lit(0))).alias("count_sum"),
-    )
+    linked = aligned.select("key", F.explode(F.arrays_zip("a", "b", "n")).alias("link")).select("key", "link.*")
+    few = F.broadcast(_head(counts, head))  # of at most ``head`` rows
+    found = linked.join(few, ["a", "b"])
+    others = linked.join(few, ["a", "b"], "left_anti").join(counts, ["a", "b"])
+    n_best = F.sum(F.when(F.col("best"), F.col("n")).otherwise(F.lit(0))).alias("n_best")
+    # The links of a text are summed in each task before the shuffle.
+    sums = found.unionByName(others).groupBy("key").agg(n_best, F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+    return aligned.drop("a", "b", "n").join(sums, "key").select(*KEPT, *LINKED)
 
 
 def measures(docs: DataFrame, pair: Pair, doc_id: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
