@@ -358,8 +358,8 @@ def lag_job(
 
         kinds = {f.name: f.dataType.simpleString() for f in schema}
         keys_like = ", ".join(f"{c} {kinds[c]}" for c in KEYS)
-        now_assigned = assignments(spark).select(*_ASSIGNED).distinct()
-        now_states = groups(spark).select("grp", "state").distinct()
+        now_assigned = assignments(spark).select(*_ASSIGNED).distinct().persist()
+        now_states = groups(spark).select("grp", "state").distinct().persist()
         assigned_like = f"{keys_like}, " + ", ".join(f"{c} string" for c in CONSUMER)
         moved = _differing(state(assigned, assigned_like, batch_id - 1).select(*_ASSIGNED), now_assigned, KEYS).persist()
         turned = _differing(state(states, "grp string, state string", batch_id - 1).select("grp", "state"), now_states, ["grp"]).persist()
@@ -397,7 +397,7 @@ def lag_job(
             snapshot = group_snapshot(report.join(grps, "grp", "left_semi"), now_states.join(grps, "grp", "left_semi"))
             tables.groups.table.write(_with_gone(snapshot, grps), batch_id)
         finally:
-            for frame in (moved, turned, affected):
+            for frame in (now_assigned, now_states, moved, turned, affected):
                 frame.unpersist()
 
     return Job(newest_rows, "update", write, tables.report.read), tables
