@@ -69,6 +69,11 @@ class Notes:
         return sorted(map(self._read, self.files.listStatus(self.folder)))
 
     def last(self, upto: int | None = None) -> Note | None:
+        if upto is not None:
+            # Mostly this very batch is noted, and the others need not be listed.
+            near = self.files.globStatus(self.make_path(self.folder, f"{upto}.*"))
+            if near:
+                return max(map(self._read, near))
         found = [n for n in self.all() if upto is None or n.batch <= upto]
         return found[-1] if found else None
 
