@@ -3,7 +3,10 @@
 The tree builder opens and closes tags as browsers do where pages leave them out (``p``, ``li``, table parts, ``option``
 …), and ignores end tags that match nothing. The renderer skips what is not visible, folds white space outside ``pre``,
 separates blocks by a line and paragraphs by an empty one, numbers and indents lists, and pads table cells to columns;
-what else stands in a table comes before it. Of a select the selected option is shown, of inputs their values.
+what else stands in a table comes before it. Of a select the selected option is shown, else the first; of inputs their values.
+Cells of more than ``MAX_CELL`` characters do not widen their column and are not padded, and cells over several columns are padded
+to at most ``MAX_SPAN``, so the text of a table is no longer than a fixed multiple of the page. Tags are found in one pass over the
+quotes and ends of tags, so the time is in proportion to the page, whatever is left open.
 Each page is rendered on its own, so rows only pass through.
 """
 
@@ -11,7 +14,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,21 +65,74 @@ TABLE_PARTS = {
 _SCOPE = frozenset("table td th caption html body".split())
 MAX_DEPTH = 400  # deeper elements become siblings, as in browsers
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>", re.S
-)
+MAX_CELL = 40
+MAX_SPAN = 160
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_MARK = re.compile("[\"'>]")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _UNQUOTED = re.compile(r"=\s*[^\s\"']\S*/$")
 _FOLD = re.compile(r"[ \t\n\r\f]+")
 
 
+class _Tags:
+    """The tags of a page from left to right. What was found out about the rest of the page is kept, so that no part is looked
+    through again from each tag left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.name_from = self.name_end = -1
+        # For each quote or end of a tag: where a tag ends if it is open there outside of quotes, or -1.
+        self.marks = [m.start() for m in _MARK.finditer(page)]
+        self.ends = [-1] * (len(self.marks) + 1)
+        later = {'"': -1, "'": -1}
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[i]]
+            if c == ">":
+                self.ends[i] = self.marks[i]
+            else:
+                if later[c] >= 0:
+                    self.ends[i] = self.ends[later[c] + 1]
+                later[c] = i
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag; the name of a comment is empty."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            c = page[at : at + 1]
+            if page.startswith("!--", at):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, "", ""
+            if start > self.last:
+                # No tag ends any more; only a comment can come.
+                at = page.find("<!--", at)
+                if at < 0:
+                    return None
+                continue
+            if c in ("!", "?"):
+                return start, page.find(">", at) + 1, False, "", ""
+            closing = c == "/"
+            name = at + closing
+            if page[name : name + 1] not in _LETTERS:
+                continue
+            if not self.name_from <= name <= self.name_end:
+                self.name_from, self.name_end = name, _NAME_END.search(page, name).start()
+            end = self.ends[bisect_left(self.marks, self.name_end)]
+            if end >= 0:
+                return start, end + 1, closing, page[name : self.name_end], page[self.name_end : end]
+        return None
+
+
 @dataclass(slots=True)
 class Node:
     name: str
     hidden: bool = False
     start: int = 1
-    chosen: bool = False  # of an option: selected; of a select: shows all options
+    chosen: bool = False  # of an option: selected; of a select: shows all options; of details: open
+    span: int = 1  # columns of a cell
     children: list[Node | str] = field(default_factory=list)
 
 
@@ -104,13 +162,15 @@ def parse(page: str) -> Node:
         if text:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
-    while m := _TOKEN.search(page, at):
-        add_text(page[at : m.start()])
-        at = m.end()
-        if not m["name"]:
+    tags = _Tags(page)
+    while tag := tags.next(at):
+        start, end, closing, name, attributes = tag
+        add_text(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m["name"].lower()
-        if m["slash"]:
+        name = name.lower()
+        if closing:
             if name == "p" and not any(n.name == "p" for n in stack):
                 stack[-1].children.append(Node("p"))
             elif name == "br":
@@ -127,13 +187,12 @@ def parse(page: str) -> Node:
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             _open(stack, Node("tr"))
         node = Node(name)
-        foreign = name in FOREIGN_HIDDEN or m["attrs"].endswith("/")
+        foreign = name in FOREIGN_HIDDEN or attributes.endswith("/")
         foreign = foreign and any(n.name in ("svg", "math") for n in stack)
-        if m["attrs"].strip(" /\n\t"):
-            values = _attributes(m["attrs"])
+        if attributes.strip(" /\n\t"):
+            values = _attributes(attributes)
             node.hidden = (
                 "hidden" in values
-                or values.get("aria-hidden", "").lower() == "true"
                 or bool(_HIDING.search(values.get("style", "")))
                 or (name == "input" and values.get("type", "").lower() == "hidden")
                 or (name == "dialog" and "open" not in values)
@@ -144,22 +203,25 @@ def parse(page: str) -> Node:
                 node.children.append(values["alt"])
             if name == "input" and values.get("type", "").lower() not in NO_TEXT and values.get("value"):
                 node.children.append(values["value"])
-            node.chosen = (name == "option" and "selected" in values) or (name == "select" and "multiple" in values)
+            node.chosen = {"option": "selected", "select": "multiple", "details": "open"}.get(name, "") in values
+            if name in ("td", "th") and re.fullmatch(r"[1-9]\d{0,2}", values.get("colspan", "")):
+                node.span = int(values["colspan"])
         elif name == "dialog":
             node.hidden = True
         if foreign:
             node.hidden |= name in FOREIGN_HIDDEN
-            if m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"]):
+            if attributes.endswith("/") and not _UNQUOTED.search(attributes):
                 stack[-1].children.append(node)
                 continue
         if name in VOID or (name in RAW):
             stack[-1].children.append(node)
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                end = page.find(">", closing.end()) if closing else -1
                 if name in ("xmp", "textarea"):
-                    body = page[at : end.start() if end else len(page)]
+                    body = page[at : closing.start() if end >= 0 else len(page)]
                     node.children.append(html.unescape(body) if name == "textarea" else body)
-                at = end.end() if end else len(page)
+                at = end + 1 if end >= 0 else len(page)
         else:
             _open(stack, node)
     add_text(page[at:])
@@ -268,7 +330,10 @@ def _render(nodes: list[Node | str], out: _Lines, pre: bool) -> None:
             continue
         gap = node.name in PARAGRAPH
         out.end(gap)
-        if node.name in ("ul", "ol", "menu", "dir"):
+        if node.name == "details" and not node.chosen:
+            summaries = (c for c in node.children if isinstance(c, Node) and c.name == "summary")
+            _render(list(islice(summaries, 1)), out, pre)
+        elif node.name in ("ul", "ol", "menu", "dir"):
             _list(node, out)
         elif node.name == "table":
             _table(node, out)
@@ -310,9 +375,9 @@ def _options(node: Node) -> list[Node]:
 
 
 def _select(node: Node, out: _Lines, pre: bool) -> None:
-    """All options of a list that takes several, else the one that the page selects."""
+    """All options of a list that takes several, else the one that the page selects, else the first."""
     options = _options(node)
-    for option in options if node.chosen else [o for o in options if o.chosen][-1:]:
+    for option in options if node.chosen else [o for o in options if o.chosen][-1:] or options[:1]:
         out.space = True
         _render(option.children, out, pre)
         out.space = True
@@ -358,21 +423,30 @@ def _strays(node: Node) -> list[Node | str]:
 
 def _table(node: Node, out: _Lines) -> None:
     rows = [
-        [" ".join(x.strip() for x in _rendered(c.children) if x.strip()) for c in row.children
+        [(" ".join(x.strip() for x in _rendered(c.children) if x.strip()), c.span) for c in row.children
          if isinstance(c, Node) and c.name in ("td", "th") and not c.hidden]
         for row in _rows(node)
     ]
     strays = _strays(node)
     _render(strays, out, False)
     out.end()
-    widths: list[int] = []
+    widths: dict[int, int] = {}
     for row in rows:
-        widths += [0] * (len(row) - len(widths))
-        for i, cell in enumerate(row[:-1]):
-            widths[i] = max(widths[i], len(cell))
+        column = 0
+        for cell, span in row:
+            if span == 1 and len(cell) <= MAX_CELL:
+                widths[column] = max(widths.get(column, 0), len(cell))
+            column += span
     for row in rows:
-        if any(row):
-            out.whole(" | ".join([*(c.ljust(w) for c, w in zip(row[:-1], widths, strict=False)), row[-1]]).rstrip())
+        if not any(cell for cell, _ in row):
+            continue
+        cells, column = [], 0
+        for cell, span in row:
+            over = [widths[i] for i in range(column, column + span) if i in widths]
+            width = sum(over) + 3 * (len(over) - 1)
+            cells.append(cell.ljust(width) if width <= MAX_SPAN else cell)
+            column += span
+        out.whole(" | ".join([*cells[:-1], row[-1][0]]).rstrip())
 
 
 def page_text(page: str | None) -> str:

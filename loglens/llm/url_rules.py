@@ -4,21 +4,29 @@ A URL's tokens fetch the rules indexed under them, and only those rules run thei
 tokens is the rarest is counted over all URLs. Two kinds of rules are compiled alike: site rules (host and path prefix,
 the longest match decides) and patterns in the common filter-list notation (``||`` a host or subdomain, ``|`` an end, ``^``
 a separator, ``*`` anything, ``@@`` an exception). Site rules come first; then an exception allows, then any pattern blocks.
+
+A worker holds the index of at most ``MAX_RULES`` rules. A longer list is cut into several; the best matches of one are written
+before the next is sent, and the better one of each row stays.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm.shared import stored
+
 _TOKEN = re.compile(r"[0-9a-z]+")
 _HOST_PATH = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
-MAX_RULES = 200_000  # rules are sent to every worker, about 100 bytes each
+MAX_RULES = 200_000  # rules of an index; longer lists are judged index by index
+KNOWN = 1 << 14  # compiled expressions that a worker keeps at hand
 
 #: Site rules of the standard set: verdict, host, path prefix.
 SITE_RULES = [
@@ -52,6 +60,10 @@ class Rule:
     expression: str
     tokens: tuple[str, ...]
 
+    @property
+    def order(self) -> tuple[int, str, str]:
+        return self.rank, self.name, self.verdict
+
 
 def site_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule for a host and its subdomains whose path starts with ``path``; its expression runs over host + path."""
@@ -88,10 +100,7 @@ def pattern_rule(pattern: str) -> Rule:
 
 
 def compiled(site_rules: list[tuple[str, str, str]], patterns: list[str]) -> list[Rule]:
-    rules = [site_rule(*r) for r in site_rules] + [pattern_rule(p) for p in patterns]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: judge with some of them after the others")
-    return rules
+    return [site_rule(*r) for r in site_rules] + [pattern_rule(p) for p in patterns]
 
 
 def url_tokens(url: Column) -> Column:
@@ -102,13 +111,14 @@ def url_tokens(url: Column) -> Column:
 def rarest_tokens(urls: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, list[Rule]]:
     """The index: each rule under that of its tokens that the fewest URLs have; under "" if it has none.
 
-    Counts cover all URLs. Only tokens of rules are counted, so there are no more counts than those."""
+    Counts cover all URLs. Each URL's tokens are looked up among those of the rules, so a URL's cost is that of its tokens;
+    only tokens of rules are counted, so there are no more counts than those."""
     wanted = sorted({t for r in rules for t in r.tokens})
     counts: dict[str, int] = {}
     if wanted:
-        some = F.array_intersect(url_tokens(F.col(url)), F.array(*[F.lit(t) for t in wanted]))
-        found = urls.select(F.explode(some).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        counts = {r.token: r.n for r in found.collect()}
+        known = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string"))  # of one index's rules
+        tokens = urls.select(F.explode(url_tokens(F.col(url))).alias("token")).join(known, "token", "left_semi")
+        counts = {r.token: r.n for r in tokens.groupBy("token").agg(F.count("*").alias("n")).collect()}
     index: dict[str, list[Rule]] = {}
     for rule in rules:
         rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default="")
@@ -116,21 +126,42 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule], url: str = "url") -> dict[
     return index
 
 
-def verdict_of(url: str | None, index: dict[str, list[tuple[Rule, re.Pattern]]]) -> tuple[str, str, str | None, str, str | None]:
-    """(host, path, site rule, verdict, pattern)."""
+@lru_cache(KNOWN)
+def _expression(expression: str) -> re.Pattern:
+    return re.compile(expression, re.S)
+
+
+def best_of(url: str | None, index: dict[str, list[Rule]]) -> tuple[Rule | None, Rule | None]:
+    """The site rule and the pattern that decide, of an index."""
     host, path = split_url(url)
     text = (url or "").lower()
     site: Rule | None = None
     pattern: Rule | None = None
     for token in ["", *dict.fromkeys(_TOKEN.findall(text))]:
-        for rule, expression in index.get(token, ()):
-            if rule.site:
-                if (site is None or rule.rank > site.rank) and expression.search(host + path):
+        for rule in index.get(token, ()):
+            best = site if rule.site else pattern
+            if (best is None or rule.order > best.order) and _expression(rule.expression).search(host + path if rule.site else text):
+                if rule.site:
                     site = rule
-            elif (pattern is None or (rule.rank, rule.name) > (pattern.rank, pattern.name)) and expression.search(text):
-                pattern = rule
-    verdict = site.verdict if site else pattern.verdict if pattern else "allow"
-    return host, path, site.name if site else None, verdict, pattern.name if pattern else None
+                else:
+                    pattern = rule
+    return site, pattern
+
+
+_MATCH = "struct<rank:int,name:string,verdict:string>"
+
+
+def _matches(shared: Broadcast, url: Column) -> Column:
+    """The best site rule and pattern of an index, as structs that compare like them."""
+
+    @F.arrow_udf(f"struct<site:{_MATCH},pattern:{_MATCH}>")
+    def matches(urls: pa.Array) -> pa.Array:
+        kind = pa.struct([("rank", pa.int32()), ("name", pa.string()), ("verdict", pa.string())])
+        found = [best_of(u, shared.value) for u in urls.to_pylist()]
+        sides = [[r and dict(zip(kind.names, r.order, strict=True)) for r in side] for side in zip(*found, strict=True)] or [[], []]
+        return pa.StructArray.from_arrays([pa.array(side, kind) for side in sides], ["site", "pattern"])
+
+    return matches.asNondeterministic()(url)
 
 
 def judge(
@@ -139,24 +170,33 @@ def judge(
     url: str = "url",
     site_rules: list[tuple[str, str, str]] = SITE_RULES,
     patterns: list[str] = PATTERNS,
+    max_rules: int = MAX_RULES,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) per row.
 
-    ``rule`` is the longest site rule that fits, ``pattern`` the pattern that fits, exceptions before blocks and then
-    the last by code point. The verdict is the site rule's, else the pattern's, else allow. A null URL and one without
-    ``://`` have an empty host and path. Repeated rows and null ids pass through; other columns are not read.
+    ``rule`` is the longest site rule that fits, of equally long ones the last by code point; ``pattern`` the pattern that fits,
+    exceptions before blocks and then the last by code point. The verdict is the site rule's, else the pattern's, else allow. A
+    null URL and one without ``://`` have an empty host and path. Repeated rows and null ids pass through; other columns are not
+    read. At most ``max_rules`` rules are sent at once.
     """
-    index = rarest_tokens(pages, compiled(list(site_rules), list(patterns)), url)
-    shared = pages.sparkSession.sparkContext.broadcast(index)
-    ready: dict[str, list] = {}
-
-    @F.arrow_udf("struct<host:string,path:string,rule:string,verdict:string,pattern:string>")
-    def verdicts(urls: pa.Array) -> pa.Array:
-        if not ready:
-            ready.update({t: [(r, re.compile(r.expression, re.S)) for r in rs] for t, rs in shared.value.items()})
-        columns = list(zip(*(verdict_of(u, ready) for u in urls.to_pylist()), strict=True)) or [[]] * 5
-        return pa.StructArray.from_arrays(
-            [pa.array(c, pa.string()) for c in columns], ["host", "path", "rule", "verdict", "pattern"]
+    rules = compiled(list(site_rules), list(patterns))
+    found = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"))
+    found = found.select("*", *[F.lit(None).cast(_MATCH).alias(c) for c in ("site", "pattern")])
+    context = pages.sparkSession.sparkContext
+    for low in range(0, len(rules), max_rules):
+        shared = context.broadcast(rarest_tokens(pages, rules[low : low + max_rules], url))
+        found = found.withColumn("found", _matches(shared, F.col("url"))).select(
+            "page", "url", *[F.greatest(c, f"found.{c}").alias(c) for c in ("site", "pattern")]
         )
-
-    return pages.select(F.col(page_id), verdicts.asNondeterministic()(F.col(url)).alias("found")).select(page_id, "found.*")
+        if low + max_rules < len(rules):
+            found = stored(found, "url-rules")
+            shared.destroy()
+
+    # After the first "://": the host to the next of / ? # or the end, then the path to ? or #.
+    parts = [F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)", i) for i in (1, 2)]
+    host = F.translate(parts[0], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    verdict = F.coalesce("site.verdict", "pattern.verdict", F.lit("allow"))
+    return found.select(
+        F.col("page").alias(page_id), host.alias("host"), parts[1].alias("path"), F.col("site.name").alias("rule"),
+        verdict.alias("verdict"), F.col("pattern.name").alias("pattern"),
+    )

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -313,8 +315,17 @@ def test_url_index_runs_all_that_fits(spark):
     rules = url_rules.compiled(url_rules.SITE_RULES, patterns)
     got = {r.page_id: tuple(r) for r in url_rules.judge(pages, patterns=patterns).collect()}
     for r in pages.collect():
-        everything = {"": [(x, re.compile(x.expression, re.S)) for x in rules]}
-        assert got[r.page_id] == (r.page_id, *url_rules.verdict_of(r.url, everything))
+        site, pattern = url_rules.best_of(r.url, {"": rules})
+        verdict = (site or pattern).verdict if site or pattern else "allow"
+        want = (*url_rules.split_url(r.url), site and site.name, verdict, pattern and pattern.name)
+        assert got[r.page_id] == (r.page_id, *want)
+
+
+@pytest.mark.parametrize("max_rules", [1, 4])
+def test_url_rules_of_several_indexes(spark, max_rules):
+    pages = spark.createDataFrame([*enumerate(URLS), (None, None), (3, list(URLS)[3])], "page_id bigint, url string")
+    want = url_rules.judge(pages).collect()
+    assert sorted(url_rules.judge(pages, max_rules=max_rules).collect(), key=repr) == sorted(want, key=repr)
 
 
 PAGES = [
@@ -326,13 +337,13 @@ PAGES = [
     ("<ol start=9><li>a</li><li>b</li></ol>", "9. a\n10. b"),
     ("<table><tr><th>x<td>yy<tr><td>long<td>z</table>", "x    | yy\nlong | z"),
     ("<p>a</p><script>var t='</p>';</script><p hidden>b</p><div style='display: none'>c</div>d", "a\n\nd"),
-    ("<div aria-hidden=true>x</div><style>p{}</style>y &amp; z &lt;", "y & z <"),
+    ("<div aria-hidden=true>x</div><style>p{}</style>y &amp; z &lt;", "x\ny & z <"),
     ("<pre>\n a\n  b\n</pre>c", "a\n  b\n\nc"),
     ("a<b>b</b> <i>c </i> d", "ab c d"),
     ("<title>t</title><body><h1>H</h1>x<hr>y</body>", "H\n\nx\n\n---\n\ny"),
     ("<!-- a > b -->x<!doctype html>< y", "x< y"),
     ("<div>a</div></p></div><div>b", "a\n\nb"),
-    ("<select><option>a</select><img alt='pic'><input type=hidden>z", "picz"),
+    ("<select><option>a</select><img alt='pic'><input type=hidden>z", "a picz"),
 ]
 
 
@@ -372,6 +383,44 @@ def test_deep_and_long_pages():
     assert html_text.page_text("<" * 30_000) == "<" * 30_000
 
 
+@pytest.mark.parametrize("part", ["<a ", "<!", '<a "', "<a", "</a'", "</script", "<!-", "&", "<a x='\">", "<td><"])
+def test_time_follows_the_page(part):
+    for page in (part * (1_000_000 // len(part)), "<script>" + part * 100_000, part * 100_000 + " \" >"):
+        start = time.perf_counter()
+        html_text.page_text(page)
+        assert time.perf_counter() - start < 10
+
+
+def test_tags_are_those_of_a_plain_pattern():
+    plain = re.compile(
+        r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<[!?][^>]*>", re.S
+    )
+    draw = random.Random(3)
+    for _ in range(20_000):
+        page = "".join(draw.choices(["<", ">", "a", "/", '"', "'", " ", "!", "--", "<b", "="], k=draw.randrange(16)))
+        tags, at, got = html_text._Tags(page), 0, []
+        while tag := tags.next(at):
+            got.append(tag)
+            at = tag[1]
+        want = [(*m.span(), bool(m[1]), m[2] or "", m[3] or "") for m in plain.finditer(page)]
+        assert got == want, page
+
+
+def test_tables_stay_in_proportion():
+    wide = "<table><tr><td>" + "w" * 40_000 + "<td>b" + "<tr><td>a<td>b" * 3_000 + "</table>"
+    assert len(html_text.page_text(wide)) < 2 * len(wide)
+    spans = "<table>" + "<tr>" + "<td>" + "<td>".join(["x" * 40] * 500) + "<tr><td colspan=999>a<td>b" * 500 + "</table>"
+    assert len(html_text.page_text(spans)) < 10 * len(spans)
+    got = html_text.page_text("<table><tr><td colspan=2>head<td>z<tr><td>one<td>two<td>three</table>")
+    assert got == "head      | z\none | two | three"
+
+
+def test_html_closed_details_and_first_options():
+    page = "<details><summary>more</summary>inner</details><details open><summary>s</summary>in</details>"
+    assert html_text.page_text(page) == "more\ns\nin"
+    assert html_text.page_text("<select><option>a<option>b</select>") == "a"
+
+
 def test_html_rows(spark):
     rows = [(i, p) for i, (p, _) in enumerate(PAGES)] + [(None, "<p>x"), (0, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, html string")).collect()
