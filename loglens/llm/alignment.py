@@ -14,11 +14,17 @@ Null and empty texts, and texts that a tokenizer does not give back byte by byte
 the digest of the groups is empty. A text is worked on in units, cut at single spaces where neither tokenizer joins anything, so
 that both end a token there; within a block of texts a unit that comes again is tokenised once, and a worker keeps a bounded number of
 short units at hand. A task's memory is that of a block, or of one text that is longer.
+
+Units of ASCII and Latin letters are tokenised many on a line, and by A with tiktoken's merges. Those give the same tokens where each
+merge makes a token of its own, in the order of their ids, and each token alone is tokenised as itself: two tokens stand side by side
+before a merge only if they do so where their bytes are alone, so no pair but that of the merge is ever joined to its token. The
+driver looks whether this holds (``merges_by_rank``); else, and for all other units, A's own library does it.
 Rows repeat as in the input, null ids are kept, extra columns are not used, an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -26,11 +32,13 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +51,18 @@ BLOCK = 1 << 19  # code points of the texts that are worked on at once
 KNOWN = 1 << 16  # aligned units of a generation that a worker keeps at hand; there are two
 KNOWN_CHARS = 24
 UNITS = 1 << 13  # units that a tokenizer gets at once
+LINE = 16  # units that B gets on a line
+MAX_UNIT = 512  # code points of a unit that is put on a line with others
 HOT_KEYS = 1000  # texts at most whose copies are dealt out by salts
 MAX_FILE = 64 << 20  # bytes of a tokenizer file
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"  |\s \s|^ | $")
+# ASCII and Latin letters, whose classes all versions of Unicode agree on; no space at either end.
+_SEEN = r"!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_PLAIN = re.compile(rf"[{_SEEN}](?:[\n {_SEEN}]{{0,{MAX_UNIT - 2}}}[{_SEEN}])?")
+#: The fixed pattern of byte-level pre-tokens.
+_PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 LINKED = ("n_best", "count_sum")
 KEPT = ("key", "copies", *MEASURES, "groups_sha256")
@@ -60,6 +75,7 @@ class Pair:
     a: Broadcast
     b: Broadcast
     key: str
+    by_rank: bool  # whether A's tokens can be had from tiktoken
 
 
 def load(spark: SparkSession, path_a: str, path_b: str) -> Pair:
@@ -70,7 +86,7 @@ def load(spark: SparkSession, path_a: str, path_b: str) -> Pair:
             raise ValueError(f"{path} has more than {MAX_FILE} bytes")
         with open(path, "rb") as file:
             files.append(spark.sparkContext.broadcast(file.read()))
-    return Pair(*files, uuid.uuid4().hex)
+    return Pair(*files, uuid.uuid4().hex, merges_by_rank(files[0].value))
 
 
 def byte_table() -> dict[str, int]:
@@ -81,19 +97,50 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def own_library(file_a: bytes) -> tokenizers.Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
+    a = tokenizers.Tokenizer.from_str(file_a.decode())
+    a.encode_special_tokens = True
+    a.no_truncation()
+    a.no_padding()
+    return a
+
+
+def merges_by_rank(file_a: bytes) -> bool:
+    """Whether joining the neighbours whose bytes are the token with the least id does the merges of the file."""
+    whole = json.loads(file_a)
+    model, cutter = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = whole.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    if not plain or cutter.get("add_prefix_space") or model.get("type") != "BPE" or any(model.get(c) for c in odd):
+        return False
+    vocabulary, letters = model["vocab"], byte_table()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary[left + right] for left, right in merges]
+    special = {t["content"] for t in whole.get("added_tokens") or []}
+    tokens = {t: i for t, i in vocabulary.items() if t not in special}
+    if not all(c in tokens for c in letters) or not all(c in letters for t in tokens for c in t) or ids != sorted(set(ids)) or len(tokens) != len(letters) + len(ids):
+        return False
+    if ids and max(tokens[c] for c in letters) > ids[0]:
+        return False
+    own = own_library(file_a).model
+    return all([x.id for x in own.tokenize(t)] == [i] for t, i in tokens.items())
+
+
 class Aligner:
-    def __init__(self, file_a: bytes, file_b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
-        self.a = tokenizers.Tokenizer.from_str(file_a.decode())
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+    def __init__(self, file_a: bytes, file_b: bytes, by_rank: bool = False):
+        self.file_a = file_a
         letters = byte_table()
-        vocabulary = json.loads(file_a)["model"]["vocab"]
+        whole = json.loads(file_a)
+        vocabulary, special = whole["model"]["vocab"], {t["id"] for t in whole.get("added_tokens") or []}
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             # Special tokens are no byte texts, and are never used.
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
+        self.ranked = None
+        if by_rank:
+            ranks = {x: i for i, x in enumerate(self.bytes_a) if x and i not in special}
+            self.ranked = tiktoken.Encoding("a", pat_str=_PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=file_b)
         n = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(n)]
@@ -109,6 +156,10 @@ class Aligner:
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.known: tuple[dict, dict] = {}, {}
 
+    @cached_property
+    def a(self) -> tokenizers.Tokenizer:
+        return own_library(self.file_a)
+
     def units(self, text: str) -> list[str]:
         """Parts of a text without the space before each, which A gets as text and B adds itself. At a space between other
         letters a pre-token of A ends, and no piece of B goes on."""
@@ -116,12 +167,37 @@ class Aligner:
             return [text]
         return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
 
+    def on_a_line(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+        """The ids of both and their numbers per unit, of plain units; none if B does not give them back."""
+        line = " " + " ".join(units)
+        whole = line.encode()
+        long = [len(u) for u in units] if len(whole) == len(line) else [len(u.encode()) for u in units]
+        stops = np.cumsum(np.array(long, np.int64) + 1)
+        found_b = self.b.encode([" ".join(units[i : i + LINE]) for i in range(0, len(units), LINE)], num_threads=1)
+        flat = list(chain.from_iterable(found_b))
+        if b"".join(map(self.bytes_b.__getitem__, flat)) != whole:
+            return None
+        found, sizes = [self.ranked.encode_to_numpy(line, disallowed_special=()).astype(np.int64), np.array(flat, np.int64)], []
+        for ids, widths in zip(found, (self.sizes_a, self.sizes_b), strict=True):
+            ends = np.cumsum(widths[ids])
+            last = np.searchsorted(ends, stops)
+            if (ends[last] != stops).any():
+                return None
+            sizes.append(np.diff(last, prepend=-1))
+        return found, sizes
+
     def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and of B one after the other, the numbers of tokens per unit, and which units are given back; the tokens of
         others are left out."""
         ids, sizes, good = ([], []), ([], []), []
         for low in range(0, len(units), UNITS):
             some = units[low : low + UNITS]
+            if self.ranked and self.cuts and all(map(_PLAIN.fullmatch, some)) and (lines := self.on_a_line(some)):
+                for side, (found, size) in enumerate(zip(*lines, strict=True)):
+                    ids[side].append(found)
+                    sizes[side].append(size)
+                good.append(np.ones(len(some), bool))
+                continue
             whole = [b" " + u.encode() for u in some]
             bytes_of = [len(x) for x in whole]
             found_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)]
@@ -176,6 +252,7 @@ class Aligner:
         """The same, of which those at hand are not worked on again. A full generation replaces the one before."""
         new, old = self.known
         missing = [u for u in units if u not in new and u not in old]
+        missing.sort(key=lambda u: _PLAIN.fullmatch(u) is None)  # plain ones together
         fresh = dict(zip(missing, self.aligned_units(missing), strict=True))
         out = []
         for unit in units:
@@ -223,7 +300,8 @@ _ready: dict[str, Aligner] = {}
 def _aligner(pair: Pair) -> Aligner:
     if pair.key not in _ready:
         _ready.clear()
-        _ready[pair.key] = Aligner(pair.a.value, pair.b.value)
+        _ready[pair.key] = Aligner(pair.a.value, pair.b.value, pair.by_rank)
+        gc.freeze()  # or each collection would go through both vocabularies
     return _ready[pair.key]
 
 

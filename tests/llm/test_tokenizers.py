@@ -238,3 +238,28 @@ def test_op13(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = queries.op13_alignment(spark, "/root/testdata/sf0.001").select(*COLUMNS)
     assert sorted(map(tuple, got.collect())) == sorted(Reference().measures(docs))
+
+
+def test_lines_of_plain_units_give_the_same(aligner):
+    path = public_tokenizers.path
+    file_a, file_b = (open(path(n), "rb").read() for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    assert alignment.merges_by_rank(file_a)
+    fast = alignment.Aligner(file_a, file_b, True)
+    draw = random.Random(7)
+    letters = "abcdeéßñŁ'sTh09.,-#<|>endoftext\n "
+    units = ["".join(draw.choices(letters, k=draw.randrange(1, 40))) for _ in range(20_000)]
+    units = [u for u in dict.fromkeys(u.strip() for u in units) if alignment._PLAIN.fullmatch(u)]
+    units += ["<|endoftext|>", "ĳ", "a" * 500, "x  y", "it's\n\n  don't", "ŉ", "ǆ"]
+    assert fast.on_a_line(units[:1000]) is not None
+    assert fast.aligned_units(units) == aligner.aligned_units(units)
+    mixed = ["日本", *units[:50], "", " a", "b ", "a" * 600, "\t"]
+    assert fast.known_units(mixed) == aligner.known_units(mixed)
+
+
+def test_merges_out_of_order_are_not_by_rank():
+    import json
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = json.load(open(path))
+    whole["model"]["merges"][300:302] = whole["model"]["merges"][301:299:-1]
+    assert not alignment.merges_by_rank(json.dumps(whole).encode())
