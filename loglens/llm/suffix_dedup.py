@@ -31,6 +31,7 @@ WIDTH = 200
 CORE = 48
 GROUP_LIMIT = 8192
 SALTS = 16
+HOT_ENTRIES = 1000  # entries at most that all tasks get, being those with most copies
 _ENTRY = ["doc_id", "body_hash", "start", "starts", "core", "whole", "copies"]
 _WINDOWS = 1 << 19  # windows compared at once
 
@@ -198,7 +199,12 @@ def repeated_runs(bodies: DataFrame, width: int = WIDTH, core: int = CORE, group
         hits.filter("varied").groupBy("core", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("place"))
     )
     entries = stored(entries, "entries")
-    copied = hits.filter("varied").join(entries.filter("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    # Of n phrases, at most HOT_ENTRIES entries have more than n / HOT_ENTRIES each; their copies are found where they are.
+    varied, key = hits.filter("varied"), ["core", "whole"]
+    total = entries.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(entries.filter(F.col("copies") > max(1, total // HOT_ENTRIES)).select(*key))
+    others = varied.join(hot, key, "left_anti").join(entries.filter("copies > 1").select(*key), key, "left_semi")
+    copied = varied.join(hot, key, "left_semi").unionByName(others)
 
     large = entries.groupBy("core").agg(F.count("*").alias("size")).filter(F.col("size") > group_limit).select("core")
     large = stored(large, "large")  # at most the entries divided by the limit
@@ -259,8 +265,9 @@ def remove_repeats(
     """
     bodies = _bodies(docs, doc_id, text)
     runs = repeated_runs(bodies, width, group_limit=group_limit)
+    # Each copy of a row has the same runs, so a set of them is as long as those of one.
     spans = runs.groupBy("doc_id", "body_hash").agg(
-        F.collect_list(F.struct("start", (F.col("start") + F.col("starts") + width - 1).alias("end"))).alias("spans")
+        F.collect_set(F.struct("start", (F.col("start") + F.col("starts") + width - 1).alias("end"))).alias("spans")
     )
     cut = bodies.join(spans, _same_document(bodies, spans), "left").select(
         bodies["doc_id"].alias(doc_id),

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loglens.llm import components, line_dedup, parsing, simhash, suffix_dedup
 from tests.llm.conftest import COLUMNS
@@ -130,6 +131,25 @@ def test_repeats_across_slices(odd, monkeypatch):
     assert sorted(removed(docs)) == sorted(brute_removed(rows, 200))
 
 
+def test_many_copies_of_one_row(spark):
+    """10,000 rows with the same null id and text: each has the runs of one."""
+    words = " ".join(f"w{i * 7919 % 1000}" for i in range(150))
+    docs = spark.range(10_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(words).alias("text"))
+    got = suffix_dedup.remove_repeats(docs)
+    n = len(words.encode())
+    want = [(None, n, b"", [(0, n)])]
+    assert [(r.doc_id, r.n_bytes, bytes(r.kept), list(map(tuple, r.removed))) for r in got.distinct().collect()] == want
+    assert got.count() == 10_000
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_copies_of_hot_entries(odd, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ENTRIES", hot)
+    want = sorted(removed(odd), key=repr)
+    monkeypatch.setattr(suffix_dedup, "HOT_ENTRIES", 1 << 40)
+    assert sorted(removed(odd), key=repr) == want
+
+
 def test_no_repeats(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
