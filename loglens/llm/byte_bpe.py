@@ -14,6 +14,9 @@ piece. Decoding concatenates the bytes of the ids.
 
 Null and empty texts have no ids; bytes that are no UTF-8 count as U+FFFD. Rows repeat as they do in the input, extra columns
 are kept whatever their names are, and an empty table gives an empty one.
+
+Spark gives a worker up to 10,000 texts at once, whose ids take more memory than they do. Workers therefore give back ids and
+bytes in runs of rows that have about ``RUN`` ids, before they take up the next ones.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ LOOKAHEAD = 16
 MAX_FILE = 64 << 20  # bytes of a vocabulary file, which is broadcast
 KEPT = 1 << 16  # pre-tokens whose ids a worker keeps at hand
 KEPT_CHARS = 48
+RUN = 1 << 18  # ids that a worker holds, besides those of its last row, before it gives them back
 
 
 @dataclass(frozen=True)
@@ -116,11 +120,20 @@ def _texts(column: pa.Array) -> Iterator[str]:
     return ((x.as_py() or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()))
 
 
-def _lists(rows: Iterable[array]) -> pa.Array:
+def _lists(rows: Iterable[array]) -> Iterator[pa.Array]:
+    """Rows of ids in runs."""
     flat, ends = array("i"), [0]
     for row in rows:
         flat.extend(row)
         ends.append(len(flat))
+        if len(flat) >= RUN:
+            yield _list_array(flat, ends)
+            flat, ends = array("i"), [0]
+    if len(ends) > 1:
+        yield _list_array(flat, ends)
+
+
+def _list_array(flat: array, ends: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32), pa.int32()))
 
 
@@ -128,9 +141,10 @@ def whole_texts(text: str, vocabulary: Vocabulary) -> Column:
     """The ids of each text, encoded in one go."""
 
     @F.arrow_udf("array<int>")
-    def encode_whole(column: pa.Array) -> pa.Array:
+    def encode_whole(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(vocabulary)
-        return _lists(codec.ids(codec.split.findall(t)) for t in _texts(column))
+        for column in columns:
+            yield from _lists(codec.ids(codec.split.findall(t)) for t in _texts(column))
 
     return encode_whole.asNondeterministic()(F.col(text).cast("binary"))  # or each use of the ids would encode again
 
@@ -175,7 +189,7 @@ def _chunked(numbered: DataFrame, text: str, vocabulary: Vocabulary, chunk: int,
         return pa.array([meeting(codec, t, chunk, overlap) for t in _texts(column)], pa.int32())
 
     @F.arrow_udf("array<int>")
-    def encode_piece(column: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+    def encode_piece(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         codec = _codec(vocabulary)
 
         def pieces(text: str, low: int, high: int | None) -> Iterator[str]:
@@ -189,8 +203,9 @@ def _chunked(numbered: DataFrame, text: str, vocabulary: Vocabulary, chunk: int,
             if at != stop:
                 raise ValueError("the pattern decides by more code points after a pre-token than LOOKAHEAD")
 
-        rows = zip(_texts(column), low.to_pylist(), high.to_pylist(), strict=True)
-        return _lists(codec.ids(pieces(*row)) for row in rows)
+        for column, low, high in columns:
+            rows = zip(_texts(column), low.to_pylist(), high.to_pylist(), strict=True)
+            yield from _lists(codec.ids(pieces(*row)) for row in rows)
 
     # The places are narrow and written, so that chunks are split once more at the most, to be encoded.
     places = chunks.select("row", "part", F.when(~F.col("last"), meet("body")).alias("high"), "last")
@@ -229,6 +244,16 @@ def encode(
     return short.unionByName(found.select(*short.columns))
 
 
+def _runs(column: pa.Array) -> Iterator[pa.Array]:
+    """Runs of the rows of a column of lists."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = before = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(ends, before + RUN, "right")))
+        yield column.slice(low, high - low)
+        low, before = high, ends[high - 1]
+
+
 def _bounds(column: pa.Array) -> Iterator[tuple[int, int] | None]:
     """Where the rows of a column of lists lie in its flat values; none for null."""
     ends = np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())]).tolist()
@@ -236,14 +261,25 @@ def _bounds(column: pa.Array) -> Iterator[tuple[int, int] | None]:
         yield (low, high) if valid else None
 
 
+def _decoded(column: pa.Array, token: dict[int, bytes]) -> pa.Array:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    rows = (at and b"".join(map(token.__getitem__, flat[at[0] : at[1]].tolist())) for at in _bounds(column))
+    return pa.array(rows, pa.binary())
+
+
+def _packed(column: pa.Array) -> pa.Array:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    return pa.array((at and flat[4 * at[0] : 4 * at[1]] for at in _bounds(column)), pa.binary())
+
+
 def decode(ids: str, vocabulary: Vocabulary) -> Column:
     """The bytes of the ids of a column, concatenated; null stays null. An id that the vocabulary lacks is an error."""
 
     @F.arrow_udf("binary")
-    def decode_ids(column: pa.Array) -> pa.Array:
-        token, flat = _bytes_of(vocabulary).__getitem__, column.flatten().to_numpy(zero_copy_only=False)
-        rows = (at and b"".join(map(token, flat[at[0] : at[1]].tolist())) for at in _bounds(column))
-        return pa.array(rows, pa.binary())
+    def decode_ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        token = _bytes_of(vocabulary)
+        for column in columns:
+            yield from (_decoded(run, token) for run in _runs(column))
 
     return decode_ids(ids)
 
@@ -252,8 +288,21 @@ def packed(ids: str) -> Column:
     """Ids as little-endian unsigned 32-bit integers."""
 
     @F.arrow_udf("binary")
-    def pack(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        return pa.array((at and flat[4 * at[0] : 4 * at[1]] for at in _bounds(column)), pa.binary())
+    def pack(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield from map(_packed, _runs(column))
 
     return pack(ids)
+
+
+def packed_and_decoded(ids: str, vocabulary: Vocabulary) -> Column:
+    """``packed`` and ``decoded`` of a struct, as ``packed`` and ``decode`` give them, for which ids go to one worker only."""
+
+    @F.arrow_udf("packed binary, decoded binary")
+    def pack_and_decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        token = _bytes_of(vocabulary)
+        for column in columns:
+            for run in _runs(column):
+                yield pa.StructArray.from_arrays([_packed(run), _decoded(run, token)], ["packed", "decoded"])
+
+    return pack_and_decode.asNondeterministic()(ids)  # or each of the two would do both again

@@ -129,11 +129,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     vocabulary = byte_bpe.load(spark, path, public_tokenizers.PATTERN)
     docs = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return docs.select(
+    both = docs.select("doc_id", F.size("token_ids").alias("n"), byte_bpe.packed_and_decoded("token_ids", vocabulary).alias("ids"))
+    return both.select(
         "doc_id",
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        F.sha2(byte_bpe.packed("token_ids"), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode("token_ids", vocabulary), 256).alias("decoded_sha256"),
+        F.col("n").cast("bigint").alias("n_tokens"),
+        F.sha2("ids.packed", 256).alias("ids_sha256"),
+        F.sha2("ids.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import random
+import tracemalloc
+from array import array
 from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -76,6 +79,49 @@ def test_unknown_id_and_null(spark, vocabulary):
         spark.createDataFrame([([99_999],)], "ids array<int>").select(byte_bpe.decode("ids", vocabulary)).collect()
 
 
+def test_ids_are_held_in_runs():
+    """A worker holds a run of the ids of its rows, not all 8,000,000 (32 MB)."""
+    tracemalloc.start()
+    try:
+        sizes = [len(run) for run in byte_bpe._lists(array("i", bytes(80_000)) for _ in range(400))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 400 and max(sizes) == 14
+    assert peak < 8_000_000
+    assert [len(run) for run in byte_bpe._lists([array("i"), array("i", [1])])] == [2]
+    assert list(byte_bpe._lists([])) == []
+
+
+def test_runs_of_lists():
+    lists = [None, [], [1] * 300_000, [2], None, [3] * byte_bpe.RUN, [], [4] * 9, None]
+    column = pa.array([[0], *lists], pa.list_(pa.int32())).slice(1)
+    runs = list(byte_bpe._runs(column))
+    assert [x for run in runs for x in run.to_pylist()] == lists
+    assert max(sum(map(len, filter(None, run.to_pylist()))) for run in runs) == 300_000
+    assert list(byte_bpe._runs(column.slice(0, 0))) == []
+
+
+def test_packed_and_decoded_in_runs(spark, vocabulary):
+    token = {rank: token for token, rank in byte_bpe.rank_table(open(RANKS, "rb").read()).items()}
+    lists = [None, [], [300] * 300_000, [2], None, [5000, 7] * 150_000, [], None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<int>").coalesce(1)
+    both = byte_bpe.packed_and_decoded("ids", vocabulary)
+    got = df.select("i", both.alias("both"), byte_bpe.packed("ids").alias("packed"), byte_bpe.decode("ids", vocabulary).alias("decoded"))
+    for r in got.collect():
+        ids = lists[r["i"]]
+        want = (None, None) if ids is None else (np.array(ids, "<u4").tobytes(), b"".join(map(token.get, ids)))
+        assert (r["both"]["packed"], r["both"]["decoded"]) == want == (r["packed"], r["decoded"])
+
+
+def test_texts_of_several_runs(spark, reference, vocabulary):
+    texts = ["", *(f"{i} two three\n" * 1000 for i in range(150)), "", "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    got = byte_bpe.encode(docs, vocabulary).collect()
+    assert sum(len(r["token_ids"]) for r in got) > 2 * byte_bpe.RUN
+    assert {r["doc_id"]: r["token_ids"] for r in got} == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_texts_are_encoded_once(spark, documents, vocabulary, capsys):
     """Though three columns come from the ids."""
     docs = byte_bpe.encode(documents, vocabulary)
